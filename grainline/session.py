@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,4 +28,18 @@ def build_session(master: str | None = None, app: str = "grainline", **conf: str
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read lazily so that pruning and push-down reach the scan."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on the Python workers, wherever the driver was started."""
+    root, sc = Path(__file__).resolve().parent, spark.sparkContext
+    if getattr(sc, "_grainline_shipped", False) or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    target = Path(tempfile.mkdtemp(prefix="grainline-")) / "grainline_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(target))
+    sc._grainline_shipped = True
