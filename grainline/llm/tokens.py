@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Distinct pieces kept by a worker before its cache starts again.
-CACHE = 700_000
+CACHE = 1_000_000
 #: The vocabularies' own end mark.
 MARK = "<|endoftext|>"
 
@@ -49,20 +49,52 @@ class Encoder:
             else:
                 ids = np.array(self.model.encode_batch_fast([MARK.join(group)], add_special_tokens=False)[0].ids, np.uint16)
                 cuts = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            k, n = len(self.known), len(group)
-            while k + n > len(self.starts):
-                self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
-            while self.n + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.n : self.n + len(ids)] = ids
             begins = np.concatenate([[0], cuts[:-1] + 1])
-            self.starts[k : k + n], self.sizes[k : k + n] = self.n + begins, cuts - begins
-            self.known.update(zip(group, range(k, k + n)))
-            self.n += len(ids)
+            self._add(group, ids, begins, cuts - begins)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
+        k, n = len(self.known), len(pieces)
+        while k + n > len(self.starts):
+            self.starts, self.sizes = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.sizes, 2 * len(self.sizes))
+        while self.n + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.n : self.n + len(ids)] = ids
+        self.starts[k : k + n], self.sizes[k : k + n] = self.n + begins, sizes
+        self.known.update(zip(pieces, range(k, k + n)))
+        self.n += len(ids)
+
+    def _learn_stems(self, pieces: list[str]) -> None:
+        """A piece that ends in a full stop or comma after a letter is a known stem and that mark:
+        letters and marks are never one token, so the ids of both are joined."""
+        known, stems, ends, whole = self.known, [], [], []
+        for p in pieces:
+            if p[-1] in ".," and len(p) > 2 and p[-2].isalpha():
+                stems.append(p[:-1])
+                ends.append(p)
+            else:
+                whole.append(p)
+        self._learn(list(dict.fromkeys(x for x in [*whole, *stems, ".", ","] if x not in known)))
+        if not ends:
+            return
+        at = np.array([known[x] for x in stems])
+        mark = np.array([self.ids[self.starts[known[m]]] for m in ".,"], np.uint16)
+        a, n = self.starts[at], self.sizes[at].astype(np.int64)
+        size = n + 1
+        begins = np.cumsum(size) - size
+        ids = np.empty(int(size.sum()), np.uint16)
+        place = np.arange(len(ids)) - np.repeat(begins, size)
+        last = place == np.repeat(n, size)
+        ids[~last] = self.ids[np.repeat(a, n) + place[~last]]
+        ids[last] = mark[np.array([x[-1] == "," for x in ends], np.int64)]
+        self._add(ends, ids, begins, size)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each text; null is empty."""
         texts = pc.fill_null(texts, "")
+        # case folding that the vocabulary does anyway, done early where no mark could arise from it
+        plain = not pc.any(pc.match_substring(texts, "<|")).as_py()
+        if plain and not self.spaced:
+            texts = pc.ascii_lower(texts)
         lists = pc.split_pattern(texts, " ")
         off, flat = lists.offsets.to_numpy(), lists.flatten()
         d = flat.dictionary_encode()
@@ -83,15 +115,21 @@ class Encoder:
         head_keys = words.take(pa.array(heads)).to_pylist()
         if len(self.known) > CACHE:
             self._reset()
-        known = self.known
-        self._learn([k for k in keys if k not in known])
-        self._learn([k for k in head_keys if k not in known])
+        learn = self._learn_stems if plain else self._learn
+        places = []
+        for wanted in (keys, head_keys):
+            at = list(map(self.known.get, wanted))
+            new = [i for i, x in enumerate(at) if x is None]
+            learn([wanted[i] for i in new])
+            for i in new:
+                at[i] = self.known[wanted[i]]
+            places.append(at)
         place = np.zeros(len(words), np.int64)
-        place[need] = [known[k] for k in keys]
+        place[need] = places[0]
         where = place[idx]
         if self.spaced:
             head = np.zeros(len(words), np.int64)
-            head[heads] = [known[k] for k in head_keys]
+            head[heads] = places[1]
             where[first] = head[idx[first]]
         sizes = np.where(usable, self.sizes[where], 0).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])
