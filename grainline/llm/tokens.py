@@ -18,6 +18,8 @@ import regex
 
 #: Distinct pieces kept by a worker before its cache starts again.
 CACHE = 1_000_000
+#: Texts encoded together.
+SLICE = 1000
 #: The vocabularies' own end mark.
 MARK = "<|endoftext|>"
 

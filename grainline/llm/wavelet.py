@@ -22,12 +22,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Output, make_dir, open_in, scratch, stored, table
 from .packing import default_vocabulary
-from .tokens import encoder
+from .tokens import SLICE, encoder
 
 MAGIC = b"GLWM1\0"
 BLOCK = 1 << 16
@@ -58,7 +58,7 @@ def build(ids: np.ndarray, docs: list[tuple[int | None, int]]) -> bytes:
             at += len(raw)
             ones += int(np.count_nonzero(part))
         zeros.append(n - ones)
-        cur = np.concatenate([cur[~bit], cur[bit]])
+        cur = np.concatenate([cur[np.flatnonzero(~bit)], cur[np.flatnonzero(bit)]])
     offsets.append(at)
     before.append(0)
     flags = bytes(d[0] is None for d in docs)
@@ -166,14 +166,14 @@ class WaveletMatrix:
             bit = np.concatenate([self._block(p, k) for k in range(self.per)] or [np.zeros(0, np.uint8)]).astype(bool)
             back = np.empty_like(vals)
             z = int(self.zeros[p])
-            back[~bit] = vals[:z]
-            back[bit] = vals[z:] | (1 << (self.bits - 1 - p))
+            back[np.flatnonzero(~bit)] = vals[:z]
+            back[np.flatnonzero(bit)] = vals[z:] | (1 << (self.bits - 1 - p))
             vals = back
         return vals
 
 
 SHARD = "shard int, piece int, path string, n_docs long, n_ids long"
-DOC = "shard int, piece int, place long, doc_id long, start_in_shard long, n_tokens long, ids_crc32 long"
+DOC = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def write_shards(docs: DataFrame, path: str, out_dir: str, end_id: int = END, spaced: bool = True) -> DataFrame:
@@ -203,11 +203,11 @@ def write_shards(docs: DataFrame, path: str, out_dir: str, end_id: int = END, sp
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a in range(0, len(doc_ids), 1000):
-                got, counts = enc.encode(texts.slice(a, 1000))
+            for a in range(0, len(doc_ids), SLICE):
+                got, counts = enc.encode(texts.slice(a, SLICE))
                 ends = np.cumsum(counts)
                 ids.append(np.insert(got, ends, np.uint16(end_id)))
-                own += zip(doc_ids[a : a + 1000], (counts + 1).tolist())
+                own += zip(doc_ids[a : a + SLICE], (counts + 1).tolist())
                 held += len(got) + len(counts)
                 if held >= SHARD_IDS:
                     yield flush()
@@ -222,7 +222,8 @@ SHARD_ARROW = pa.schema([("shard", pa.int32()), ("piece", pa.int32()), ("path",
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
-    """Per document what the files hold: its place, first id, number of ids and their crc32."""
+    """Per document what the files hold: its place, first id, number of ids and their crc32.
+    ``shards`` has begins, the number of ids before each shard."""
 
     def run(batches):
         for batch in batches:
@@ -233,31 +234,18 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     sizes = np.array([n for _, n in m.docs], np.int64)
                     starts = np.cumsum(sizes) - sizes
                     crc = [zlib.crc32(ids[s : s + n].astype("<u4").tobytes()) for s, n in zip(starts.tolist(), sizes.tolist())]
-                    k = len(sizes)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([r["shard"]] * k, pa.int32()), pa.array([r["piece"]] * k, pa.int32()), pa.array(range(k), pa.int64()),
-                            pa.array([d for d, _ in m.docs], pa.int64()), pa.array(starts), pa.array(sizes), pa.array(crc, pa.int64()),
-                        ],
+                        [pa.array([d for d, _ in m.docs], pa.int64()), pa.array(starts + r["begins"]), pa.array(sizes), pa.array(crc, pa.int64())],
                         names=[x.split()[0] for x in DOC.split(", ")],
-                    )
+                    )
 
     n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shards.select("shard", "piece", "path").repartition(n, "shard", "piece").mapInArrow(run, DOC)
+    return shards.select("path", "begins").repartition(n, "path").mapInArrow(run, DOC)
 
 
 def op10_token_shards(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     out = scratch(spark, "wavelet")
     shards = write_shards(table(spark, sf_dir, "documents"), vocabulary or default_vocabulary("byte_bpe_50k.json"), out)
     # where each shard starts: one row a shard, so a single running sum is small
-    from pyspark.sql import Window
-
     w = Window.orderBy("shard", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    begins = shards.select("shard", "piece", F.coalesce(F.sum("n_ids").over(w), F.lit(0)).alias("begins"))
-    docs = read_shards(shards)
-    return docs.join(begins, ["shard", "piece"]).select(
-        "doc_id",
-        (F.col("begins") + F.col("start_in_shard")).alias("start"),
-        "n_tokens",
-        "ids_crc32",
-    )
+    return read_shards(shards.withColumn("begins", F.coalesce(F.sum("n_ids").over(w), F.lit(0))))
