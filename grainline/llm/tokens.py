@@ -10,6 +10,7 @@ neighbours first, as runs of white space are tokenized together.
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model, self.spaced = Tokenizer.from_file(path), spaced
-        self.mark = self.model.token_to_id(MARK)
+        self.mark, self.gap = self.model.token_to_id(MARK), "" if spaced else " "
+        vocab = self.model.get_vocab(with_added_tokens=False)
+        # in byte-level vocabularies a character stands for a byte
+        self.bytes = np.zeros(max(self.mark, *vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.bytes[i] = len(token.removesuffix("</w>"))
         self._reset()
 
     def _reset(self):
@@ -40,17 +46,29 @@ class Encoder:
         self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.ids, self.n = np.zeros(1 << 16, np.uint16), 0
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces are encoded many at a time, parted by the end-of-text mark, which stands for itself."""
+    def _learn(self, pieces: list[str], joined: bool = False) -> None:
+        """Pieces are encoded many at a time. ``joined``: they follow each other as in a text, and the
+        bytes of the tokens show where each piece ends; else the end-of-text mark parts them."""
         plain = [p for p in pieces if MARK not in p]
-        groups = [plain[a : a + 2000] for a in range(0, len(plain), 2000)] + [[p] for p in pieces if MARK in p]
+        groups = [plain[a : a + 200] for a in range(0, len(plain), 200)] + [[p] for p in pieces if MARK in p]
         for group in groups:
             if len(group) == 1:
                 ids = np.array(self.model.encode(group[0], add_special_tokens=False).ids, np.uint16)
-                cuts = np.array([len(ids)])
-            else:
-                ids = np.array(self.model.encode_batch_fast([MARK.join(group)], add_special_tokens=False)[0].ids, np.uint16)
-                cuts = np.append(np.flatnonzero(ids == self.mark), len(ids))
+                self._add(group, ids, np.zeros(1, np.int64), np.array([len(ids)]))
+                continue
+            if joined:
+                text = group if self.spaced else [unicodedata.normalize("NFC", p).lower() for p in group]
+                ids = np.array(self.model.encode_batch_fast([self.gap.join(text)], add_special_tokens=False)[0].ids, np.uint16)
+                upto = np.cumsum(self.bytes[ids])
+                seen = text if self.spaced else ["".join(p.split()) for p in text]  # this vocabulary drops white space
+                ends = np.cumsum(np.fromiter((len(p.encode()) for p in seen), np.int64, len(text)))
+                cuts = np.searchsorted(upto, ends) + 1
+                if len(ids) and upto[-1] == ends[-1] and (upto[np.minimum(cuts, len(ids)) - 1] == ends).all():
+                    begins = np.concatenate([[0], cuts[:-1]])
+                    self._add(group, ids, begins, cuts - begins)
+                    continue
+            ids = np.array(self.model.encode_batch_fast([MARK.join(group)], add_special_tokens=False)[0].ids, np.uint16)
+            cuts = np.append(np.flatnonzero(ids == self.mark), len(ids))
             begins = np.concatenate([[0], cuts[:-1] + 1])
             self._add(group, ids, begins, cuts - begins)
 
@@ -65,7 +83,7 @@ class Encoder:
         self.known.update(zip(pieces, range(k, k + n)))
         self.n += len(ids)
 
-    def _learn_stems(self, pieces: list[str]) -> None:
+    def _learn_stems(self, pieces: list[str], joined: bool) -> None:
         """A piece that ends in a full stop or comma after a letter is a known stem and that mark:
         letters and marks are never one token, so the ids of both are joined."""
         known, stems, ends, whole = self.known, [], [], []
@@ -75,7 +93,8 @@ class Encoder:
                 ends.append(p)
             else:
                 whole.append(p)
-        self._learn(list(dict.fromkeys(x for x in [*whole, *stems, ".", ","] if x not in known)))
+        self._learn(list(dict.fromkeys(x for x in [*whole, *stems] if x not in known)), joined)
+        self._learn([x for x in ".," if x not in known])
         if not ends:
             return
         at = np.array([known[x] for x in stems])
@@ -101,7 +120,7 @@ class Encoder:
         off, flat = lists.offsets.to_numpy(), lists.flatten()
         d = flat.dictionary_encode()
         words, idx = d.dictionary, d.indices.to_numpy()
-        odd = pc.match_substring_regex(words, EDGES).to_numpy(zero_copy_only=False)
+        odd = _odd(words)
         per = np.diff(off)
         odd_doc = np.zeros(len(texts), bool)
         if odd.any():
@@ -117,12 +136,14 @@ class Encoder:
         head_keys = words.take(pa.array(heads)).to_pylist()
         if len(self.known) > CACHE:
             self._reset()
-        learn = self._learn_stems if plain else self._learn
         places = []
         for wanted in (keys, head_keys):
             at = list(map(self.known.get, wanted))
             new = [i for i, x in enumerate(at) if x is None]
-            learn([wanted[i] for i in new])
+            if plain:
+                self._learn_stems([wanted[i] for i in new], wanted is keys)
+            else:
+                self._learn([wanted[i] for i in new])
             for i in new:
                 at[i] = self.known[wanted[i]]
             places.append(at)
@@ -168,6 +189,21 @@ class Encoder:
         return np.concatenate([self.ids[self.starts[x] : self.starts[x] + self.sizes[x]] for x in k]) if k else self.ids[:0]
 
 
+def _odd(words: pa.Array) -> np.ndarray:
+    """Which pieces EDGES matches; printable ASCII at both ends settles most without a pattern."""
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    if at[-1] == at[0]:
+        return np.ones(len(words), bool)
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    full = at[1:] > at[:-1]
+    first, last = data[np.minimum(at[:-1], len(data) - 1)], data[np.maximum(at[1:] - 1, 0)]
+    fine = full & (first > 0x20) & (first < 0x7F) & (last > 0x20) & (last < 0x7F)
+    odd = ~fine
+    rest = np.flatnonzero(odd)
+    odd[rest] = pc.match_substring_regex(words.take(pa.array(rest)), EDGES).to_numpy(zero_copy_only=False)
+    return odd
+
+
 def _distinct(idx: np.ndarray, n: int) -> np.ndarray:
     seen = np.zeros(n, bool)
     seen[idx] = True
