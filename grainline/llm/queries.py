@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, wavelet
+from . import language_id, mixing, packing, quality_rules, warc, wavelet
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_language_id": language_id.op4_language_id,
+    "op5_warc": warc.op5_warc,
     "op6_packing": packing.op6_packing,
     "op8_mixing": mixing.op8_mixing,
     "op10_token_shards": wavelet.op10_token_shards,
 }
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op5_warc": warc.ORACLE}
