@@ -30,7 +30,7 @@ from .common import Output, make_dir, open_in, scratch, stored, table
 LEAST = 1000
 #: Bytes of records after which a task starts another archive.
 ARCHIVE = 64 << 20
-LEVEL = 1
+LEVEL = 6
 FILES = "path string, records long"
 OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
