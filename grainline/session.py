@@ -23,7 +23,9 @@ def build_session(master: str | None = None, app: str = "grainline", **conf: str
     } | conf
     for k, v in settings.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
