@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import cap_filters, language_id, lsh_forest, mixing, packing, quality_rules, warc, wavelet
+from . import cap_filters, chunk_dedup, katz_lm, language_id, lsh_forest, mixing, packing, quality_rules, warc, wavelet
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_katz_lm": katz_lm.op2_katz_lm,
     "op3_jaccard_join": lsh_forest.op3_jaccard_join,
     "op4_language_id": language_id.op4_language_id,
     "op5_warc": warc.op5_warc,
     "op6_packing": packing.op6_packing,
+    "op7_chunk_dedup": chunk_dedup.op7_chunk_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_cap_filters": cap_filters.op9_cap_filters,
     "op10_token_shards": wavelet.op10_token_shards,
