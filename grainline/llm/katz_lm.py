@@ -40,7 +40,7 @@ from .words import word_table
 
 CUT = 5
 #: Tokens of a batch.
-TOKENS = 3_000_000
+TOKENS = 2_000_000
 #: A history is split where it holds more than this share of a part's mean load.
 HOT = 0.5
 END = np.uint64(0x3C656E643E)
