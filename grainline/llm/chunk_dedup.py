@@ -31,6 +31,7 @@ WINDOW = 16
 REACH = 3
 MIN_WORDS = 20
 GEAR = np.random.default_rng(1021).integers(0, 1 << 32, 256, np.uint32)
+GAP = b" " * WINDOW
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -42,10 +43,11 @@ class Chunks:
     def __init__(self, texts: list[str | None]):
         self.texts = texts
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        # one space between texts parts their words
-        self.data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-        sizes = np.array([len(x) + 1 for x in raw], np.int64)
-        self.begin = np.cumsum(sizes) - sizes
+        # a window of spaces before each text, so that no hash reaches into the text before
+        self.data = np.frombuffer(b"".join(x for t in raw for x in (GAP, t)) + b" ", np.uint8)
+        sizes = np.array([len(x) for x in raw], np.int64)
+        self.begin = np.cumsum(sizes + WINDOW) - sizes
+        self.end = self.begin + sizes
         space = _SPACE[self.data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         edge = np.concatenate([[0], edge]) if not space[0] else edge
@@ -163,14 +165,13 @@ def mark(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     flag = np.zeros(m, bool)
                     flag[dups[i]] = True
                     spans, pieces, upto, w0 = [], [], int(c.begin[i]), int(word_doc_first[i])
-                    end_of_text = int(c.begin[i + 1]) - 1 if i + 1 < len(texts) else len(c.data) - 1
                     for x, y in _runs(flag, c.words[lo : lo + m], min_words):
                         s = int(c.first[lo + x])
                         e = int(c.first[lo + y]) if y < m else int(word_doc_end[i])
                         spans.append({"start": s - w0, "end": e - w0})
                         pieces.append(c.data[upto : int(c.word_start[s])].tobytes())
                         upto = int(c.word_end[e - 1])
-                    pieces.append(c.data[upto:end_of_text].tobytes())
+                    pieces.append(c.data[upto : int(c.end[i])].tobytes())
                     clean = b"".join(pieces).decode("utf-8", "surrogatepass") if spans else text
                     out.append((m, int(flag.sum()), total, sum(x["end"] - x["start"] for x in spans), spans, clean))
                 cols = list(zip(*out)) if out else [[]] * 6
