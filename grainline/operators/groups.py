@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,12 +21,13 @@ def similar_pairs(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str =
 
     64 bits are four bands; some band differs in most // 4 bits at most. One side is expanded to all
     band values that near, the other joined on the band: an equi-join, verified by bit_count. Equal
-    hashes meet once, as lists are never built. Beyond five bits a band (26,333 values) a plain
-    theta join is cheaper.
+    hashes meet once, as lists are never built. Where there are fewer photos than the expansion has
+    values for each, a theta join over so small a table is cheaper.
     """
     radius = most // BANDS
     p = photos.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
-    if radius > 5:
+    per_photo = BANDS * sum(comb(16, r) for r in range(radius + 1))
+    if p.limit(2 * per_photo + 1).count() <= 2 * per_photo:
         a, b = p.select(F.col("k").alias("a"), F.col("v").alias("va")), p.select(F.col("k").alias("b"), F.col("v").alias("vb"))
         d = hamming(F.col("va"), F.col("vb"))
         return a.join(b, (F.col("a") < F.col("b")) & (d <= most)).select("a", "b", d.alias("distance"))
@@ -51,24 +55,40 @@ def nearest(photos: DataFrame, key: str = "id", value: str = "phash") -> DataFra
     return d.select("a", F.col("m.b").alias("nearest"), F.col("m.d").alias("distance"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the folder of spark.checkpoint.dir (a temporary one where that is unset)."""
+    spark = df.sparkSession
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="grainline-"))
+    path = f"{where}/groups-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_OWN: dict[str, str] = {}
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, group): the smallest id connected. Labels spread along edges and jump to their label's label,
-    each round ending in a checkpoint, until nothing changes."""
-    spark = nodes.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="grainline-"))
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = nodes.select("id", F.col("id").alias("group"))
+    """(id, group): the smallest id connected, for every node.
+
+    Neighbourhoods contract to stars: larger neighbours move to the smallest of a node's neighbourhood, then
+    smaller ones do, until the edge table stays the same. Every round is a written table."""
+    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = None
     while True:
-        offer = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("group").alias("low"))
-        new = labels.join(offer, F.col("id") == F.col("a"), "left").select("id", F.least("group", F.coalesce("low", "group")).alias("group"), F.col("group").alias("was"))
-        jump = new.select(F.col("id").alias("j"), F.col("group").alias("jg"))
-        new = new.join(jump, F.col("group") == F.col("j")).select("id", F.least("group", "jg").alias("group"), "was").checkpoint()
-        if new.where("group <> was").isEmpty():
-            return new.select("id", "group")
-        labels = new.select("id", "group")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before or not now[0]:
+            break
+        before = now
+        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).withColumn("m", F.least("n", "m"))
+        e = both.where("v > u").join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = e.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
+        hung = e.join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(hung.unionAll(low.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+    stars = e.groupBy("u").agg(F.min("v").alias("g"))
+    return nodes.join(stars, F.col("id") == F.col("u"), "left").select("id", F.coalesce("g", "id").alias("group"))
 
 
 def clusters(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str = "id", value: str = "phash") -> DataFrame:

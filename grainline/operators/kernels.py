@@ -188,13 +188,17 @@ def heal(a: np.ndarray, stamps: list[tuple[float, float, float]]) -> np.ndarray:
         if best is None:
             continue
         _, sx, sy = best
-        spot = [(y, x) for y in range(-r, r + 1) for x in range(-r, r + 1) if x * x + y * y <= r * r]
-        src = out[sy - r - 1 : sy + r + 2, sx - r - 1 : sx + r + 2].copy()
-        lap = {(y, x): 4 * src[y + r + 1, x + r + 1] - src[y + r, x + r + 1] - src[y + r + 2, x + r + 1] - src[y + r + 1, x + r] - src[y + r + 1, x + r + 2] for y, x in spot}
-        for _ in range(POISSON_SWEEPS):
-            for y, x in spot:
-                Y, X = cy + y, cx + x
-                out[Y, X] = (out[Y - 1, X] + out[Y + 1, X] + out[Y, X - 1] + out[Y, X + 1] + lap[y, x]) / 4
+        spot = [(y + r + 1, x + r + 1) for y in range(-r, r + 1) for x in range(-r, r + 1) if x * x + y * y <= r * r]
+        box = (slice(cy - r - 1, cy + r + 2), slice(cx - r - 1, cx + r + 2))
+        src = out[sy - r - 1 : sy + r + 2, sx - r - 1 : sx + r + 2]
+        for c in range(3):
+            # each sweep uses the values it has just set, so this stays a plain loop
+            s, t = src[..., c].tolist(), out[box][..., c].tolist()
+            cells = [(y, x, 4 * s[y][x] - s[y - 1][x] - s[y + 1][x] - s[y][x - 1] - s[y][x + 1]) for y, x in spot]
+            for _ in range(POISSON_SWEEPS):
+                for y, x, lap in cells:
+                    t[y][x] = (t[y - 1][x] + t[y + 1][x] + t[y][x - 1] + t[y][x + 1] + lap) / 4
+            out[box[0], box[1], c] = t
         out = np.clip(np.floor(out + 0.5), 0, 255)
     return out.astype(np.uint8)
 
