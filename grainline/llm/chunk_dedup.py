@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .language_id import mix64
+from .tokens import release
 from .words import word_table
 
 WINDOW = 16
@@ -106,6 +107,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """The digest and place of every chunk."""
 
     def run(batches):
+        release()
         for batch in batches:
             ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a in range(0, batch.num_rows, 300):
@@ -148,6 +150,7 @@ def mark(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + RESULT
 
     def run(batches):
+        release()
         for batch in batches:
             for a in range(0, batch.num_rows, 300):
                 part = batch.slice(a, 300)

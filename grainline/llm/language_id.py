@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, table
+from .tokens import release
 
 ORDER = 4
 SAMPLE_DOCS = 600
@@ -230,6 +231,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + RESULT
 
     def run(batches):
+        release()
         m, memo = shared.value, {}
         for batch in batches:
             texts = batch.column(at).to_pylist()

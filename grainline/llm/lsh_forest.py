@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 from .components import block_pairs, components, spanning
+from .tokens import release
 from .words import hashed_words, shingles
 
 WORDS = 5
@@ -57,6 +58,7 @@ def signatures(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, k: int |
     add = rng.integers(0, 1 << 32, (trees, depth), np.uint32)
 
     def run(batches):
+        release()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
@@ -132,6 +134,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     rows = block_pairs(texts.select("component", "node", "copies", "_size", "text"), "_size", F.col("node"), BLOCK)
 
     def verify(_, t):
+        release()
         b, i, j = t["_b"].to_numpy(), t["_i"][0].as_py(), t["_j"][0].as_py()
         near = _near(t["text"].to_pylist(), similarity, words)
         if i != j:

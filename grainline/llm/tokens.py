@@ -9,6 +9,7 @@ neighbours first, as runs of white space are tokenized together.
 
 from __future__ import annotations
 
+import gc
 import os
 import unicodedata
 
@@ -226,3 +227,10 @@ def encoder(path: str, spaced: bool) -> Encoder:
     if (path, spaced) not in _ENCODERS:
         _ENCODERS[path, spaced] = Encoder(path, spaced)
     return _ENCODERS[path, spaced]
+
+
+def release() -> None:
+    """Drops what earlier tasks of this worker have learnt, for operators that need the memory themselves."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
