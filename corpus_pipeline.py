@@ -18,16 +18,16 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     ship(spark)
     models = language_id.fit(docs.where(remainder(5) != 0).select("doc_id", "text", "lang"))
-    return language_id.identify(docs, models).where("not rejected").select(*docs.columns)
+    return language_id.identify(docs, models, "_gl_").where("not _gl_rejected").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id."""
     found = lsh_forest.near_duplicates(docs).where("kept")
-    keep = found.groupBy(F.col("class_id").alias("_id")).agg(F.min("node").alias("_keep"))
-    d = docs.withColumn("_node", F.xxhash64("text"))
-    one = d.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_keep")))
-    return one.dropDuplicates(["doc_id", "_node"]).select(*docs.columns)
+    keep = found.groupBy(F.col("class_id").alias("_gl_id")).agg(F.min("node").alias("_gl_keep"))
+    d = docs.withColumn("_gl_node", F.xxhash64("text"))
+    one = d.join(keep, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.col("_gl_node") == F.col("_gl_keep")))
+    return one.dropDuplicates(["doc_id", "_gl_node"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,8 +98,8 @@ SHIFT = 32
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(
-        "_h", F.pmod(F.xxhash64("text"), F.lit(1 << 24))
+    return docs.withColumn("_gl_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(
+        "_gl_h", F.pmod(F.xxhash64("text"), F.lit(1 << 24))
     )
 
 
@@ -116,18 +116,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 place = (hs[a:][c.chunk_doc] << SHIFT) + (np.arange(len(d1)) - c.doc_first[c.chunk_doc])
                 yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(ids[a:][c.chunk_doc]), pa.array(place)], names=["d1", "d2", "doc", "place"])
 
-    return docs.select("_doc", "_h", "text").mapInArrow(run, PLACES)
+    return docs.select("_gl_doc", "_gl_h", "text").mapInArrow(run, PLACES)
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
-    """(_d, _x, dups): the numbers of each document's chunks that another place keeps."""
+    """(_gl_d, _gl_x, _gl_dups): the numbers of each document's chunks that another place keeps."""
     occ = occurrences(docs)
     # rows that agree in doc and text occur once
     kept = occ.groupBy("d1", "d2").agg(F.min(F.struct("doc", "place")).alias("k"), F.max(F.struct("doc", "place")).alias("l")).where("k <> l")
     kept = kept.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("k.doc").alias("kd"), F.col("k.place").alias("kp"))
     dup = occ.join(kept, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).where("doc <> kd or place <> kp")
-    dup = dup.select(F.col("doc").alias("_d"), F.shiftright("place", SHIFT).alias("_x"), (F.col("place") % (1 << SHIFT)).cast("int").alias("n"))
-    return dup.groupBy("_d", "_x").agg(F.collect_set("n").alias("dups"))
+    dup = dup.select(F.col("doc").alias("_gl_d"), F.shiftright("place", SHIFT).alias("_gl_x"), (F.col("place") % (1 << SHIFT)).cast("int").alias("n"))
+    return dup.groupBy("_gl_d", "_gl_x").agg(F.collect_set("n").alias("_gl_dups"))
 
 
 def _runs(dup: np.ndarray, words: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -141,13 +141,23 @@ RESULT = "n_chunks long, n_dup_chunks long, n_words long, removed_words long, sp
 
 
 def mark(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with counts, the removed spans (words, end exclusive) and the text without them."""
+    """docs with counts, the removed spans (words, end exclusive) and the text without them; columns of
+    docs that have these names are replaced."""
+    d = _marked(docs, min_words)
+    return d.select(*[c for c in docs.columns if c not in NAMES], *[F.col("_gl_" + c).alias(c) for c in NAMES])
+
+
+NAMES = [c.split()[0] for c in RESULT.split(", ")]
+
+
+def _marked(docs: DataFrame, min_words: int) -> DataFrame:
     k = _keyed(docs)
     d = duplicates(k)
-    joined = k.join(d, (F.col("_doc") == F.col("_d")) & (F.col("_h") == F.col("_x")), "left").select(*docs.columns, "dups")
+    on = (F.col("_gl_doc") == F.col("_gl_d")) & (F.col("_gl_h") == F.col("_gl_x"))
+    joined = k.join(d, on, "left").select(*[k[c] for c in docs.columns], "_gl_dups")
     names = docs.columns
     at, n = names.index("text"), len(names)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + RESULT
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + ", ".join("_gl_" + c for c in RESULT.split(", "))
 
     def run(batches):
         release()
@@ -181,7 +191,7 @@ def mark(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:n], *[pa.array(x, t) for x, t in zip(cols, kinds)]],
-                    names=[*names, "n_chunks", "n_dup_chunks", "n_words", "removed_words", "spans", "clean_text"],
+                    names=[*names, *["_gl_" + c for c in NAMES]],
                 )
 
     return joined.mapInArrow(run, schema)
@@ -189,8 +199,8 @@ def mark(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def deduplicate(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated passages cut out of text; a document of nothing else goes."""
-    d = mark(docs, min_words).where("removed_words = 0 or removed_words < n_words")
-    return d.select(*[F.col("clean_text").alias("text") if c == "text" else c for c in docs.columns])
+    d = _marked(docs, min_words).where("_gl_removed_words = 0 or _gl_removed_words < _gl_n_words")
+    return d.select(*[F.col("_gl_clean_text").alias("text") if c == "text" else c for c in docs.columns])
 
 
 def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,12 +223,13 @@ def fit(labelled: DataFrame) -> Models:
 RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
-def identify(docs: DataFrame, models: Models) -> DataFrame:
-    """docs with lang_pred, score, cross_entropy and rejected."""
+def identify(docs: DataFrame, models: Models, prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score, cross_entropy and rejected, all named with the prefix."""
+    own = [prefix + c.split()[0] for c in RESULT.split(", ")]
     shared = docs.sparkSession.sparkContext.broadcast(models)
     names = docs.columns
     at = names.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + RESULT
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + ", ".join(prefix + c for c in RESULT.split(", "))
 
     def run(batches):
         release()
@@ -245,7 +246,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.float64()), pa.array(no)],
-                    names=[*names, "lang_pred", "score", "cross_entropy", "rejected"],
+                    names=[*names, *own],
                 )
                 a = b
 

@@ -175,11 +175,11 @@ BROADCAST_SOURCES = 10_000
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The rows of the mix: each document's row as often as it is taken, with the columns of docs."""
     d = decide(docs, weights, share, most).where("total > 0")
-    d = d.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_text").alias("_x"), "total")
-    t = docs.withColumn("_text", F.xxhash64("text"))
-    on = t["doc_id"].eqNullSafe(d["_d"]) & t["source"].eqNullSafe(d["_s"]) & (t["_text"] == d["_x"])
-    one = t.join(d, on).dropDuplicates(["_d", "_s", "_x"])
-    return one.withColumn("_copy", F.explode(F.expr("sequence(1L, total)"))).select(*docs.columns)
+    d = d.select(F.col("doc_id").alias("_gl_d"), F.col("source").alias("_gl_s"), F.col("_text").alias("_gl_x"), F.col("total").alias("_gl_n"))
+    t = docs.withColumn("_gl_text", F.xxhash64("text"))
+    on = t["doc_id"].eqNullSafe(d["_gl_d"]) & t["source"].eqNullSafe(d["_gl_s"]) & (t["_gl_text"] == d["_gl_x"])
+    one = t.join(d, on).dropDuplicates(["_gl_d", "_gl_s", "_gl_x"])
+    return one.withColumn("_gl_copy", F.explode(F.expr("sequence(1L, _gl_n)"))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
