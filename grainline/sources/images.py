@@ -4,8 +4,6 @@ JPEG, PNG and BMP are decoded by Spark's image source; other kinds become error
 the file's own bytes. Images are written as PNG, as no JPEG encoder is at hand on the executors.
 """
 
-from __future__ import annotations
-
 import struct
 import zlib
 
@@ -94,7 +92,6 @@ def _tags(raw: bytes) -> dict:
     return out
 
 
-@F.pandas_udf(EXIF)
 def _exif(content: pd.Series) -> pd.DataFrame:
     rows = []
     for raw in content:
@@ -114,7 +111,7 @@ def _exif(content: pd.Series) -> pd.DataFrame:
 
 def with_exif(files: DataFrame) -> DataFrame:
     """files (path, content) with exif and taken (capture time, null on any failure; microseconds)."""
-    d = files.withColumn("exif", _exif("content"))
+    d = files.withColumn("exif", F.pandas_udf(_exif, EXIF)("content"))
     whole = F.try_to_timestamp("exif.taken", F.lit("yyyy:MM:dd HH:mm:ss")).cast("timestamp_ntz")
     micros = F.floor(F.coalesce(F.expr("try_cast(concat('0.', exif.subsec) as double)"), F.lit(0.0)) * 1_000_000).cast("int")
     return d.withColumn("taken", whole + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros / 1_000_000).cast("decimal(8,6)")))
@@ -129,11 +126,15 @@ def png(width: int, height: int, data: bytes) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
-@F.pandas_udf("binary")
-def encode_png(width: pd.Series, height: pd.Series, data: pd.Series) -> pd.Series:
+def _png(width: pd.Series, height: pd.Series, data: pd.Series) -> pd.Series:
     return pd.Series([png(w, h, d) for w, h, d in zip(width, height, data)])
 
 
+def encode_png(width, height, data):
+    """A column of PNG files; made when called, as it needs a session."""
+    return F.pandas_udf(_png, "binary")(width, height, data)
+
+
 def data_uri(encoded, kind: str = "image/png"):
     return F.concat(F.lit(f"data:{kind};base64,"), F.base64(encoded))
 
