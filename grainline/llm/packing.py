@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .tokens import SLICE, encoder
+from .tokens import encoder, slices
 
 CAPACITY = 2048
 #: Ids that wait in the pool of a task before windows are filled.
@@ -141,10 +141,10 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a in range(0, len(doc_ids), SLICE):
-                ids, counts = enc.encode(texts.slice(a, SLICE))
+            for a, k in slices(texts):
+                ids, counts = enc.encode(texts.slice(a, k))
                 at = 0
-                for doc, n in zip(doc_ids[a : a + SLICE], counts.tolist()):
+                for doc, n in zip(doc_ids[a : a + k], counts.tolist()):
                     own = np.append(ids[at : at + n], np.uint16(end_id))
                     at += n
                     total, start = len(own), 0

@@ -20,8 +20,8 @@ import regex
 
 #: Distinct pieces kept by a worker before its cache starts again.
 CACHE = 1_000_000
-#: Texts encoded together.
-SLICE = 1000
+#: Texts encoded together: so many, or so many bytes.
+SLICE, SLICE_BYTES = 4000, 12_000_000
 #: The vocabularies' own end mark.
 MARK = "<|endoftext|>"
 
@@ -58,7 +58,7 @@ class Encoder:
                 self._add(group, ids, np.zeros(1, np.int64), np.array([len(ids)]))
                 continue
             if joined:
-                text = group if self.spaced else [unicodedata.normalize("NFC", p).lower() for p in group]
+                text = group if self.spaced else [_lower(unicodedata.normalize("NFC", p)) for p in group]
                 ids = np.array(self.model.encode_batch_fast([self.gap.join(text)], add_special_tokens=False)[0].ids, np.uint16)
                 upto = np.cumsum(self.bytes[ids])
                 seen = text if self.spaced else ["".join(p.split()) for p in text]  # this vocabulary drops white space
@@ -84,31 +84,37 @@ class Encoder:
         self.known.update(zip(pieces, range(k, k + n)))
         self.n += len(ids)
 
-    def _learn_stems(self, pieces: list[str], joined: bool) -> None:
-        """A piece that ends in a full stop or comma after a letter is a known stem and that mark:
-        letters and marks are never one token, so the ids of both are joined."""
-        known, stems, ends, whole = self.known, [], [], []
+    def _learn_parts(self, pieces: list[str], joined: bool) -> None:
+        """A piece of letters, ASCII marks and single line ends is put together from its parts: neither
+        pre-tokenizer lets a token cross from one to the other. Parts repeat more often than pieces do."""
+        known, parts, sizes, split = self.known, [], [], _PARTS.fullmatch
+        cut, whole = [], []
         for p in pieces:
-            if p[-1] in ".," and len(p) > 2 and p[-2].isalpha():
-                stems.append(p[:-1])
-                ends.append(p)
+            m = None if p[-1].isalpha() and "\n" not in p else split(p)
+            # a letter that normalising takes apart would leave a mark before the part that follows
+            if m and not self.spaced and not unicodedata.is_normalized("NFC", p):
+                m = None
+            own = [x for x in m.groups() if x] if m else []
+            if len(own) > 1:
+                cut.append(p)
+                sizes.append(len(own))
+                parts += own
             else:
                 whole.append(p)
-        self._learn(list(dict.fromkeys(x for x in [*whole, *stems] if x not in known)), joined)
-        self._learn([x for x in ".," if x not in known])
-        if not ends:
+        need = list(dict.fromkeys(x for x in [*whole, *parts] if x not in known))
+        # parts after the first have no space before them and are learnt apart from those that do
+        late = [x for x in need if x[0] != " "] if joined and self.spaced else []
+        self._learn([x for x in need if x[0] == " "] if late else need, joined)
+        self._learn(late)
+        if not cut:
             return
-        at = np.array([known[x] for x in stems])
-        mark = np.array([self.ids[self.starts[known[m]]] for m in ".,"], np.uint16)
-        a, n = self.starts[at], self.sizes[at].astype(np.int64)
-        size = n + 1
-        begins = np.cumsum(size) - size
-        ids = np.empty(int(size.sum()), np.uint16)
-        place = np.arange(len(ids)) - np.repeat(begins, size)
-        last = place == np.repeat(n, size)
-        ids[~last] = self.ids[np.repeat(a, n) + place[~last]]
-        ids[last] = mark[np.array([x[-1] == "," for x in ends], np.int64)]
-        self._add(ends, ids, begins, size)
+        at = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        n = self.sizes[at].astype(np.int64)
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.starts[at] - (ends - n), n) + np.arange(int(ends[-1]))]
+        upto = ends[np.cumsum(sizes) - 1]
+        begins = np.concatenate([[0], upto[:-1]])
+        self._add(cut, ids, begins, upto - begins)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each text; null is empty."""
@@ -142,7 +148,7 @@ class Encoder:
             at = list(map(self.known.get, wanted))
             new = [i for i, x in enumerate(at) if x is None]
             if plain:
-                self._learn_stems([wanted[i] for i in new], wanted is keys)
+                self._learn_parts([wanted[i] for i in new], wanted is keys)
             else:
                 self._learn([wanted[i] for i in new])
             for i in new:
@@ -190,6 +196,22 @@ class Encoder:
         return np.concatenate([self.ids[self.starts[x] : self.starts[x] + self.sizes[x]] for x in k]) if k else self.ids[:0]
 
 
+def slices(texts: pa.Array):
+    """(first, number) of runs of texts to encode together."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SLICE_BYTES, side="right"))
+        b = min(max(b, a + 1), a + SLICE)
+        yield a, b - a
+        a = b
+
+
+def _lower(text: str) -> str:
+    """Character by character, as the vocabulary does; str.lower looks around a capital sigma."""
+    return text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)
+
+
 def _odd(words: pa.Array) -> np.ndarray:
     """Which pieces EDGES matches; printable ASCII at both ends settles most without a pattern."""
     at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
@@ -219,6 +241,9 @@ def _plain(w: str) -> bool:
 #: Pieces that are empty, or begin or end with white space, control or format characters.
 EDGES = r"^$|^[\s\x0b\p{Z}\p{C}]|[\s\x0b\p{Z}\p{C}]$"
 _EDGE = regex.compile(r"[\s\p{Z}\p{C}]")
+#: Letters and the ASCII marks after them, twice at most around a line end; the apostrophe (contractions) is none of the marks.
+#: U+0130 becomes a letter and a mark in lower case.
+_PARTS = regex.compile(r"( ?[\p{L}--\u0130]+)([!-&(-/:-@\[-`{-~]+)?(?:(\n)([\p{L}--\u0130]+)([!-&(-/:-@\[-`{-~]+)?)?", regex.V1)
 _ENCODERS: dict[tuple, Encoder] = {}
 
 

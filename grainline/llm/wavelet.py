@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Output, make_dir, open_in, scratch, stored, table
 from .packing import default_vocabulary
-from .tokens import SLICE, encoder
+from .tokens import encoder, slices
 
 MAGIC = b"GLWM1\0"
 BLOCK = 1 << 16
@@ -203,11 +203,11 @@ def write_shards(docs: DataFrame, path: str, out_dir: str, end_id: int = END, sp
 
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a in range(0, len(doc_ids), SLICE):
-                got, counts = enc.encode(texts.slice(a, SLICE))
+            for a, k in slices(texts):
+                got, counts = enc.encode(texts.slice(a, k))
                 ends = np.cumsum(counts)
                 ids.append(np.insert(got, ends, np.uint16(end_id)))
-                own += zip(doc_ids[a : a + SLICE], (counts + 1).tolist())
+                own += zip(doc_ids[a : a + k], (counts + 1).tolist())
                 held += len(got) + len(counts)
                 if held >= SHARD_IDS:
                     yield flush()

@@ -55,7 +55,7 @@ def test_quality_rules_edges(edge):
 def test_encoder_equals_library():
     from tokenizers import Tokenizer
 
-    texts = [x[1] for x in EDGE] + ["ΣΑΣ ñ  x", "it's 3,5. ", "é ́ a", "a ​ b\x1c c"]
+    texts = [x[1] for x in EDGE] + ["ΣΑΣ ñ  x", "it's 3,5. ", "aİ.\nb क़. ΑΣ,\nΣΑΣ.", "a.\nb c²..\nd e.'s", "é ́ a", "a ​ b\x1c c"]
     import pyarrow as pa
 
     for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
