@@ -1,12 +1,15 @@
 """Near-duplicate vectors by spherical-cap filters.
 
-Filter directions are a structured random product code: the coordinates are halved, each half has
-``B`` random unit vectors, and a direction is one of each, B * B in all. A vector is list-decoded
-to every direction whose inner product exceeds the threshold: the scores of both halves are sorted
-and only combinations that can reach it are looked at. Vectors of a label that share a filter are
-compared in double precision. B and the threshold follow from the number of vectors and the
-cosine, so that a filter holds about ``BUCKET`` vectors of the largest label and two vectors at
-the cosine share about ``SHARED`` filters.
+Filter directions are structured random product codes: the coordinates are turned at random and halved,
+each half has ``b`` random unit vectors, and a direction is one of each, b * b in all (below 8
+dimensions the directions are plain random vectors). A vector is list-decoded to every direction whose inner
+product exceeds the threshold: only combinations of half scores that can reach it are looked at.
+Vectors of a label that share a filter are compared in double precision.
+
+Hits of one code come in clusters, so several codes are used, turned independently: a pair then misses
+them all with the product of the single chances, wherever it lies. The threshold follows from the true cap
+probabilities of the dimension and the largest label of that dimension; codes are added until, of
+``PAIRS`` random pairs at the cosine, at most the share ``MISS`` meets in no filter of any code.
 
 Equal vectors are one node first. Buckets emit a spanning forest of their links, never all pairs;
 links are counted afterwards inside the connected components, in blocks, where every link lies.
@@ -18,6 +21,7 @@ equal, else compared as if they had ids of their own; an empty table gives no ro
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -29,72 +33,136 @@ from .common import stored, table
 from .components import block_pairs, components, spanning
 
 COSINE = 0.93
-BUCKET = 32
-SHARED = 20
+#: Share of the pairs at the cosine that may meet in no filter, and the pairs it is measured on.
+MISS = 0.002
+PAIRS = 4000
+#: Comparisons that cost as much as one more row of a bucket.
+COMPARED = 300
+#: Filters of one code that two vectors at the cosine share in the mean.
+SHARED = 0.7
+#: Below so many dimensions directions are not products.
+PLAIN = 8
 SEED = 20240501
 #: Rows of one block of a group that is compared in pieces.
 BLOCK = 1500
 
 
-def _tail(t: float) -> float:
-    return 0.5 * math.erfc(t / math.sqrt(2))
+def _angles(dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles, and the share of the unit sphere within each of them from a direction."""
+    a = np.linspace(0, math.pi, 20001)
+    if dims == 1:
+        return a, np.where(a < math.pi, 0.5, 1.0)
+    f = np.sin(a) ** (dims - 2)
+    c = np.concatenate([[0], np.cumsum(f[1:] + f[:-1])])
+    return a, c / c[-1]
 
 
-def _both(t: float, rho: float) -> float:
-    """P(y > t | x > t) of normal variables correlated by rho."""
-    x = np.linspace(t, t + 8, 4001)
-    f = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-    y = np.array([_tail(v) for v in (t - rho * x) / math.sqrt(1 - rho * rho)])
-    return float((f * y).sum() * (x[1] - x[0]) / _tail(t))
+def _cap(angles, least):
+    """P(u x >= least) of a random unit vector u."""
+    return np.interp(np.arccos(np.clip(least, -1, 1)), *angles)
 
 
-def tune(n: int, cosine: float = COSINE, bucket: int = BUCKET, shared: float = SHARED) -> tuple[int, float]:
-    """(vectors a half, threshold in standard deviations) for n vectors of a label."""
-    t = 1.0
-    while True:
-        p = _tail(t)
-        lists = shared / _both(t, cosine)
-        if n * p <= bucket or t > 6:
-            return max(4, math.ceil(math.sqrt(lists / p))), t
-        t += 0.05
+def _both(dims: int, least: float, cosine: float, below) -> float:
+    """P(u y >= least | u x >= least) of two unit vectors at that cosine; ``below``: angles of one dimension less."""
+    a = np.linspace(0, math.acos(least), 1002)[1:]
+    w, z = np.sin(a) ** (dims - 2), np.cos(a)
+    q = (least - cosine * z) / (math.sqrt(1 - cosine * cosine) * np.sin(a))
+    # beyond the unit interval all or none of the circle around x lies in the cap
+    hit = np.where(q > 1, 0.0, _cap(below, q))
+    return float((w * hit).sum() / w.sum())
 
 
 class Code:
-    def __init__(self, dims: int, b: int, t: float):
-        rng = np.random.default_rng([SEED, dims, b])
+    def __init__(self, dims: int, b: int, least: float, number: int = 0):
+        rng = np.random.default_rng([SEED, dims, b, number])
+        self.b, self.least = b, least * math.sqrt(2)
+        if dims < PLAIN:
+            a = rng.standard_normal((dims, b)) if dims > 1 else np.array([[1.0, -1.0]])
+            self.a, self.c = a * math.sqrt(2) / np.linalg.norm(a, axis=0), np.zeros((dims, 1))
+            return
         # the coordinates are turned at random first, so that no half is special
-        self.turn = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
-        self.half = (dims + 1) // 2
-        a, c = rng.standard_normal((b, self.half)), rng.standard_normal((b, max(1, dims - self.half)))
-        self.a, self.c = a / np.linalg.norm(a, axis=1, keepdims=True), c / np.linalg.norm(c, axis=1, keepdims=True)
-        self.b, self.least = b, t * math.sqrt(2) / math.sqrt(dims)
+        turn, r = np.linalg.qr(rng.standard_normal((dims, dims)))
+        turn *= np.sign(np.diag(r))
+        half = (dims + 1) // 2
+        a, c = rng.standard_normal((half, b)), rng.standard_normal((dims - half, b))
+        self.a, self.c = turn[:, :half] @ (a / np.linalg.norm(a, axis=0)), turn[:, half:] @ (c / np.linalg.norm(c, axis=0))
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) for every filter that a unit vector exceeds."""
-        x = x @ self.turn
-        s = x[:, : self.half] @ self.a.T
-        r = x[:, self.half :] if x.shape[1] > self.half else np.zeros((len(x), 1))
-        q = r @ self.c.T
-        order = np.argsort(-q, axis=1)
-        q = np.take_along_axis(q, order, 1)
-        rows, filters = [], []
-        for i in range(len(x)):
-            can = np.flatnonzero(s[i] + q[i, 0] >= self.least)
-            k = np.searchsorted(-q[i], s[i, can] - self.least, side="right")
-            n = int(k.sum())
-            if n:
-                at = np.arange(n) - np.repeat(np.cumsum(k) - k, k)
-                filters.append(np.repeat(can, k) * self.b + order[i, at])
-                rows.append(np.full(n, i))
-        none = np.zeros(0, np.int64)
-        return (np.concatenate(rows), np.concatenate(filters)) if rows else (none, none)
-
-
-def _matrix(blobs) -> np.ndarray:
-    x = np.stack([np.frombuffer(b, "<f8") for b in blobs])
+        """(row, filter) for every filter that a unit vector exceeds, by rows."""
+        s, q = x @ self.a, x @ self.c
+        row, col = np.nonzero(q >= (self.least - s.max(1))[:, None])
+        # one ascending list: rows are 8 apart, scores of a row fall
+        key = row * 8.0 - q[row, col]
+        order = np.argsort(key, kind="stable")
+        key, col = key[order], col[order]
+        start = np.searchsorted(row, np.arange(len(x)))
+        at, can = np.nonzero(s >= (self.least - q.max(1))[:, None])
+        k = np.maximum(0, np.searchsorted(key, at * 8.0 + (s[at, can] - self.least), side="right") - start[at])
+        i = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+        return np.repeat(at, k), np.repeat(can, k) * self.b + col[np.repeat(start[at], k) + i]
+
+
+@functools.lru_cache(64)
+def code(dims: int, b: int, least: float, number: int) -> Code:
+    return Code(dims, b, least, number)
+
+
+def pairs_at(dims: int, n: int, cosine: float, rng) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors at that cosine, as two matrices."""
+    x, y = rng.standard_normal((2, n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(1 - cosine * cosine) * y
+
+
+def meet(c: Code, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows of x and y share a filter."""
+    hit = np.zeros(len(x), bool)
+    for a in range(0, len(x), 500):
+        (r, f), (u, g) = c.decode(x[a : a + 500]), c.decode(y[a : a + 500])
+        both = np.intersect1d(r * (c.b * c.b) + f, u * (c.b * c.b) + g)
+        hit[a + both // (c.b * c.b)] = True
+    return hit
+
+
+def tune(n: int, dims: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, float, int]:
+    """(vectors a half, threshold, number of codes) for n vectors of a label."""
+    if dims == 1:
+        return 2, 0.5, 1
+    cosine = min(cosine, 0.9999)
+    angles, below = _angles(dims), _angles(dims - 1)
+    least = np.linspace(0.01, 0.99, 99)
+    p = _cap(angles, least)
+    both = np.array([_both(dims, v, cosine, below) for v in least])
+    i = int(np.argmin((1 + n * p / COMPARED) / np.maximum(both, 1e-12)))
+    lists = SHARED / both[i] / p[i]
+    b, v = max(4, math.ceil(lists if dims < PLAIN else math.sqrt(lists))), float(least[i])
+    x, y = pairs_at(dims, PAIRS, cosine, np.random.default_rng([SEED, dims]))
+    number = 0
+    while len(x) > miss * PAIRS:
+        left = ~meet(Code(dims, b, v, number), x, y)
+        x, y, number = x[left], y[left], number + 1
+    return b, v, number
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Single precision where that is exact."""
+    with np.errstate(over="ignore"):
+        f = x.astype("<f4")
+    return f.tobytes() if (f == x).all() else x.tobytes()
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    # scaled first: squares of very large or small components stay finite
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _matrix(blobs, dims: int) -> np.ndarray:
+    return _unit(np.stack([np.frombuffer(b, "<f4" if len(b) == 4 * dims else "<f8") for b in blobs]).astype("<f8"))
+
+
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows: _row, vec_id, node or null; nodes: node, label, dims, copies, v), v as packed doubles."""
     d = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
@@ -113,31 +181,28 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 BUCKETS = "node long, label string, dims int, filter long, v binary"
 
 
-def buckets(nodes: DataFrame, b: int, t: float) -> DataFrame:
-    """A row for each node and filter it exceeds."""
+def buckets(nodes: DataFrame, plans: dict[int, tuple[int, float, int]]) -> DataFrame:
+    """A row for each node and filter it exceeds; plans: what ``tune`` gives, by dimension."""
 
     def run(batches):
-        codes: dict[int, Code] = {}
         for batch in batches:
             ids, labels, dims, es = (batch.column(k).to_pylist() for k in range(4))
-            for a in range(0, len(ids), 2000):
-                for dim in sorted(set(dims[a : a + 2000])):
-                    at = [i for i in range(a, min(a + 2000, len(ids))) if dims[i] == dim]
+            for a in range(0, len(ids), 1000):
+                for dim in sorted(set(dims[a : a + 1000])):
+                    at = [i for i in range(a, min(a + 1000, len(ids))) if dims[i] == dim]
                     x = np.array([es[i] for i in at], "<f8")
-                    code = codes.setdefault(dim, Code(dim, b, t))
-                    # scaled first: squares of very large or small components stay finite
-                    unit = x / np.abs(x).max(1, keepdims=True)
-                    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-                    rows, filters = code.decode(unit)
-                    packed = [u.tobytes() for u in unit]
-                    rl = rows.tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([ids[at[i]] for i in rl], pa.int64()), pa.array([labels[at[i]] for i in rl], pa.string()),
-                            pa.array([dim] * len(rl), pa.int32()), pa.array(filters, pa.int64()), pa.array([packed[i] for i in rl], pa.binary()),
-                        ],
-                        names=["node", "label", "dims", "filter", "v"],
-                    )
+                    unit, packed = _unit(x), [_packed(v) for v in x]
+                    b, least, number = plans[dim]
+                    for k in range(number):
+                        rows, filters = code(dim, b, least, k).decode(unit)
+                        rl = rows.tolist()
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([ids[at[i]] for i in rl], pa.int64()), pa.array([labels[at[i]] for i in rl], pa.string()),
+                                pa.array([dim] * len(rl), pa.int32()), pa.array(filters + k * b * b, pa.int64()), pa.array([packed[i] for i in rl], pa.binary()),
+                            ],
+                            names=["node", "label", "dims", "filter", "v"],
+                        )
 
     return nodes.select("node", F.col("label").cast("string"), "dims", "e").mapInArrow(run, BUCKETS)
 
@@ -148,7 +213,7 @@ def _linked(cosine: float):
     def run(t):
         # both parts of a block pair, or one block
         b, i, j = t["_b"].to_numpy(), t["_i"][0].as_py(), t["_j"][0].as_py()
-        x = _matrix(t["v"].to_pylist())
+        x = _matrix(t["v"].to_pylist(), t["dims"][0].as_py())
         near = np.zeros((len(x), len(x)), bool)
         for a in range(0, len(x), 512):
             near[a : a + 512] = x[a : a + 512] @ x.T >= cosine
@@ -164,10 +229,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of (vec_id, embedding, label)."""
     rows, nodes = classes(vectors)
     nodes = stored(nodes, "cap-nodes")
-    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    b, t = tune(largest, cosine)
+    sizes = nodes.groupBy("label", "dims").count().groupBy("dims").agg(F.max("count")).collect()
+    plans = {dims: tune(n, dims, cosine) for dims, n in sizes}
     find = _linked(cosine)
-    d = buckets(nodes, b, t)
+    d = buckets(nodes, plans)
     key = ["label", "dims", "filter"]
     # only filters with very many vectors are named here; the others are one block each
     hot = d.select(*key).groupBy(*key).agg(F.count("*").alias("_size")).where(F.col("_size") > BLOCK)
@@ -184,12 +249,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     comp = stored(components(edges), "cap-components")
     # links are counted where they are: inside components
     sizes = comp.groupBy("component").agg(F.count("*").alias("_size"))
-    members = nodes.join(comp, nodes["node"] == comp["id"]).join(sizes, "component").select("component", "node", "copies", "e", "_size")
+    members = nodes.join(comp, nodes["node"] == comp["id"]).join(sizes, "component").select("component", "node", "copies", "dims", "e", "_size")
     members = block_pairs(members, "_size", F.col("node"), BLOCK)
 
     def count(_, t):
         x = np.array(t["e"].to_pylist(), "<f8")
-        x = x / np.abs(x).max(1, keepdims=True)
         t = t.append_column("v", pa.array([u.tobytes() for u in x], pa.binary()))
         n = (find(t) @ t["copies"].to_numpy()).astype(np.int64)
         return pa.table({"node": t["node"], "n": pa.array(n, pa.int64())})

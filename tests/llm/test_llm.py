@@ -199,6 +199,27 @@ def test_cap_filters_against_brute_force(spark):
     assert want > 0 and n >= 0.9 * want
 
 
+@pytest.mark.parametrize("n, dims", [(2000, 64), (100_000, 64), (1_000_000, 64), (100_000, 4), (3000, 2), (100_000, 9), (100_000, 300)])
+def test_cap_filters_meet_at_the_cosine(n, dims):
+    b, least, number = cap_filters.tune(n, dims)
+    x, y = cap_filters.pairs_at(dims, 3000, 0.93, np.random.default_rng(77))
+    hit = np.zeros(3000, bool)
+    for k in range(number):
+        hit |= cap_filters.meet(cap_filters.code(dims, b, least, k), x, y)
+    assert hit.mean() >= 0.994
+
+
+def test_cap_filters_in_few_dimensions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.standard_normal(4)], 1) for i in range(2000)] + [(2000, [2.0], 1), (2001, [3.0], 1), (2002, [-1.0], 1)]
+    got = {r["vec_id"]: r["n_links"] for r in cap_filters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = np.array([v for _, v, _ in rows[:2000]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = (x @ x.T >= 0.93).sum(1) - 1
+    assert sum(got[i] for i in range(2000)) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in range(2000))
+    assert [got[i] for i in (2000, 2001, 2002)] == [1, 1, 0]
+
+
 def test_jaccard_join_against_brute_force(spark, docs):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()] + [(10_001, None), (10_002, ""), (10_003, LONG), (10_004, LONG + " tail"), (10_004, LONG + " tail")]
     got = lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
