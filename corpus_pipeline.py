@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainline.llm import chunk_dedup, language_id, lsh_forest, mixing, packing
-from grainline.llm.common import remainder, stored, table
+from grainline.llm.common import WORD, remainder, stored, table
 from grainline.session import ship
 
 
@@ -22,12 +22,15 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
-    found = lsh_forest.near_duplicates(docs).where("kept")
-    keep = found.groupBy(F.col("class_id").alias("_gl_id")).agg(F.min("node").alias("_gl_keep"))
+    """One document of each group of near copies, that of the smallest doc_id (null after all others); documents
+    without words are in no group and all stay."""
+    found = lsh_forest.near_duplicates(docs).where("component is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("_gl_first")
+    keep = found.groupBy("component").agg(first).select(F.col("_gl_first.doc_id").alias("_gl_id"), F.col("_gl_first.node").alias("_gl_keep"))
     d = docs.withColumn("_gl_node", F.xxhash64("text"))
     one = d.join(keep, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.col("_gl_node") == F.col("_gl_keep")))
-    return one.dropDuplicates(["doc_id", "_gl_node"]).select(*docs.columns)
+    one = one.dropDuplicates(["doc_id", "_gl_node"]).select(*docs.columns)
+    return one.unionAll(docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,7 +116,8 @@ def _near(texts: list[str], similarity: float, words: int) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """doc_id, node, class_id, n_links (other rows linked directly) and kept for each row of (doc_id, text)."""
+    """doc_id, node, component (smallest node of the class, null without words), class_id, n_links (other
+    rows linked directly) and kept for each row of (doc_id, text)."""
     s = stored(signatures(docs, k=level(similarity, recall=recall), words=words), "forest-signatures")
     nodes = s.where("runs > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes"))
     nodes = stored(nodes, "forest-nodes")
@@ -156,14 +157,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
         "forest-classes",
     )
     least = per.groupBy("_c").agg(F.min("least").alias("_class"))
-    per = per.join(least, "_c").select(F.col("node").alias("_node"), "_links", "_class")
+    per = per.join(least, "_c").select(F.col("node").alias("_node"), "_links", "_class", "_c")
     d = s.select("doc_id", "node", "runs").join(per, (F.col("node") == F.col("_node")) & (F.col("runs") > 0), "left")
     class_id = F.when(F.col("_node").isNull(), F.col("doc_id")).otherwise(F.col("_class"))
     return d.select(
-        "doc_id", "node", class_id.alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
+        "doc_id", "node", F.col("_c").alias("component"), class_id.alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
         class_id.eqNullSafe(F.col("doc_id")).alias("kept"),
     )
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("node", "component")

@@ -302,3 +302,13 @@ def test_pipeline_on_edges(spark, edge):
     empty = edge.limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_pipeline_keeps_one_document_of_each_group(spark):
+    import corpus_pipeline as cp
+
+    make = lambda k: " ".join(f"{k}word{i}" for i in range(60))
+    rows = [(None, make("a")), (None, make("b")), (7, make("c")), (7, make("d")), (7, make("d")), (8, make("d") + " tail"), (None, make("c") + " tail"), (9, None), (None, ""), (None, " ")]
+    got = cp.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    want = [rows[i] for i in (0, 1, 2, 3, 7, 8, 9)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
