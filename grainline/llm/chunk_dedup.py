@@ -92,19 +92,20 @@ class Chunks:
         return a.view(np.int64), b.view(np.int64)
 
 
-PLACES = "d1 long, d2 long, doc long, place long"
-#: A place: 24 bits of the text's hash, then the chunk's number.
-SHIFT = 32
+PLACES = "d1 long, d2 long, doc long, h long, place int"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_gl_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(
-        "_gl_h", F.pmod(F.xxhash64("text"), F.lit(1 << 24))
-    )
+    """docs with the document's key (_gl_doc, _gl_h): its id, and the text's hash if any id has several texts."""
+    d = docs.withColumn("_gl_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    h = F.xxhash64("text")
+    several = d.groupBy("_gl_doc").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").limit(1).count()
+    # a constant costs little in the shuffles of chunks
+    return d.withColumn("_gl_h", h if several else F.lit(0).cast("long"))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """The digest and place of every chunk."""
+    """The digest, document and number of every chunk."""
 
     def run(batches):
         release()
@@ -113,8 +114,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
             for a in range(0, batch.num_rows, 300):
                 c = Chunks(batch.column(2).slice(a, 300).to_pylist())
                 d1, d2 = c.digests()
-                place = (hs[a:][c.chunk_doc] << SHIFT) + (np.arange(len(d1)) - c.doc_first[c.chunk_doc])
-                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(ids[a:][c.chunk_doc]), pa.array(place)], names=["d1", "d2", "doc", "place"])
+                place = (np.arange(len(d1)) - c.doc_first[c.chunk_doc]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(d1), pa.array(d2), pa.array(ids[a:][c.chunk_doc]), pa.array(hs[a:][c.chunk_doc]), pa.array(place)],
+                    names=["d1", "d2", "doc", "h", "place"],
+                )
 
     return docs.select("_gl_doc", "_gl_h", "text").mapInArrow(run, PLACES)
 
@@ -122,11 +126,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame) -> DataFrame:
     """(_gl_d, _gl_x, _gl_dups): the numbers of each document's chunks that another place keeps."""
     occ = occurrences(docs)
+    at = F.struct("doc", "h", "place")
     # rows that agree in doc and text occur once
-    kept = occ.groupBy("d1", "d2").agg(F.min(F.struct("doc", "place")).alias("k"), F.max(F.struct("doc", "place")).alias("l")).where("k <> l")
-    kept = kept.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("k.doc").alias("kd"), F.col("k.place").alias("kp"))
-    dup = occ.join(kept, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).where("doc <> kd or place <> kp")
-    dup = dup.select(F.col("doc").alias("_gl_d"), F.shiftright("place", SHIFT).alias("_gl_x"), (F.col("place") % (1 << SHIFT)).cast("int").alias("n"))
+    kept = occ.groupBy("d1", "d2").agg(F.min(at).alias("k"), F.max(at).alias("l")).where("k <> l")
+    kept = kept.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("k.doc").alias("kd"), F.col("k.h").alias("kh"), F.col("k.place").alias("kp"))
+    dup = occ.join(kept, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).where("doc <> kd or h <> kh or place <> kp")
+    dup = dup.select(F.col("doc").alias("_gl_d"), F.col("h").alias("_gl_x"), F.col("place").alias("n"))
     return dup.groupBy("_gl_d", "_gl_x").agg(F.collect_set("n").alias("_gl_dups"))
 
 
