@@ -1,11 +1,11 @@
-"""Near-duplicate texts by a MinHash LSH forest and exact verification.
+"""Near-duplicate texts by MinHash banding and exact verification.
 
 Sets are runs of five words (A-Z lower-cased, words parted by white space). A text's MinHash
-signature fills ``TREES`` prefix tries of ``DEPTH`` values each. Texts match in a tree when they share a
-prefix; prefixes are shortened from the full depth, level by level, until the share of pairs at the
-wanted similarity that match in some tree reaches ``RECALL``. A sorted trie's node at that level is a run
-of equal prefixes, so nodes are found by an aggregate over (tree, prefix); a node links its members
-to its smallest one. The components of those links are the candidate groups, and inside a group
+signature has ``TREES`` bands of as many values, at most ``DEPTH``, as let the share of pairs at the wanted
+similarity that agree in some whole band reach ``RECALL`` (``level``: a formula, 8 values by default). This
+stands in for an LSH forest: with one threshold for all texts, matches at longer prefixes are among those at
+this one, so no tries are kept and no more values are computed. Texts that agree in a band are found by an
+aggregate over (tree, prefix), which links its members to the smallest one. The components of those links are the candidate groups, and inside a group
 every pair is verified exactly by the shingles themselves, in blocks of bounded size. Links are
 counted there and a spanning forest of them gives the final classes; pairs are never emitted.
 
