@@ -41,6 +41,8 @@ from .words import word_table
 CUT = 5
 #: Tokens of a batch.
 TOKENS = 2_000_000
+#: Training tokens whose bigrams are counted in one task.
+PART_TOKENS = 4_000_000
 #: A history is split where it holds more than this share of a part's mean load.
 HOT = 0.5
 END = np.uint64(0x3C656E643E)
@@ -61,6 +63,24 @@ def _load(uri: str) -> dict:
         return pickle.load(z)
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as planes of bytes, lowest first, as many as the largest needs; planes of small
+    numbers are mostly zero and cost little once compressed."""
+    a = np.ascontiguousarray(a, "<u8")
+    k = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([k]) + a.view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes()
+
+
+def spread(b: bytes) -> np.ndarray:
+    """The numbers of ``squeeze``, as 64-bit integers."""
+    if not b:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view("<i8").ravel()
+
+
 def discounts(n: list[float]) -> np.ndarray:
     """d for counts 0 to CUT (1 beyond) from n[r], the number of grams with count r, r up to CUT + 1.
 
@@ -139,10 +159,10 @@ def batches(docs: DataFrame, base: str, n: int) -> DataFrame:
             held = np.concatenate([x[4] for x in held_back_now])
             ids = [d for x in held_back_now for d in x[3]]
             train = np.repeat(~held, sizes)
-            counts = np.bincount(idx[train], minlength=len(vocab)).astype(np.uint32)
+            counts = np.bincount(idx[train], minlength=len(vocab))
             _save(f"{base}/{batch}.tokens", {"vocab": vocab, "idx": idx, "sizes": sizes, "held": held, "ids": ids, "end": end})
             edge = np.searchsorted(part, np.arange(n + 1))
-            rows = [(p, batch, vocab[a:b].tobytes(), counts[a:b].tobytes()) for p, a, b in zip(range(n), edge[:-1].tolist(), edge[1:].tolist()) if b > a]
+            rows = [(p, batch, vocab[a:b].tobytes(), squeeze(counts[a:b])) for p, a, b in zip(range(n), edge[:-1].tolist(), edge[1:].tolist()) if b > a]
             return _rows(rows, "part int, batch long, w binary, c binary")
 
         for b in it:
@@ -191,19 +211,25 @@ def _by(df: DataFrame, n: int, key: str) -> DataFrame:
 WORDS = "batch long, part int, c binary, kinds long, total long, n binary"
 
 
+def _sum(at: np.ndarray, counts: list[np.ndarray], n: int) -> np.ndarray:
+    """Whole sums of counts by place."""
+    out = np.zeros(n, np.int64)
+    np.add.at(out, at, np.concatenate(counts) if counts else np.zeros(0, np.int64))
+    return out
+
+
 def answer_words(asked: DataFrame, n: int) -> DataFrame:
     """Each part's counts for each batch; one row with batch -1 a part holds its sums."""
 
     def run(it):
         for part, rows in _groups(it, 0):
             ws = [np.frombuffer(r[2], np.uint64) for r in rows]
-            cs = [np.frombuffer(r[3], np.uint32) for r in rows]
             u, inv = np.unique(np.concatenate(ws), return_inverse=True)
-            total = np.bincount(inv, np.concatenate(cs), len(u)).astype(np.uint32)
+            total = _sum(inv, [spread(r[3]) for r in rows], len(u))
             edge = np.cumsum([0] + [len(w) for w in ws])
             of_count = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3).astype(np.int64)
-            out = [(r[1], part, total[inv[a:b]].tobytes(), 0, 0, b"") for r, a, b in zip(rows, edge[:-1], edge[1:])]
-            out.append((-1, part, b"", int((total > 0).sum()), int(total.sum(dtype=np.int64)), of_count.tobytes()))
+            out = [(r[1], part, squeeze(total[inv[a:b]]), 0, 0, b"") for r, a, b in zip(rows, edge[:-1], edge[1:])]
+            out.append((-1, part, b"", int((total > 0).sum()), int(total.sum()), of_count.tobytes()))
             yield _rows(out, WORDS)
 
     return _by(asked, n, "part").mapInArrow(run, WORDS)
@@ -265,21 +291,20 @@ ASK = "part int, batch long, v binary, k binary, w binary, c binary, cw binary"
 def ask_bigrams(answers: DataFrame, base: str, uni: Unigrams, n: int) -> DataFrame:
     def run(it):
         for batch, rows in _groups(it, 0):
-            counts = np.concatenate([np.frombuffer(r[2], np.uint32) for r in sorted(rows, key=lambda r: r[1])])
+            counts = np.concatenate([spread(r[2]) for r in sorted(rows, key=lambda r: r[1])])
             _save(f"{base}/{batch}.counts", {"counts": counts})
             b = Batch(f"{base}/{batch}.tokens", counts, uni, n)
             edge = np.searchsorted(b.part, np.arange(n + 1))
             upto = np.concatenate([[0], np.cumsum(b.per)])
             tail = np.zeros((len(b.tail), 6), np.uint8)
             tail[:] = b.tail.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            here, cw = b.seen_here[b.asked].astype(np.uint32), b.c[b.w[b.asked]].astype(np.uint32)
-            per = b.per.astype(np.uint32)
+            here, cw, per = b.seen_here[b.asked], b.c[b.w[b.asked]], b.per
             out = []
             for p in range(n):
                 i, j = int(edge[p]), int(edge[p + 1])
                 if j > i:
                     s, e = int(upto[i]), int(upto[j])
-                    out.append((p, batch, b.hv[i:j].tobytes(), per[i:j].tobytes(), tail[s:e].tobytes(), here[s:e].tobytes(), cw[s:e].tobytes()))
+                    out.append((p, batch, b.hv[i:j].tobytes(), squeeze(per[i:j]), tail[s:e].T.tobytes(), squeeze(here[s:e]), squeeze(cw[s:e])))
                 if len(out) >= 16:
                     yield _rows(out, ASK)
                     out = []
@@ -299,28 +324,28 @@ def answer_bigrams(asked: DataFrame, uni: Unigrams, n: int) -> DataFrame:
     def run(it):
         for part, rows in _groups(it, 0):
             vs = [np.frombuffer(r[2], np.uint64) for r in rows]
-            ks = [np.frombuffer(r[3], np.uint32) for r in rows]
+            ks = [spread(r[3]) for r in rows]
             hist, hinv = np.unique(np.concatenate(vs), return_inverse=True)
             tails = np.zeros((sum(len(r[4]) for r in rows) // 6, 8), np.uint8)
-            tails[:, :6] = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, 6)
+            tails[:, :6] = np.concatenate([np.frombuffer(r[4], np.uint8).reshape(6, -1).T for r in rows])
             w = tails.view("<u8").ravel()
             v = np.repeat(hinv, np.concatenate(ks)).astype(np.uint64)
             u, first, inv = np.unique(mix64(mix64(v + np.uint64(1)) ^ w), return_index=True, return_inverse=True)
-            c = np.bincount(inv, np.concatenate([np.frombuffer(r[5], np.uint32) for r in rows]), len(u)).astype(np.int64)
-            cw = np.concatenate([np.frombuffer(r[6], np.uint32) for r in rows])[first].astype(np.int64)
+            c = _sum(inv, [spread(r[5]) for r in rows], len(u))
+            cw = np.concatenate([spread(r[6]) for r in rows])[first]
             uv = v[first].astype(np.int64)
             seen = c > 0
-            of = np.zeros((len(hist), CUT + 1), np.uint32)
+            of = np.zeros((CUT + 1, len(hist)), np.int64)
             for r in range(1, CUT + 1):
-                of[:, r - 1] = np.bincount(uv[c == r], minlength=len(hist))
-            of[:, CUT] = np.bincount(uv[c > CUT], c[c > CUT], len(hist))
+                of[r - 1] = np.bincount(uv[c == r], minlength=len(hist))
+            of[CUT] = _sum(uv[c > CUT], [c[c > CUT]], len(hist))
             mass = np.bincount(uv[seen], uni.p(cw[seen]), len(hist))
             he, ie = np.cumsum([0] + [len(x) for x in vs]), np.cumsum([0] + [len(r[4]) // 6 for r in rows])
-            got = c[inv].astype(np.uint32)
+            got = c[inv]
             out = []
             for k, r in enumerate(rows):
                 h = hinv[he[k] : he[k + 1]]
-                out.append((r[1], part, got[ie[k] : ie[k + 1]].tobytes(), of[h].tobytes(), mass[h].astype("<f8").tobytes(), 0, 0, b""))
+                out.append((r[1], part, squeeze(got[ie[k] : ie[k + 1]]), pickle.dumps([squeeze(x[h]) for x in of]), mass[h].astype("<f8").tobytes(), 0, 0, b""))
             of_count = np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3).astype(np.int64)
             out.append((-1, part, b"", b"", b"", int(c.sum()), int(seen.sum()), of_count.tobytes()))
             for a in range(0, len(out), 16):
@@ -348,12 +373,12 @@ def score_batches(answers: DataFrame, base: str, uni: Unigrams, d: np.ndarray, n
         for batch, rows in _groups(it, 0):
             b = Batch(f"{base}/{batch}.tokens", _load(f"{base}/{batch}.counts")["counts"], uni, n)
             rows = sorted(rows, key=lambda r: r[1])
-            got = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows]).astype(np.int64)
-            of = np.concatenate([np.frombuffer(r[3], np.uint32).reshape(-1, CUT + 1) for r in rows])
+            got = np.concatenate([spread(r[2]) for r in rows])
+            of = np.concatenate([np.stack([spread(x) for x in pickle.loads(r[3])], 1) for r in rows])
             mass = np.concatenate([np.frombuffer(r[4], "<f8") for r in rows])
             # the parts of a history together
             word, k = b.h_word[b.order], len(b.vocab)
-            of = np.stack([np.bincount(word, of[:, j], k) for j in range(CUT + 1)], 1)
+            of = np.stack([_sum(word, [of[:, j]], k) for j in range(CUT + 1)], 1)
             keep, alpha = backoff(b.c, of, np.bincount(word, mass, k), d)
             count = np.zeros(len(b.v), np.int64)
             count[b.asked] = got
@@ -384,9 +409,11 @@ def score(docs: DataFrame) -> DataFrame:
     words = stored(answer_words(batches(docs.select("doc_id", "text", "held"), base, n), n), "katz-words")
     counts, total, kinds = _sums(words)
     uni = Unigrams(counts, total, kinds)
-    pairs = stored(answer_bigrams(ask_bigrams(words, base, uni, n), uni, n), "katz-bigrams")
+    # a part of the bigrams is in one task's memory: their number grows with the tokens
+    parts = max(n, -(-total // PART_TOKENS))
+    pairs = stored(answer_bigrams(ask_bigrams(words, base, uni, parts), uni, parts), "katz-bigrams")
     d = discounts(_sums(pairs)[0])
-    return score_batches(pairs, base, uni, d, n)
+    return score_batches(pairs, base, uni, d, parts)
 
 
 def op2_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
