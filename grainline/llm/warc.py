@@ -10,8 +10,8 @@ on the digest; adaptive execution splits a hot digest's rows, of which nothing i
 
 Cases: null html is an empty payload; null urls are written empty; a null page_id never is the
 response of others with an id, and rows with equal page_id and payload are all of the same type;
-pages of any length are streamed through in pieces; an empty table writes no archive; other
-columns are not read.
+archives are inflated in pieces, of which one whole record at a time is in memory; an empty table writes no
+archive; other columns are not read. WARC-Refers-To names the page; record ids also count the records.
 """
 
 from __future__ import annotations
@@ -42,7 +42,9 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
     long_ = F.when(F.length("payload") >= least, F.col("digest"))
     shared = p.select("page_id", long_.alias("_d")).where("_d is not null").groupBy("_d")
     shared = shared.agg(F.max("page_id").alias("_m"), F.count("*").alias("_n")).where("_n > 1 and _m is not null").drop("_n")
-    d = p.withColumn("_k", long_).join(shared, F.col("_k") == F.col("_d"), "left")
+    # short pages match nothing: keys of their own spread them over all tasks
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", F.monotonically_increasing_id()).cast("string"))
+    d = p.withColumn("_k", F.coalesce(long_, alone)).join(shared, F.col("_k") == F.col("_d"), "left")
     revisit = F.col("_m").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_m"))
     return d.select(
         "page_id", F.coalesce("url", F.lit("")).alias("url"), "payload", "digest",
@@ -51,12 +53,13 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
     )
 
 
-def record(page_id, url: str, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
+def record(page_id, url: str, payload: bytes, digest: str, kind: str, refers_to, name: str = "0") -> bytes:
+    """A record; ``name`` makes the ids of records of one page_id, or none, differ."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if kind == "revisit" else http + payload
     sha = base64.b32encode(bytes.fromhex(digest)).decode()
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}:{name}>", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {url.translate(_ONE_LINE)}", f"WARC-Payload-Digest: sha1:{sha}", f"WARC-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
@@ -89,7 +92,7 @@ def write(planned: DataFrame, out_dir: str) -> DataFrame:
             z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
             with Output(path) as f:
                 while r is not None and size < ARCHIVE:
-                    raw = record(*r)
+                    raw = record(*r, f"{part}-{k}-{n}")
                     f.write(z.compress(raw))
                     size, n = size + len(raw), n + 1
                     r = next(rows, None)
@@ -200,7 +203,7 @@ def read(files: DataFrame) -> DataFrame:
 
 
 def _page(urn: str):
-    x = urn.removeprefix("<urn:page:").removesuffix(">")
+    x = urn.removeprefix("<urn:page:").removesuffix(">").split(":")[0]
     return int(x) if x not in ("", "None") else None
 
 
