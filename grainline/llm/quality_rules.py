@@ -11,8 +11,8 @@ Failing lines go, the others are the cleaned text, and a document that loses mor
 there is no shuffle and no state beyond one text.
 
 Cases: a null text counts as empty; a text without words has no lines, loses nothing and is
-decided by the base rules (it fails them); repeated rows give repeated results; other columns
-are not read; an empty table gives no rows.
+decided by the base rules (it fails them); repeated rows give repeated results; an empty table gives
+no rows; other columns pass through ``clean``, but those named like its results are replaced.
 """
 
 from __future__ import annotations
@@ -40,10 +40,10 @@ BOILERPLATE = (
 def features(text) -> dict:
     """The base counts of a text column as expressions over helper columns made by ``clean``."""
     return {
-        "n_words": F.size("_words").cast("long"),
+        "n_words": F.size("_gl_words").cast("long"),
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_dup_lines": (F.size("_gl_lines") - F.size(F.array_distinct("_gl_lines"))).cast("long"),
     }
 
 
@@ -51,43 +51,43 @@ def clean(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> Da
     """Adds the base counts, base_failed, n_lines, n_kept_lines, lost_share, clean_text and kept."""
     t = F.coalesce(F.col(text), F.lit(""))
     phrases = "(?i)" + "|".join(BOILERPLATE)
-    d = docs.withColumn("_t", t)
-    d = d.withColumn("_words", F.expr(f"filter(split(_t, '{_sql(SPACE)}+'), w -> w != '')"))
-    d = d.withColumn("_lines", F.expr("filter(split(_t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
+    d = docs.withColumn("_gl_t", t)
+    d = d.withColumn("_gl_words", F.expr(f"filter(split(_gl_t, '{_sql(SPACE)}+'), w -> w != '')"))
+    d = d.withColumn("_gl_lines", F.expr("filter(split(_gl_t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
     # windows of three words by hash, sorted with their places, so that equal windows are neighbours
     d = d.withColumn(
-        "_sorted",
+        "_gl_sorted",
         F.expr(
-            "case when size(_words) >= 3 then sort_array(transform(sequence(0, size(_words) - 3),"
-            " i -> struct(xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)) as h, i as i)))"
+            "case when size(_gl_words) >= 3 then sort_array(transform(sequence(0, size(_gl_words) - 3),"
+            " i -> struct(xxhash64(get(_gl_words, i), get(_gl_words, i + 1), get(_gl_words, i + 2)) as h, i as i)))"
             " else array() end"
         ),
     )
     d = d.withColumn(
-        "_at",
+        "_gl_at",
         F.expr(
-            "sort_array(transform(filter(_sorted, (x, k) -> coalesce(x.h = get(_sorted, k - 1).h, false)"
-            " or coalesce(x.h = get(_sorted, k + 1).h, false)), x -> x.i))"
+            "sort_array(transform(filter(_gl_sorted, (x, k) -> coalesce(x.h = get(_gl_sorted, k - 1).h, false)"
+            " or coalesce(x.h = get(_gl_sorted, k + 1).h, false)), x -> x.i))"
         ),
     )
     d = d.withColumn(
-        "_passed",
+        "_gl_passed",
         F.filter(
-            "_lines",
+            "_gl_lines",
             lambda x: x.rlike(ENDS_WELL) & ~x.rlike(NAVIGATION) & ~x.rlike(phrases),
         ),
     )
     d = d.withColumns(
-        features(F.col("_t"))
+        features(F.col("_gl_t"))
         | {
             "n_repeat_words": F.expr(
-                "aggregate(transform(_at, (p, k) -> least(3, coalesce(get(_at, k + 1) - p, 3))), 0, (a, x) -> a + x)"
+                "aggregate(transform(_gl_at, (p, k) -> least(3, coalesce(get(_gl_at, k + 1) - p, 3))), 0, (a, x) -> a + x)"
             ).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_kept_lines": F.size("_passed").cast("long"),
-            "line_chars": F.length(F.array_join("_lines", "")).cast("long"),
-            "kept_chars": F.length(F.array_join("_passed", "")).cast("long"),
-            "clean_text": F.array_join("_passed", "\n"),
+            "n_lines": F.size("_gl_lines").cast("long"),
+            "n_kept_lines": F.size("_gl_passed").cast("long"),
+            "line_chars": F.length(F.array_join("_gl_lines", "")).cast("long"),
+            "kept_chars": F.length(F.array_join("_gl_passed", "")).cast("long"),
+            "clean_text": F.array_join("_gl_passed", "\n"),
         }
     )
     d = d.withColumn(
@@ -97,7 +97,7 @@ def clean(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> Da
     most = round(max_lost * 1000)
     lost = (F.col("line_chars") - F.col("kept_chars")) * 1000 > most * F.col("line_chars")
     return d.withColumn("kept", ~F.col("base_failed") & ~lost).drop(
-        "_t", "_words", "_lines", "_sorted", "_at", "_passed"
+        "_gl_t", "_gl_words", "_gl_lines", "_gl_sorted", "_gl_at", "_gl_passed"
     )
 
 
