@@ -59,15 +59,15 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return d.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def flight(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+def flight(x: np.ndarray, p: np.ndarray, seed: int = 0) -> np.ndarray:
     """Flight phase for rows of balancing values x (n, 2) and probabilities p; two stay fractional at most.
 
     Three open units are moved at a time. The direction solves two equations in three unknowns
     (the cross product of the two constraint rows); of both ways the one to the nearer side of
-    the martingale is picked by a fixed hash sequence seeded with the number of units.
+    the martingale is picked by a fixed hash sequence; the seed comes from the units' keys.
     """
     p = p.copy()
-    rnd = np.random.default_rng(len(p) * 7919 + int(x[:, 0].sum()) % 1_000_003).random(2 * len(p) + 4)
+    rnd = np.random.default_rng([len(p), seed]).random(2 * len(p) + 4)
     sizes, out, k = x[:, 0].tolist(), p.tolist(), 0
     open_: list[int] = []
     for i in range(len(out)):
@@ -127,7 +127,8 @@ def _flights(units: DataFrame) -> DataFrame:
         x = np.stack([size, np.ones(len(size))], 1)
         p, last = t["_p"].to_numpy().copy(), t["_blocks"][0].as_py() == 1
         moving = max(0, len(p) - LAND) if last else len(p)
-        p[:moving] = flight(x[:moving], p[:moving])
+        seed = int(np.bitwise_xor.reduce(t["_key"].to_numpy())) & (1 << 63) - 1
+        p[:moving] = flight(x[:moving], p[:moving], seed)
         if last:
             p = landing(x, p)
         return t.set_column(t.column_names.index("_p"), "_p", pa.array(p)).select(NAMES)
