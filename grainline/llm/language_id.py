@@ -8,12 +8,13 @@ language with the lowest cross-entropy per character. Rejection is calibrated on
 kept out of the counts: a text is rejected if its cross-entropy lies ``REJECT`` standard deviations
 above its language's, with more allowance for short texts.
 
-The sample is bounded: ``SAMPLE_DOCS`` documents of a language at most, picked by a hash of doc_id
-and of at most ``SAMPLE_CHARS`` characters each, so the models' size is bounded too. Prediction
-reads the whole text, looks at nothing else, and needs no shuffle.
+The sample is bounded: ``SAMPLE_DOCS`` documents of a language and ``SAMPLE_TOTAL`` characters of all
+languages, picked by a hash of the row among those of at most ``SAMPLE_CHARS`` characters (of a language
+that has none so short, its shortest), so the models' size is bounded too. The same rows give the same
+sample. Prediction reads the whole text, looks at nothing else, and needs no shuffle.
 
 Cases: null text or text without a letter gives ``und``, score 0, rejected; a table without
-labelled rows gives ``und`` for all; repeated rows give repeated results; ties go to the first
+labelled rows gives ``und`` for all; languages whose sample has no letter are not learnt; repeated rows give repeated results; ties go to the first
 language by name; an empty table gives no rows; other columns are not read.
 """
 
@@ -31,6 +32,8 @@ ORDER = 4
 SAMPLE_DOCS = 600
 #: Longer documents are not sampled for fitting (they are predicted as all others).
 SAMPLE_CHARS = 100_000
+#: Characters of the whole sample, shared evenly by the languages.
+SAMPLE_TOTAL = 40_000_000
 REJECT = 10.0
 UND = "und"
 #: Characters scored at a time by a task.
@@ -80,8 +83,8 @@ class Models:
         by: dict[str, list[str]] = {}
         for lang, text in sample:
             by.setdefault(lang, []).append(text)
-        self.langs = sorted(by)
         fit = {k: [t for i, t in enumerate(v) if i % 5 or len(v) < 5] for k, v in by.items()}
+        self.langs = sorted(k for k, v in fit.items() if any(c.isalpha() for t in v for c in t))
         points = [symbols(fit[k])[0] for k in self.langs]
         # 0 begins a text, 1 stands for symbols that were not learnt
         self.alphabet = np.unique(np.concatenate(points)) if points else np.zeros(0, np.uint32)
@@ -208,16 +211,26 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: flo
 
 def fit(labelled: DataFrame) -> Models:
     """Models of a bounded sample of the rows (doc_id, text, lang)."""
-    d = labelled.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in d.where(F.length("text") <= SAMPLE_CHARS).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    d = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"), F.length("text").alias("_n"))
+    short = F.col("_n") <= SAMPLE_CHARS
+    sums = [F.count_if(short).alias("n"), F.sum(F.when(short, F.col("_n"))).alias("chars"), F.min("_n").alias("least")]
+    counts = {r["lang"]: r for r in d.groupBy("lang").agg(*sums).collect()}
     if not counts:
         return Models([])
-    parts = 1 << 30
-    most = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(parts, int(parts * SAMPLE_DOCS / n)) + 1))])
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
-    rows = d.where(F.length("text") <= SAMPLE_CHARS).where(h < F.element_at(most, F.col("lang"))).select("lang", "text", "doc_id")
-    got = rows.limit(2 * SAMPLE_DOCS * len(counts)).collect()
-    return Models([(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], r["doc_id"] or 0, r["text"]))])
+    parts, share = 1 << 30, SAMPLE_TOTAL / len(counts)
+    # how far hashes reach, so that so many rows and characters are expected
+    most = {k: min(1.0, SAMPLE_DOCS / r["n"], share / max(1, r["chars"])) if r["n"] else 0.0 for k, r in counts.items()}
+    reach = F.create_map(*[x for k, v in most.items() for x in (F.lit(k), F.lit(int(parts * v) + 1))])
+    # a language of few rows within the share keeps one at least; one of long rows only has its shortest
+    least = F.create_map(*[x for k, r in counts.items() for x in (F.lit(k), F.lit(-1 if r["n"] else r["least"]))])
+    picked = short & (F.pmod(F.col("_h"), F.lit(parts)) < F.element_at(reach, F.col("lang"))) | (F.col("_n") == F.element_at(least, F.col("lang")))
+    # equal rows count once; of a language without short rows one text is left
+    key = F.when(short, F.col("_h")).otherwise(F.lit(0).cast("long"))
+    got = d.where(picked).groupBy("lang", key.alias("_k")).agg(F.min("text").alias("text")).collect()
+    by: dict[str, list] = {}
+    for r in sorted(got, key=lambda r: (r["lang"], r["_k"] % parts, r["text"])):
+        by.setdefault(r["lang"], []).append((r["lang"], r["text"]))
+    return Models([x for rows in by.values() for x in rows[:SAMPLE_DOCS]])
 
 
 RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean"
