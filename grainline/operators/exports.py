@@ -98,8 +98,43 @@ def fit_aspect(x: Column, y: Column, w: Column, h: Column, ratio: Column) -> Col
     return F.struct(clamp(cx - nw / 2.0, 0.0, 1.0 - nw).alias("x"), clamp(cy - nh / 2.0, 0.0, 1.0 - nh).alias("y"), nw.alias("w"), nh.alias("h"))
 
 
-def drag(mode: str, x: Column, y: Column, w: Column, h: Column, dx: Column, dy: Column, least: float = 0.05) -> Column:
-    """A rectangle after a free drag of ``mode``: move, or any of the letters n, s, w, e."""
+def locked(mode: str, start: tuple, edges: tuple, ratio: Column) -> tuple:
+    """Edges (left, top, right, bottom) of a drag brought to a ratio of width to height; start: x, y, w, h before.
+
+    A corner's width sets its height, and what then leaves the frame is cut, top, bottom, left and right in
+    turn, with the other side following. A side sets the other extent, centred and limited by the frame."""
+    left, top, right, bottom = edges
+    west, north = "w" in mode, "n" in mode
+    if set(mode) & set("we") and set(mode) & set("ns"):
+
+        def tall(l, t, r, b):
+            return (l, b - (r - l) / ratio, r, b) if north else (l, t, r, t + (r - l) / ratio)
+
+        def wide(l, t, r, b):
+            return (r - (b - t) * ratio, t, r, b) if west else (l, t, l + (b - t) * ratio, b)
+
+        e = tall(left, top, right, bottom)
+        for side, limit, follow in ((1, 0.0, wide), (3, 1.0, wide), (0, 0.0, tall), (2, 1.0, tall)):
+            over = e[side] < limit if limit == 0.0 else e[side] > limit
+            cut = follow(*(F.lit(limit) if i == side else v for i, v in enumerate(e)))
+            e = tuple(F.when(over, a).otherwise(b) for a, b in zip(cut, e))
+        return e
+    x, y, w, h = start
+    if set(mode) & set("we"):
+        mid = y + h / 2.0
+        most = F.least(mid, 1.0 - mid) * 2.0
+        tall_ = F.least((right - left) / ratio, most)
+        width = F.when((right - left) / ratio > most, most * ratio).otherwise(right - left)
+        return (right - width, mid - tall_ / 2.0, right, mid + tall_ / 2.0) if west else (left, mid - tall_ / 2.0, left + width, mid + tall_ / 2.0)
+    mid = x + w / 2.0
+    most = F.least(mid, 1.0 - mid) * 2.0
+    wide_ = F.least((bottom - top) * ratio, most)
+    height = F.when((bottom - top) * ratio > most, most / ratio).otherwise(bottom - top)
+    return (mid - wide_ / 2.0, bottom - height, mid + wide_ / 2.0, bottom) if north else (mid - wide_ / 2.0, top, mid + wide_ / 2.0, top + height)
+
+
+def drag(mode: str, x: Column, y: Column, w: Column, h: Column, dx: Column, dy: Column, least: float = 0.05, ratio: Column | None = None) -> Column:
+    """A rectangle after a drag of ``mode``: move, or one or two of the letters n, s, w, e; ``ratio`` locks its shape."""
     if mode == "move":
         return F.struct(clamp(x + dx, 0.0, 1.0 - w).alias("x"), clamp(y + dy, 0.0, 1.0 - h).alias("y"), w.alias("w"), h.alias("h"))
     x1, y1, x2, y2 = x, y, x + w, y + h
@@ -111,4 +146,71 @@ def drag(mode: str, x: Column, y: Column, w: Column, h: Column, dx: Column, dy:
         y1 = clamp(y + dy, 0.0, y2 - least)
     if "s" in mode:
         y2 = clamp(y + h + dy, y1 + least, 1.0)
+    if ratio is not None and mode:
+        x1, y1, x2, y2 = locked(mode, (x, y, w, h), (x1, y1, x2, y2), ratio)
     return F.struct(x1.alias("x"), y1.alias("y"), (x2 - x1).alias("w"), (y2 - y1).alias("h"))
+
+
+# fixed values
+ASPECTS = {"Free": None, "1:1": 1.0, "4:5": 0.8, "16:9": 16 / 9, "Original": None}
+
+
+def aspect(choice: Column, width: Column, height: Column) -> Column:
+    """The ratio of a choice in units of the frame (null: free), for a photo of that size."""
+    r = F.when(choice == "Original", width / height)
+    for name, value in ASPECTS.items():
+        if value is not None:
+            r = F.when(choice == name, F.lit(value)).otherwise(r)
+    return r * height / width
+
+
+def request(selects: DataFrame, rename: bool = False, prefix: str = "", start: int = 1, kind: str = "none", text: str = "", image: str | None = None) -> tuple[DataFrame, dict | None, dict | None]:
+    """(items, naming, watermark) of an export: selects (path, with params and heals, null for none); a blank
+    prefix renames nothing, and a watermark needs a text or an image."""
+    naming = {"prefix": prefix.strip(), "start": start} if rename and prefix.strip() else None
+    mark = {"kind": "text", "text": text.strip()} if kind == "text" and text.strip() else {"kind": "image", "image_path": image} if kind == "image" and image else None
+    return selects, naming, mark
+
+
+def execute(planned: DataFrame, files: DataFrame, folder: str, mark: dict | None = None, overlay=None) -> DataFrame:
+    """Carries out a plan (source, position, action, edited, target, params, heals) on files (path, content,
+    width, height, data, error): copies bytes, or renders and encodes. One row (position, ok, error) an item; a
+    file that cannot be read or decoded is an error of its own and stops nothing."""
+    from ..sources.images import png, write_files
+    from . import kernels, render
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for r in b.itertuples():
+                body, error = None, None
+                if r.content is None:
+                    error = f"{r.source}: not found"
+                elif r.action == "copy":
+                    body = r.content
+                else:
+                    a = kernels.array(r)
+                    if a is None:
+                        error = f"{r.source}: {r.error or 'cannot decode'}"
+                    else:
+                        try:
+                            a = render.full(a, render._params(r), r.heals if r.heals is not None else ()) if r.edited else a
+                            a = render.watermark(a, mark, overlay)
+                            body = png(a.shape[1], a.shape[0], a.tobytes())
+                        except ValueError as e:
+                            error = f"{r.source}: {e}"
+                rows.append((r.position, r.target, body, error))
+            yield pd.DataFrame(rows, columns=["position", "target", "content", "error"])
+
+    d = planned.join(files.withColumnRenamed("path", "source"), "source", "left")
+    d = d.select("source", "position", "action", "edited", "target", "params", "heals", "content", "width", "height", "data", "error")
+    made = d.mapInPandas(run, "position long, target string, content binary, error string")
+    return write_files(made, folder)
+
+
+def status(copied: Column, folder: Column, errors: Column) -> Column:
+    """What an export reports: one photo or many, and the first of its failures."""
+    failed = F.when(F.size(errors) > 0, F.concat(F.lit(" — "), F.size(errors).cast("string"), F.lit(" failed ("), F.get(errors, F.lit(0)), F.lit(")"))).otherwise("")
+    return F.concat(F.lit("Exported "), copied.cast("string"), F.lit(" photo"), F.when(copied == 1, "").otherwise("s"), F.lit(" to "), folder, failed)

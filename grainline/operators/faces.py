@@ -38,11 +38,16 @@ def primary(kept: DataFrame) -> DataFrame:
 
 
 def face_crop(box: Column, width: int, height: int, margin: float = CROP_MARGIN) -> Column:
+    """``crop_of`` for images of one size."""
+    return crop_of(box, F.lit(float(width)), F.lit(float(height)), margin)
+
+
+def crop_of(box: Column, width: Column, height: Column, margin: float = CROP_MARGIN) -> Column:
     """A square around a box with a margin, clamped to the frame."""
     side = F.greatest(box["w"], box["h"]) * (1.0 + 2.0 * margin)
     x0 = clamp(box["x"] + box["w"] / 2.0 - side / 2.0, 0.0, width - 1.0)
     y0 = clamp(box["y"] + box["h"] / 2.0 - side / 2.0, 0.0, height - 1.0)
-    w, h = F.least(x0 + side, F.lit(float(width))) - x0, F.least(y0 + side, F.lit(float(height))) - y0
+    w, h = F.least(x0 + side, width.cast("double")) - x0, F.least(y0 + side, height.cast("double")) - y0
     return F.struct(x0.alias("x"), y0.alias("y"), F.greatest(w, F.lit(1.0)).alias("w"), F.greatest(h, F.lit(1.0)).alias("h"))
 
 

@@ -16,18 +16,24 @@ from ..types import BURST_GAP_SECONDS, DUPLICATE_DISTANCE
 BANDS = 4
 
 
-def similar_pairs(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str = "id", value: str = "phash") -> DataFrame:
+#: Edges that are united in one task; more contract in rounds of tables.
+FEW_EDGES = 200_000
+#: Photos that are compared all with all to find the nearest.
+FEW_PHOTOS = 2_000
+
+
+def similar_pairs(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str = "id", value: str = "phash", bands: bool | None = None) -> DataFrame:
     """(a, b, distance) for all pairs a < b within a Hamming distance, exactly.
 
     64 bits are four bands; some band differs in most // 4 bits at most. One side is expanded to all
-    band values that near, the other joined on the band: an equi-join, verified by bit_count. Equal
-    hashes meet once, as lists are never built. Where there are fewer photos than the expansion has
-    values for each, a theta join over so small a table is cheaper.
+    band values that near, the other joined on the band: an equi-join, verified by bit_count. Where there are
+    fewer photos than the expansion has values for each, a theta join over so small a table is cheaper
+    (``bands`` forces either). n equal hashes are n * (n - 1) / 2 pairs; ``links`` has them once.
     """
     radius = most // BANDS
     p = photos.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
     per_photo = BANDS * sum(comb(16, r) for r in range(radius + 1))
-    if p.limit(2 * per_photo + 1).count() <= 2 * per_photo:
+    if bands is False or bands is None and p.limit(2 * per_photo + 1).count() <= 2 * per_photo:
         a, b = p.select(F.col("k").alias("a"), F.col("v").alias("va")), p.select(F.col("k").alias("b"), F.col("v").alias("vb"))
         d = hamming(F.col("va"), F.col("vb"))
         return a.join(b, (F.col("a") < F.col("b")) & (d <= most)).select("a", "b", d.alias("distance"))
@@ -47,12 +53,39 @@ def similar_pairs(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str =
     return both.select("a", "b", F.bit_count(x).alias("distance"))
 
 
-def nearest(photos: DataFrame, key: str = "id", value: str = "phash") -> DataFrame:
-    """The nearest other photo of each; of equally near ones the smallest id."""
-    a = photos.select(F.col(key).alias("a"), F.col(value).alias("va"))
-    b = photos.select(F.col(key).alias("b"), F.col(value).alias("vb"))
-    d = a.join(b, F.col("a") != F.col("b")).groupBy("a").agg(F.min(F.struct(hamming(F.col("va"), F.col("vb")).alias("d"), F.col("b").alias("b"))).alias("m"))
-    return d.select("a", F.col("m.b").alias("nearest"), F.col("m.d").alias("distance"))
+def links(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str = "id", value: str = "phash") -> DataFrame:
+    """(a, b) that connect what is similar: equal hashes hang on the smallest id, and only those are compared."""
+    p = photos.where(F.col(value).isNotNull()).select(F.col(key).alias("id"), F.col(value).alias("v"))
+    least = p.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    same = p.join(least.where("n > 1").select("v", F.col("id").alias("a")), "v").where("id <> a").select("a", F.col("id").alias("b"))
+    return similar_pairs(least, most, "id", "v").select("a", "b").unionAll(same)
+
+
+def nearest(photos: DataFrame, key: str = "id", value: str = "phash", few: int = FEW_PHOTOS) -> DataFrame:
+    """The nearest other photo of each; of equally near ones the smallest id.
+
+    All pairs within a distance are found exactly by bands, with a wider radius for those that have none; what is
+    left after that, photos far from all others, is compared with all, in blocks of a nested loop."""
+    p = photos.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        m = pairs.groupBy("a").agg(F.min(F.struct(F.col("distance").alias("d"), "b")).alias("m"))
+        return m.select("a", F.col("m.b").alias("nearest"), F.col("m.d").alias("distance"))
+
+    def against_all(some: DataFrame) -> DataFrame:
+        a, b = some.select(F.col("k").alias("a"), F.col("v").alias("va")), p.select(F.col("k").alias("b"), F.col("v").alias("vb"))
+        return best(a.join(b, F.col("a") != F.col("b")).select("a", "b", hamming(F.col("va"), F.col("vb")).alias("distance")))
+
+    if p.limit(few + 1).count() <= few:
+        return against_all(p)
+    out, rest = None, p
+    for most in (BANDS - 1, 2 * BANDS - 1):
+        pairs = similar_pairs(p, most, "k", "v", bands=True)
+        both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+        got = written(best(both.join(rest, F.col("a") == F.col("k"), "left_semi")))
+        out = got if out is None else out.unionAll(got)
+        rest = written(rest.join(got, F.col("k") == F.col("a"), "left_anti"))
+    return out.unionAll(against_all(rest))
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -60,6 +93,8 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="grainline-"))
     path = f"{where}/groups-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
@@ -69,12 +104,36 @@ def written(df: DataFrame) -> DataFrame:
 _OWN: dict[str, str] = {}
 
 
+def _united(pdf):
+    """The smallest member of the component of every end of the edges (u, v)."""
+    import pandas as pd
+
+    up: dict = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in zip(pdf.u.tolist(), pdf.v.tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    return pd.DataFrame({"u": list(up), "g": [find(x) for x in list(up)]})
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, group): the smallest id connected, for every node.
 
     Neighbourhoods contract to stars: larger neighbours move to the smallest of a node's neighbourhood, then
-    smaller ones do, until the edge table stays the same. Every round is a written table."""
+    smaller ones do, until the edge table stays the same. Every round is a written table. Up to ``FEW_EDGES``
+    edges are united in one task instead."""
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    if e.count() <= FEW_EDGES:
+        kind = e.schema["u"].dataType.simpleString()
+        stars = e.groupBy(F.lit(0).alias("_one")).applyInPandas(_united, f"u {kind}, g {kind}")
+        return nodes.join(stars, F.col("id") == F.col("u"), "left").select("id", F.coalesce("g", "id").alias("group"))
     before = None
     while True:
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -92,29 +151,34 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def clusters(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str = "id", value: str = "phash") -> DataFrame:
-    return components(photos.select(F.col(key).alias("id")), similar_pairs(photos, most, key, value))
+    return components(photos.select(F.col(key).alias("id")), links(photos, most, key, value))
 
 
 def bursts(frames: DataFrame, gap: int = BURST_GAP_SECONDS, key: str = "id", ts: str = "ts") -> DataFrame:
     """frames with burst: 1.. in time order; a burst goes on while the whole seconds since the frame
-    before are ``gap`` at most; untimed frames follow, each alone.
+    before are ``gap`` at most; untimed frames follow, each alone, in no order that means anything.
 
-    Days are windows of their own; what crosses midnight comes from one row a day (first and last
-    frame, number of breaks), so that only the days' table is ever in one task."""
-    d = frames.withColumn("_day", F.to_date(ts))
-    w = Window.partitionBy("_day").orderBy(F.col(ts), F.col(key))
+    Hours are windows of their own, and untimed frames are dealt to many; what crosses an hour comes from one
+    row an hour (first and last frame, number of breaks), so that only the hours' table is ever in one task."""
     untimed = F.col(ts).isNull()
+    part = F.struct(F.date_trunc("hour", ts).alias("hour"), F.when(untimed, F.pmod(F.xxhash64(key), F.lit(UNTIMED_PARTS))).otherwise(0).alias("n"))
+    d = frames.withColumn("_part", part)
+    w = Window.partitionBy("_part").orderBy(F.col(ts), F.col(key))
     step = F.timestamp_diff("SECOND", F.lag(ts).over(w), F.col(ts))
     d = d.withColumn("_new", F.when(untimed, 1).when(F.lag(ts).over(w).isNull(), 0).otherwise((step > gap).cast("int")))
     d = d.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    days = d.groupBy("_day").agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.sum("_new").alias("breaks"))
-    o = Window.orderBy(F.col("_day").asc_nulls_last())
+    parts = d.groupBy("_part").agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.sum("_new").alias("breaks"))
+    o = Window.orderBy(F.col("_part.hour").asc_nulls_last(), F.col("_part.n"))
     before = F.lag("hi").over(o)
-    opens = F.when(F.col("_day").isNull(), 0).when(before.isNull(), 1).otherwise((F.timestamp_diff("SECOND", before, F.col("lo")) > gap).cast("int"))
-    days = days.withColumn("opens", opens)
-    days = days.withColumn("_base", F.sum(F.col("opens") + F.col("breaks")).over(o.rowsBetween(Window.unboundedPreceding, 0)) - F.col("breaks"))
-    days = days.select(F.col("_day").alias("_d"), "_base")
-    return d.join(days, d["_day"].eqNullSafe(days["_d"])).withColumn("burst", (F.col("_base") + F.col("_run")).cast("long")).drop("_day", "_new", "_run", "_d", "_base")
+    opens = F.when(F.col("lo").isNull(), 0).when(before.isNull(), 1).otherwise((F.timestamp_diff("SECOND", before, F.col("lo")) > gap).cast("int"))
+    parts = parts.withColumn("opens", opens)
+    parts = parts.withColumn("_base", F.sum(F.col("opens") + F.col("breaks")).over(o.rowsBetween(Window.unboundedPreceding, 0)) - F.col("breaks"))
+    parts = parts.select(F.col("_part").alias("_p"), "_base")
+    return d.join(parts, d["_part"].eqNullSafe(parts["_p"])).withColumn("burst", (F.col("_base") + F.col("_run")).cast("long")).drop("_part", "_new", "_run", "_p", "_base")
+
+
+#: Windows that untimed frames are dealt to.
+UNTIMED_PARTS = 256
 
 
 def number_groups(rows: DataFrame, group: str, out: str) -> DataFrame:

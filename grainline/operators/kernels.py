@@ -16,7 +16,8 @@ from ..types import BLUR_LONG_EDGE, PACKED, POISSON_SWEEPS, STRAIGHTEN_DEGREES
 
 
 def pack(px: DataFrame) -> DataFrame:
-    """Pixel rows to packed images."""
+    """Pixel rows to packed images: for small ones, as an image's pixels meet in one array. Photos stay packed
+    from ``images.decode`` on."""
     rows = F.sort_array(F.collect_list(F.struct("y", "x", "r", "g", "b")))
     d = px.groupBy("image_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), rows.alias("p"))
     byte = lambda v: F.lpad(F.hex(v), 2, "0")
@@ -32,20 +33,38 @@ def explode(images: DataFrame) -> DataFrame:
 
         for b in batches:
             for r in b.itertuples():
-                a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)
+                a = array(r)
+                if a is None:
+                    continue
                 y, x = np.mgrid[: r.height, : r.width]
                 yield pd.DataFrame({"image_id": r.image_id, "y": y.ravel(), "x": x.ravel(), "r": a[..., 0].ravel(), "g": a[..., 1].ravel(), "b": a[..., 2].ravel()})
 
     return images.mapInPandas(run, "image_id long, y int, x int, r int, g int, b int")
 
 
+def array(r) -> np.ndarray | None:
+    """The pixels of a packed row; none where the file could not be decoded."""
+    return None if r.data is None or not r.width or not r.height else np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), 3)
+
+
+def row(r, a: np.ndarray | None) -> tuple:
+    """A packed row of new pixels, or the row as it is."""
+    return (r.image_id, r.width, r.height, r.data) if a is None else (r.image_id, a.shape[1], a.shape[0], np.ascontiguousarray(a, np.uint8).tobytes())
+
+
+def table(rows: list[tuple]):
+    import pandas as pd
+
+    return pd.DataFrame(rows, columns=["image_id", "width", "height", "data"])
+
+
 def each(images: DataFrame, fn) -> DataFrame:
-    """Applies fn (height x width x 3 bytes to the same) to every image."""
+    """Applies fn (height x width x 3 bytes to the same) to every image; rows without pixels stay as they are."""
 
     def run(batches):
         for b in batches:
-            out = [fn(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)) for r in b.itertuples()]
-            yield b.assign(width=[o.shape[1] for o in out], height=[o.shape[0] for o in out], data=[o.astype(np.uint8).tobytes() for o in out])
+            rows = [(r, array(r)) for r in b.itertuples()]
+            yield table([row(r, None if a is None else fn(a)) for r, a in rows])
 
     return images.select("image_id", "width", "height", "data").mapInPandas(run, PACKED)
 
@@ -92,6 +111,28 @@ def normalised_blur(a: np.ndarray) -> float:
     return laplacian_score(gray(fit(a, BLUR_LONG_EDGE, "lanczos")))
 
 
+def region(a: np.ndarray, x: int, y: int, w: int, h: int) -> np.ndarray | None:
+    """A box clamped to the frame, one pixel at least; none of an empty image."""
+    height, width = a.shape[:2]
+    if not width or not height:
+        return None
+    x, y = min(max(0, x), width - 1), min(max(0, y), height - 1)
+    return a[y : y + max(1, min(h, height - y)), x : x + max(1, min(w, width - x))]
+
+
+def region_blur(a: np.ndarray, x: int, y: int, w: int, h: int) -> float:
+    """Blur score of a box after its long edge is shrunk to the common size; an empty image has 0."""
+    part = region(a, x, y, w, h)
+    return 0.0 if part is None else normalised_blur(part)
+
+
+def resized_blur(a: np.ndarray, edge: int = BLUR_LONG_EDGE) -> tuple[float, float]:
+    """(score as it is, score with the long edge resized to ``edge``, up or down): a probe of the scale's effect."""
+    h, w = a.shape[:2]
+    k = edge / max(h, w)
+    return laplacian_score(gray(a)), laplacian_score(gray(bytes_of(resize(a, max(1, round(w * k)), max(1, round(h * k)), "lanczos"))))
+
+
 def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
     r = max(1, math.ceil(3 * sigma))
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
@@ -138,6 +179,18 @@ def clarity(a: np.ndarray, amount: float) -> np.ndarray:
     return bytes_of(a + (a - wide_blur(a, sigma)) * 0.6 * s)
 
 
+def inscribed(w: float, h: float, angle: float) -> tuple[float, float]:
+    """Sides of the largest upright rectangle inside a turned frame (``scalar.inscribed`` for numbers)."""
+    if w <= 0 or h <= 0:
+        return 0.0, 0.0
+    s, c, short = abs(math.sin(angle)), abs(math.cos(angle)), min(w, h)
+    if short <= 2.0 * s * c * max(w, h) or abs(s - c) < 1e-10:  # only two of its corners touch the frame
+        across, along = 0.5 * short / max(s, 1e-6), 0.5 * short / max(c, 1e-6)
+        return (across, along) if w >= h else (along, across)
+    d = c * c - s * s
+    return (w * c - h * s) / d, (h * c - w * s) / d
+
+
 def straighten(a: np.ndarray, slider: float) -> np.ndarray:
     """Turned about its centre by up to ten degrees and cut to what has no border."""
     angle = math.radians(STRAIGHTEN_DEGREES * min(1.0, max(-1.0, slider / 100)))
@@ -155,11 +208,9 @@ def straighten(a: np.ndarray, slider: float) -> np.ndarray:
     f = a.astype(float)
     turned = (f[y0, x0] * (1 - fx) + f[y0, x1] * fx) * (1 - fy) + (f[y1, x0] * (1 - fx) + f[y1, x1] * fx) * fy
     turned[~inside] = 0
-    s, c = abs(s), abs(c)
-    d = c * c - s * s
-    nw, nh = int((w * c - h * s) / d * 0.985), int((h * c - w * s) / d * 0.985)
-    top, left = (h - nh) // 2, (w - nw) // 2
-    return bytes_of(turned[top : top + max(1, nh), left : left + max(1, nw)])
+    cw, ch = (max(1, min(int(v * 0.985), m)) for v, m in zip(inscribed(w, h, angle), (w, h)))
+    top, left = (h - ch) // 2, (w - cw) // 2
+    return bytes_of(turned[top : top + ch, left : left + cw])
 
 
 def heal(a: np.ndarray, stamps: list[tuple[float, float, float]]) -> np.ndarray:
@@ -175,30 +226,32 @@ def heal(a: np.ndarray, stamps: list[tuple[float, float, float]]) -> np.ndarray:
         dy, dx = np.mgrid[-big : big + 1, -big : big + 1]
         ring = (dx * dx + dy * dy >= r * r) & (dx * dx + dy * dy <= big * big)
         ry, rx = dy[ring], dx[ring]
-        if cx - big < 0 or cy - big < 0 or cx + big >= w or cy + big >= h:
+        # the ring may leave the frame, where it is not compared
+        here = (cx + rx >= 0) & (cy + ry >= 0) & (cx + rx < w) & (cy + ry < h)
+        ry, rx = ry[here], rx[here]
+        if not len(rx):
             continue
         best = None
         for far in (3.0, 5.0, 8.0):
             for k in range(12):
                 sx, sy = cx + int(far * r * math.cos(k * math.tau / 12)), cy + int(far * r * math.sin(k * math.tau / 12))
-                if sx - big >= 0 and sy - big >= 0 and sx + big < w and sy + big < h:
+                if sx - big >= 0 and sy - big >= 0 and sx + big < w and sy + big < h and sx - r >= 1 and sy - r >= 1 and sx + r + 1 < w and sy + r + 1 < h:
                     cost = float(((out[cy + ry, cx + rx] - out[sy + ry, sx + rx]) ** 2).mean())
                     if best is None or cost < best[0]:
                         best = cost, sx, sy
         if best is None:
             continue
         _, sx, sy = best
-        spot = [(y + r + 1, x + r + 1) for y in range(-r, r + 1) for x in range(-r, r + 1) if x * x + y * y <= r * r]
         box = (slice(cy - r - 1, cy + r + 2), slice(cx - r - 1, cx + r + 2))
-        src = out[sy - r - 1 : sy + r + 2, sx - r - 1 : sx + r + 2]
-        for c in range(3):
-            # each sweep uses the values it has just set, so this stays a plain loop
-            s, t = src[..., c].tolist(), out[box][..., c].tolist()
-            cells = [(y, x, 4 * s[y][x] - s[y - 1][x] - s[y + 1][x] - s[y][x - 1] - s[y][x + 1]) for y, x in spot]
-            for _ in range(POISSON_SWEEPS):
-                for y, x, lap in cells:
-                    t[y][x] = (t[y - 1][x] + t[y + 1][x] + t[y][x - 1] + t[y][x + 1] + lap) / 4
-            out[box[0], box[1], c] = t
+        s, t = out[sy - r - 1 : sy + r + 2, sx - r - 1 : sx + r + 2], out[box].copy()
+        lap = 4 * s[1:-1, 1:-1] - s[:-2, 1:-1] - s[2:, 1:-1] - s[1:-1, :-2] - s[1:-1, 2:]
+        # a sweep uses the values it has just set, above and to the left: cells of an anti-diagonal go together
+        yy, xx = np.nonzero(np.add.outer(np.arange(-r, r + 1) ** 2, np.arange(-r, r + 1) ** 2) <= r * r)
+        lines = [(yy[m] + 1, xx[m] + 1, lap[yy[m], xx[m]]) for m in (yy + xx == d for d in np.unique(yy + xx))]
+        for _ in range(POISSON_SWEEPS):
+            for y, x, own in lines:
+                t[y, x] = (t[y - 1, x] + t[y + 1, x] + t[y, x - 1] + t[y, x + 1] + own) / 4
+        out[box] = t
         out = np.clip(np.floor(out + 0.5), 0, 255)
     return out.astype(np.uint8)
 
@@ -219,7 +272,8 @@ def hashes(images: DataFrame) -> DataFrame:
         import pandas as pd
 
         for b in batches:
-            a = [np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3) for r in b.itertuples()]
-            yield pd.DataFrame({"image_id": b.image_id, "phash": [perceptual_hash(x) for x in a], "blur": [normalised_blur(x) for x in a]})
+            a = [array(r) for r in b.itertuples()]
+            hashes = pd.array([None if x is None else perceptual_hash(x) for x in a], dtype="Int64")
+            yield pd.DataFrame({"image_id": b.image_id, "phash": hashes, "blur": [None if x is None else normalised_blur(x) for x in a]})
 
     return images.select("image_id", "width", "height", "data").mapInPandas(run, "image_id long, phash long, blur double")

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import cull, exports, faces, groups, kernels, pixels
+from ..operators import cull, exports, faces, groups, kernels, pixels, render, settings
+from ..operators import report as reports
 from ..session import table
 from ..types import IMAGE_EXTENSIONS, RAW_EXTENSIONS
 
@@ -217,34 +218,42 @@ def classify_eyes(spark, sf):
     return d.select("image_id", F.col("e.both_closed").alias("both_closed"), cull.eyes_verdict(F.col("e").isNotNull(), F.col("e.both_closed")).alias("verdict"))
 
 
+#: The rule of the report: photos that failed are out before anything is grouped; bursts are of the report's photos.
+FAILED = "v.event_type IS NOT DISTINCT FROM 'error'"
+_FINE = P.replace("p AS (", "pa AS (", 1) + f", p AS (SELECT pa.id, pa.phash FROM pa LEFT JOIN events v ON v.event_id = pa.id WHERE NOT ({FAILED}))"
+_FINE_TIMES = "t AS (SELECT p.id, CASE WHEN event_type <> 'signup' THEN ts END AS ts FROM p LEFT JOIN events v ON v.event_id = p.id)"
+_FACE_BLUR = """i5 AS (SELECT * FROM im WHERE x BETWEEN 2 AND 6 AND y BETWEEN 5 AND 7), l5 AS (SELECT image_id, coalesce(lag(l) OVER r, l) + coalesce(lead(l) OVER r, l) + coalesce(lag(l) OVER c, l) + coalesce(lead(l) OVER c, l) - 4 * l AS lap FROM i5
+  WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)), fb AS (SELECT image_id, round(var_pop(lap) + 1e-7, 4) AS face FROM l5 GROUP BY image_id)"""
 REPORT = (
-    f"{_clusters(18)}, {_NUMBERED}, {BURST}, {BLUR}, {EYES_SQL}, "
-    """rp AS (SELECT p.id AS path, coalesce(event_type = 'error', false) AS failed,
-  CASE WHEN event_type = 'error' THEN 0 ELSE score END AS frame_blur, CASE WHEN event_type = 'error' THEN false ELSE is_blurry END AS is_blurry,
-  CASE WHEN event_type <> 'error' THEN ear <= 0.35 END AS both_closed, CASE WHEN event_type = 'error' THEN NULL ELSE cluster END AS cluster,
-  CASE WHEN event_type = 'error' THEN NULL ELSE number END AS burst
- FROM p LEFT JOIN events v ON v.event_id = p.id LEFT JOIN c ON c.id = p.id LEFT JOIN k USING (grp) LEFT JOIN b ON b.id = p.id LEFT JOIN m USING (burst)
- LEFT JOIN bl ON bl.image_id = p.id LEFT JOIN er ON er.image_id = p.id),
+    f"{_clusters(18).replace(P, _FINE)}, {_NUMBERED}, {BURST.replace(TIMES, _FINE_TIMES)}, {BLUR}, {_FACE_BLUR}, {EYES_SQL}, "
+    f"""rp AS (SELECT pa.id AS path, 'img' || pa.id || '.jpg' AS name, CASE WHEN {FAILED} THEN 0 ELSE 8 END::INT AS width, CASE WHEN {FAILED} THEN 0 ELSE 8 END::INT AS height,
+  CASE WHEN {FAILED} THEN 0 ELSE bl.score END AS frame_blur, CASE WHEN NOT ({FAILED}) AND pa.id % 3 <> 0 THEN face END AS subject_blur,
+  CASE WHEN {FAILED} THEN false WHEN pa.id % 3 <> 0 THEN face < 9000 ELSE bl.score < 9000 END AS is_blurry, NOT ({FAILED}) AND pa.id % 3 <> 0 AS has_face,
+  CASE WHEN NOT ({FAILED}) AND pa.id % 3 <> 0 THEN ear <= 0.35 END AS both_closed, p.phash::VARCHAR AS phash, CASE WHEN NOT ({FAILED}) AND event_type <> 'signup' THEN strftime(v.ts, '%Y-%m-%d %H:%M:%S') END AS timestamp,
+  cluster, number AS burst, CASE WHEN {FAILED} THEN 'cannot decode' END AS error
+ FROM pa LEFT JOIN p USING (id) LEFT JOIN events v ON v.event_id = pa.id LEFT JOIN c ON c.id = pa.id LEFT JOIN k USING (grp) LEFT JOIN b ON b.id = pa.id LEFT JOIN m USING (burst)
+ LEFT JOIN bl ON bl.image_id = pa.id LEFT JOIN fb ON fb.image_id = pa.id LEFT JOIN er ON er.image_id = pa.id),
 dc AS (SELECT doc_id AS path, CASE quality WHEN 1 THEN 'keep' ELSE 'reject' END AS decision FROM labels WHERE quality IS NOT NULL)"""
 )
 
 
 def report(spark, sf):
-    """One row a photo: decode errors keep a row without verdicts; clusters, bursts, blur and eyes joined on."""
-    ev = table(spark, sf, "events").select(F.col("event_id").alias("path"), "event_type")
-    p = photos(spark, sf).select(F.col("id").alias("path"))
-    d = p.join(ev, "path", "left").join(cluster_numbering(spark, sf).withColumnRenamed("id", "path"), "path", "left")
-    d = d.join(burst_numbering(spark, sf).select(F.col("id").alias("path"), F.col("number").alias("burst")), "path", "left")
-    b = scored(pixels.blur(gray(spark, sf), PROXY_THRESHOLD))
-    b = b.select(F.col("image_id").alias("path"), F.col("score").alias("frame_blur"), "is_blurry")
-    e = classify_eyes(spark, sf).select(F.col("image_id").alias("path"), "both_closed")
-    d = d.join(b, "path", "left").join(e, "path", "left")
+    """One row a photo; two of three have a face, an event tells of errors and capture times."""
+    ev = table(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type", "ts")
+    blur = scored(pixels.blur(gray(spark, sf))).select(F.col("image_id").alias("id"), F.col("score").alias("frame_score"))
+    face = scored(pixels.blur(pixels.region(gray(spark, sf), 2, 5, 5, 9, EDGE, EDGE))).select(F.col("image_id").alias("id"), F.col("score").alias("face_score"))
+    closed = eye_points(spark, sf).select(F.col("image_id").alias("id"), (S.eye_aspect(F.col("p")) <= 0.35).alias("closed"))
+    d = photos(spark, sf).join(ev, "id", "left").join(blur, "id").join(face, "id").join(closed, "id")
     bad = F.coalesce(F.col("event_type") == "error", F.lit(False))
-    known = F.col("event_type").isNotNull()
-    return d.select(
-        "path", bad.alias("failed"), F.when(bad, 0.0).otherwise(F.col("frame_blur")).alias("frame_blur"), F.when(bad, False).otherwise(F.col("is_blurry")).alias("is_blurry"),
-        F.when(known & ~bad, F.col("both_closed")).alias("both_closed"), F.when(~bad, F.col("cluster")).alias("cluster"), F.when(~bad, F.col("burst")).alias("burst"),
+    has = F.col("id") % 3 != 0
+    rows = d.select(
+        F.col("id").alias("path"), F.concat(F.lit("img"), F.col("id").cast("string"), F.lit(".jpg")).alias("name"), F.lit(EDGE).alias("width"), F.lit(EDGE).alias("height"),
+        "frame_score", F.when(has, F.col("face_score")).alias("face_score"), F.struct(F.col("closed").alias("both_closed")).alias("eyes"), "phash",
+        F.when(F.col("event_type") != "signup", F.col("ts")).alias("ts"), F.when(bad, "cannot decode").alias("error"),
     )
+    out = reports.build(rows, 18, threshold=PROXY_THRESHOLD)
+    shown = {"eyes": F.col("eyes.both_closed").alias("both_closed"), "phash": F.col("phash").cast("string").alias("phash")}
+    return out.select(*[shown.get(c, F.col(c)) for c in reports.COLUMNS])
 
 
 def decisions(spark, sf):
@@ -637,6 +646,190 @@ def watermark_position(spark, sf):
     return grid(spark, sf).select("id", c.alias("c")).select("id", "c.x", "c.y")
 
 
+# edit state, faces and requests ------------------------------------------------------------------------------
+
+_EVENTS = "ev AS (SELECT conv_id AS path, turn AS seq, CASE (length(text) + turn) % 5 WHEN 0 THEN 'reset' WHEN 1 THEN 'crop' WHEN 2 THEN 'crop_on' WHEN 3 THEN 'crop_off' ELSE 'update' END AS op, CASE turn % 2 WHEN 0 THEN 'exposure' ELSE 'contrast' END AS key, (length(text) % 40)::DOUBLE AS value FROM conversations)"
+
+
+@query(
+    "edit_state",
+    f"""WITH RECURSIVE {_EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq) AS n FROM ev), z AS (SELECT 0::BIGINT AS n),
+f(path, n, e, c, x, w) AS (SELECT DISTINCT path, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM ev UNION ALL
+ SELECT f.path, n.n, CASE WHEN op = 'reset' THEN 0 WHEN op = 'update' AND key = 'exposure' THEN value ELSE e END, CASE WHEN op = 'reset' THEN 0 WHEN op = 'update' AND key = 'contrast' THEN value ELSE c END,
+  CASE WHEN op IN ('reset', 'crop_off') THEN 0 WHEN op = 'crop' THEN value / 100 WHEN op = 'crop_on' AND w <= 0 THEN 0 ELSE x END,
+  CASE WHEN op IN ('reset', 'crop_off') THEN 0 WHEN op = 'crop' THEN 0.5 WHEN op = 'crop_on' AND w <= 0 THEN 1 ELSE w END
+ FROM f JOIN n ON n.path = f.path AND n.n = f.n + 1)
+SELECT path, arg_max(e, n) AS exposure, arg_max(c, n) AS contrast, round(arg_max(x, n), 6) AS crop_x, arg_max(w, n) AS crop_w FROM f GROUP BY path""",
+)
+def edit_state(spark, sf):
+    c = table(spark, sf, "conversations")
+    op = F.element_at(F.array(*[F.lit(x) for x in ("reset", "crop", "crop_on", "crop_off", "update")]), ((F.char_length("text") + F.col("turn")) % 5 + 1).cast("int"))
+    value = (F.char_length("text") % 40).cast("double")
+    rect = F.struct((value / 100).alias("x"), F.lit(0.1).alias("y"), F.lit(0.5).alias("w"), F.lit(0.5).alias("h"))
+    log = c.select(F.col("conv_id").alias("path"), F.col("turn").alias("seq"), op.alias("op"), F.when(F.col("turn") % 2 == 0, "exposure").otherwise("contrast").alias("key"), value.alias("value"), rect.alias("rect"))
+    return rounded(settings.params(log).select("path", "exposure", "contrast", "crop_x", "crop_w"), "crop_x")
+
+
+@query(
+    "retouch_state",
+    """WITH RECURSIVE ev AS (SELECT conv_id AS path, turn AS seq, CASE length(text) % 4 WHEN 0 THEN 'undo' WHEN 1 THEN CASE WHEN turn % 5 = 4 THEN 'clear' ELSE 'add' END ELSE 'add' END AS op, (length(text) % 3) AS k FROM conversations), n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq) AS n FROM ev),
+f(path, n, h) AS (SELECT DISTINCT path, 0::BIGINT, []::BIGINT[] FROM ev UNION ALL SELECT f.path, n.n, CASE WHEN op = 'clear' THEN [] WHEN op = 'undo' THEN h[1:len(h) - 1] WHEN k > 0 THEN list_append(h, k) ELSE h END FROM f JOIN n ON n.path = f.path AND n.n = f.n + 1)
+SELECT path, len(arg_max(h, n))::INT AS strokes, coalesce(list_sum(arg_max(h, n)), 0)::BIGINT AS stamps FROM f GROUP BY path""",
+)
+def retouch_state(spark, sf):
+    c, n = table(spark, sf, "conversations"), F.char_length("text")
+    op = F.when(n % 4 == 0, "undo").when((n % 4 == 1) & (F.col("turn") % 5 == 4), "clear").otherwise("add")
+    one = F.struct(F.lit(0.5).cast("float").alias("x"), F.lit(0.5).cast("float").alias("y"), F.lit(0.1).cast("float").alias("r"))
+    log = c.select(F.col("conv_id").alias("path"), F.col("turn").alias("seq"), op.alias("op"), F.array_repeat(one, (n % 3).cast("int")).alias("stamps"))
+    stamps = F.aggregate("heals", F.lit(0).cast("long"), lambda a, s: a + F.size(s["stamps"]))
+    return settings.retouch(log).select("path", F.size("heals").alias("strokes"), stamps.alias("stamps"))
+
+
+@query(
+    "landmarks_mapped",
+    f"WITH {EYES_SQL} SELECT vec_id AS image_id, round(10 + q[1] / 192 * 96, 3) AS x, round(20 + q[2] / 192 * 48, 3) AS y FROM embeddings JOIN ey ON image_id = vec_id",
+)
+def landmarks_mapped(spark, sf):
+    rect = F.struct(F.lit(10.0).alias("x"), F.lit(20.0).alias("y"), F.lit(96.0).alias("w"), F.lit(48.0).alias("h"))
+    d = eye_points(spark, sf).select("image_id", F.get(reports.mapped(F.col("p"), rect), F.lit(0)).alias("m"))
+    return rounded(d.select("image_id", "m.x", "m.y"), "x", "y", places=3)
+
+
+@query(
+    "hash_text_distance",
+    f"WITH {P} SELECT a.id, bit_count(xor(a.phash, b.phash))::INT AS distance FROM p a JOIN p b ON b.id = a.id + 1",
+)
+def hash_text_distance(spark, sf):
+    p = photos(spark, sf).select("id", reports.text_of(F.col("phash")).alias("t"))
+    o = p.select((F.col("id") - 1).alias("id"), F.col("t").alias("u"))
+    return p.join(o, "id").select("id", reports.text_distance(F.col("t"), F.col("u")).alias("distance"))
+
+
+@query("hamming_pairs_bands", f"WITH {_pairs(14)} SELECT a, b, distance FROM e")
+def hamming_pairs_bands(spark, sf):
+    return groups.similar_pairs(photos(spark, sf), 14, bands=True)
+
+
+@query("crop_aspects", "SELECT p_partkey AS id, round((CASE p_partkey % 5 WHEN 1 THEN 1 WHEN 2 THEN 0.8 WHEN 3 THEN 16 / 9.0::DOUBLE WHEN 4 THEN (p_size + 10) / (p_partkey % 50 + 5)::DOUBLE END) * (p_partkey % 50 + 5) / (p_size + 10)::DOUBLE, 6) AS ratio FROM part")
+def crop_aspects(spark, sf):
+    choice = F.element_at(F.array(*[F.lit(k) for k in exports.ASPECTS]), (F.col("id") % 5 + 1).cast("int"))
+    return grid(spark, sf).select("id", F.round(exports.aspect(choice, F.col("w"), F.col("h")), 6).alias("ratio"))
+
+
+_LOCK = f"WITH {_GRID}, q AS (SELECT id, a * 0.6 AS dx, a * -0.4 AS dy, 0.5::DOUBLE + (id % 4) * 0.4::DOUBLE AS na FROM gr), "
+
+
+@query(
+    "crop_drag_corner",
+    _LOCK + """s0 AS (SELECT id, na, 0.2::DOUBLE AS x1, greatest(0, least(0.75, 0.3 + dy)) AS y1, greatest(0.25, least(1, 0.6 + dx)) AS x2, 0.8::DOUBLE AS y2 FROM q),
+s1 AS (SELECT id, na, x1, y2 - (x2 - x1) / na AS y1, x2, y2 FROM s0), s2 AS (SELECT id, na, x1, CASE WHEN y1 < 0 THEN x1 + y2 * na ELSE x2 END AS x2, greatest(0, y1) AS y1, y2 FROM s1),
+s3 AS (SELECT id, x1, CASE WHEN x2 > 1 THEN y2 - (1 - x1) / na ELSE y1 END AS y1, least(1, x2) AS x2, y2 FROM s2) SELECT id, round(x1, 6) AS x, round(y1, 6) AS y, round(x2 - x1, 6) AS w, round(y2 - y1, 6) AS h FROM s3""",
+)
+def crop_drag_corner(spark, sf):
+    return _dragged(spark, sf, "ne")
+
+
+@query(
+    "crop_drag_side",
+    _LOCK + """s0 AS (SELECT id, na, greatest(0.25, least(1, 0.6 + dx)) - 0.2 AS w0 FROM q), s1 AS (SELECT id, na, CASE WHEN w0 / na > 0.9 THEN 0.9 * na ELSE w0 END AS w, least(0.9, w0 / na) AS h FROM s0)
+SELECT id, 0.2::DOUBLE AS x, round(0.55 - h / 2, 6) AS y, round(w, 6) AS w, round(h, 6) AS h FROM s1""",
+)
+def crop_drag_side(spark, sf):
+    return _dragged(spark, sf, "e")
+
+
+def _dragged(spark, sf, mode):
+    c = exports.drag(mode, F.lit(0.2), F.lit(0.3), F.lit(0.4), F.lit(0.5), F.col("a") * 0.6, F.col("a") * -0.4, ratio=0.5 + (F.col("id") % 4) * 0.4)
+    return rounded(grid(spark, sf).select("id", c.alias("c")).select("id", *[F.col("c." + n).alias(n) for n in "xywh"]), "x", "y", "w", "h")
+
+
+@query("crop_file_names", "SELECT p_partkey AS id, printf('%07.1f', p_retailprice) || '_' || translate(p_name, ' .', '__') || '.png' AS name FROM part")
+def crop_file_names(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), settings.crop_file_name(F.col("p_name"), F.col("p_retailprice")).alias("name"))
+
+
+@query("widest_name", "SELECT greatest(max(length(p_name)), 8)::INT AS width FROM part")
+def widest_name(spark, sf):
+    return settings.widest(table(spark, sf, "part").select(F.col("p_name").alias("name")))
+
+
+@query("brush_radius", "SELECT p_partkey AS id, round(0.01 + p_size / 100.0::DOUBLE * 0.08, 6) AS radius FROM part")
+def brush_radius(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.round(settings.brush_radius(F.col("p_size")), 6).alias("radius"))
+
+
+@query("first_photos", f"WITH {P} SELECT id, phash FROM p ORDER BY id LIMIT 5")
+def first_photos(spark, sf):
+    """The first five: the limit is the feature."""
+    return photos(spark, sf).orderBy("id").limit(5)
+
+
+# the whole colour edit, point-wise: a chain of the single edits, each over the rows of the one before
+_ALL = {
+    "auto_white_balance": 70, "temperature": 40, "tint": -30, "exposure": 15, "contrast": 20, "highlights": -40, "shadows": 30, "whites": 10, "blacks": -15,
+    "shadow_hue": 210, "shadow_sat": 40, "highlight_hue": 45, "highlight_sat": 60, "saturation": 25, "vibrance": 50, "vignette_amount": -60, "vignette_midpoint": 30, "auto_exposure": 60,
+}
+_LOW, _HIGH = (0.0, 0.5, 1.0), (1.0, 0.75, 0.0)  # hues 210 and 45
+_CHAIN = [
+    ("*", _three("CASE WHEN mr > 0 AND mg > 0 AND mb > 0 THEN {v} * (1 + 0.7::DOUBLE * (greatest(0.5, least(2, (mr + mg + mb) / 3 / m{v})) - 1)) ELSE {v} END")),
+    ("", ("r * (1 + 0.3::DOUBLE * 0.4)", "g * (1 - 0.2::DOUBLE * -0.3)", "b * (1 - 0.3::DOUBLE * 0.4)")),
+    ("*", _three("{v} * CASE WHEN ml > 0 THEN 1 + 0.6::DOUBLE * (greatest(0.33, least(3, 0.5 / ml)) - 1) ELSE 1 END")),
+    ("", _three("{v} * pow(2.0::DOUBLE, 2 * 0.15::DOUBLE)")),
+    ("", _three("(({v} - 0.5) * 1.2::DOUBLE + 0.5) * (1 - 0.4::DOUBLE * 0.4 * " + _smooth("0.5::DOUBLE", "1.0::DOUBLE", LUM) + ") * (1 + 0.3::DOUBLE * 0.5 * " + _smooth("0.5::DOUBLE", "0.0::DOUBLE", LUM) + ") + 0.1::DOUBLE * 0.22 * " + _smooth("0.72::DOUBLE", "1.0::DOUBLE", LUM) + " - 0.15::DOUBLE * 0.22 * " + _smooth("0.28::DOUBLE", "0.0::DOUBLE", LUM))),
+    ("", tuple(f"{c} + (1 - greatest(0, least(1, {LUM}))) * 0.2::DOUBLE * ({lo}::DOUBLE - 0.5) + greatest(0, least(1, {LUM})) * 0.3::DOUBLE * ({hi}::DOUBLE - 0.5)" for c, lo, hi in zip("rgb", _LOW, _HIGH))),
+    ("", tuple(f"{LUM} + (({LUM} + ({c} - {LUM}) * (1 + 0.5::DOUBLE * (1 - greatest(0, least(1, {_MXMN}))))) - {LUM}) * 1.25::DOUBLE" for c in "rgb")),
+    ("", _three("{v} * (1 + -0.6::DOUBLE * 0.8 * " + _smooth("0.3::DOUBLE", "1.0::DOUBLE", "(sqrt((x - 4.0::DOUBLE)**2 + (y - 4.0::DOUBLE)**2) / sqrt(32.0::DOUBLE))") + ")")),
+    ("", _three("round(greatest(0, least(1, {v})) * 255 + 1e-9)::INT")),
+]
+
+
+def _chain() -> str:
+    out, src = UNIT, "u"
+    for i, (stats, cols) in enumerate(_CHAIN):
+        extra = ""
+        if stats:
+            out += f", m{i} AS (SELECT image_id, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, avg({LUM}) AS ml FROM {src} GROUP BY image_id)"
+            extra = f"JOIN m{i} USING (image_id)"
+        out += f", x{i} AS MATERIALIZED ({_apply(*cols, src=src, extra=extra)})"
+        src = f"x{i}"
+    return f"WITH {out} SELECT image_id, y, x, r, g, b FROM {src}"
+
+
+@query("edit_color_full", _chain())
+def edit_color_full(spark, sf):
+    return pixels.render(rgb(spark, sf), _ALL, EDGE, EDGE)
+
+
+@query("render_full")
+def render_full(spark, sf):
+    """The whole edit of packed images with crop and a healing stamp; tests hold it against its parts."""
+    p = _ALL | {"straighten": 30.0, "noise_reduction": 20.0, "clarity": 20.0, "sharpening": 30.0, "crop_x": 0.1, "crop_y": 0.1, "crop_w": 0.8, "crop_h": 0.7}
+    given = F.struct(*[F.lit(float(v)).alias(k) for k, v in p.items()])
+    heals = F.from_json(F.lit('[{"stamps": [{"x": 0.5, "y": 0.5, "r": 0.1}]}]'), "array<struct<stamps:array<struct<x:float,y:float,r:float>>>>")
+    return kernels.explode(render.render_full(kernels.pack(rgb(spark, sf)).withColumns({"params": given, "heals": heals})))
+
+
+@query("preview_sizes")
+def preview_sizes(spark, sf):
+    """Thumbnails, review images and previews: none is larger than its edge, small images stay."""
+    d = kernels.pack(rgb(spark, sf))
+    return d.select("image_id").join(render.thumbnails(d).select("image_id", F.col("width").alias("thumbnail")), "image_id").join(render.review(d).select("image_id", F.col("width").alias("review")), "image_id")
+
+
+@query("face_region_blur")
+def face_region_blur(spark, sf):
+    """The blur of the grown box after size normalising, over packed images; tests hold the parts."""
+    d = kernels.pack(rgb(spark, sf)).withColumn("box", faces.blur_box(F.struct(F.lit(2.0).alias("x"), F.lit(1.0).alias("y"), F.lit(4.0).alias("w"), F.lit(4.0).alias("h"))))
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"image_id": b.image_id, "score": [kernels.region_blur(kernels.array(r), r.x, r.y, r.w, r.h) for r in b.itertuples()]})
+
+    return d.select("image_id", "width", "height", "data", *[F.col(f"box.{c}").alias(c) for c in "xywh"]).mapInPandas(run, "image_id long, score double")
+
+
 # spatial kernels: no SQL; tests hold them against their properties ----------------------------------------------
 
 
@@ -652,7 +845,13 @@ for _name, _fn in {
     query(_name)(lambda spark, sf, f=_fn: kernels.explode(kernels.each(kernels.pack(rgb(spark, sf)), f)))
 
 
-@query("brush_stamps")
+_BRUSH = "bp AS (SELECT vec_id AS stroke, i - 1 AS seq, embedding[i]::DOUBLE AS x, embedding[i + 32]::DOUBLE AS y FROM embeddings, (SELECT unnest(range(1, 33)) AS i))"
+
+
+@query(
+    "brush_stamps",
+    f"WITH RECURSIVE {_BRUSH}, f(stroke, seq, x, y, kx, ky, kept) AS (SELECT stroke, seq, x, y, x, y, true FROM bp WHERE seq = 0 UNION ALL SELECT b.stroke, b.seq, b.x, b.y, CASE WHEN far THEN b.x ELSE kx END, CASE WHEN far THEN b.y ELSE ky END, far FROM (SELECT b.*, f.kx, f.ky, sqrt((b.x - f.kx)**2 + (b.y - f.ky)**2) >= 0.6::DOUBLE * 0.2 AS far FROM f JOIN bp b ON b.stroke = f.stroke AND b.seq = f.seq + 1) b) SELECT stroke, seq::INT AS seq, x, y, 0.2::DOUBLE AS r FROM f WHERE kept",
+)
 def brush_stamps(spark, sf):
     i = F.posexplode(F.slice("embedding", 1, 32)).alias("seq", "x")
     d = table(spark, sf, "embeddings").select(F.col("vec_id").alias("stroke"), "embedding", i)

@@ -12,24 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_supported
-from ..types import PARAMS
+from ..types import CROP, IMAGE_EXTENSIONS, PARAMS, SLIDERS
 
 EXIF = "model string, lens string, iso string, aperture string, shutter string, focal string, taken string, subsec string, error string"
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Supported files of a folder, not of its subfolders, with their bytes, by path."""
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    return d.where(is_supported(F.col("path"))).orderBy("path")
+    """Supported files of a folder, not of its subfolders, with their bytes; ``ordered`` sorts their paths.
+
+    The glob keeps other files from being read, and no bytes go through a shuffle."""
+    kinds = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in IMAGE_EXTENSIONS)
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", "*.{" + kinds + "}").load(folder)
+    return d.where(is_supported(F.col("path")))
+
+
+def ordered(files: DataFrame) -> DataFrame:
+    """The paths of files, and nothing else of them, by path."""
+    return files.select("path").orderBy("path")
 
 
 def scan_files(spark: SparkSession, paths: list[str]) -> tuple[str, DataFrame]:
-    """(folder of the first sorted path or empty, supported files)."""
-    kept = sorted(paths)
-    folder = kept[0].rpartition("/")[0] if kept else ""
+    """(folder of the first supported path by order, or empty; the supported files)."""
+    kinds = tuple("." + e for e in IMAGE_EXTENSIONS)
+    # a leading dot alone makes no extension
+    kept = sorted(p for p in paths if p.rpartition("/")[2][1:].lower().endswith(kinds))
     if not kept:
         return "", spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
-    return folder, spark.read.format("binaryFile").load(kept).where(is_supported(F.col("path"))).orderBy("path")
+    return kept[0].rpartition("/")[0], spark.read.format("binaryFile").load(kept)
 
 
 def decode(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,7 +59,9 @@ def decode(spark: SparkSession, folder: str) -> DataFrame:
                 out.append((r.origin, r.width, r.height, rgb.tobytes(), None))
             yield pd.DataFrame(out, columns=["path", "width", "height", "data", "error"])
 
-    return d.mapInPandas(run, "path string, width int, height int, data binary, error string")
+    made = d.mapInPandas(run, "path string, width int, height int, data binary, error string")
+    # this source writes local paths in another way than the one that ``scan`` reads with
+    return made.withColumn("path", F.regexp_replace("path", "^file:///", "file:/"))
 
 
 def _tags(raw: bytes) -> dict:
@@ -140,14 +151,19 @@ def data_uri(encoded, kind: str = "image/png"):
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes (position, target, content) as files of a folder, never over an existing one; ok and error of each."""
+    """Writes (position, target, content) as files of a folder, never over an existing one; ok and error of each.
+    Rows with an error of their own (column ``error``) write nothing and keep it."""
+    rows = rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
 
     def run(batches):
         import os
 
         for b in batches:
             ok, err = [], []
-            for name, body in zip(b.target, b.content):
+            for name, body, own in zip(b.target, b.content, b.error):
+                if own is not None:
+                    ok.append(False), err.append(own)
+                    continue
                 try:
                     with open(os.path.join(folder, name), "xb") as f:
                         f.write(body)
@@ -156,19 +172,35 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
                     ok.append(False), err.append(f"{name}: {e.strerror}")
             yield b.assign(ok=ok, error=err)[["position", "ok", "error"]]
 
-    return rows.select("position", "target", "content").mapInPandas(run, "position long, ok boolean, error string")
+    return rows.select("position", "target", "content", "error").mapInPandas(run, "position long, ok boolean, error string")
 
 
 def load_presets(spark: SparkSession, path: str) -> DataFrame:
-    """Presets (name, params); a missing or unreadable file holds none."""
+    """Presets (name, params) of a JSON array; a missing or corrupt file holds none, missing sliders are 0.
+
+    Faults of another kind (no permission, no such file system) are raised."""
     schema = f"name string, params {PARAMS}"
-    try:
-        # a handful of rows by a person; read at once, so that a bad file shows here
-        rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).collect()
-        return spark.createDataFrame(rows, schema)
-    except Exception:  # absent or corrupt
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], schema)
+    text = spark.read.option("wholetext", True).text(path)
+    each = text.select(F.explode(F.from_json("value", f"array<struct<name:string,params:{PARAMS}>>", {"mode": "PERMISSIVE"})).alias("p"))
+    params = F.struct(*[F.coalesce(F.col(f"p.params.{n}"), F.lit(0.0).cast("float")).alias(n) for n in SLIDERS + CROP])
+    return each.where("p.name is not null").select("p.name", params.alias("params"))
 
 
 def save_presets(presets: DataFrame, path: str) -> None:
-    presets.coalesce(1).write.mode("overwrite").json(path)
+    """Writes (name, params) as one JSON array in one file, in their order, over what was there.
+
+    Presets are what one person has named: a handful of rows, written by the driver in one piece."""
+    spark = presets.sparkSession
+    rows = presets.select(F.to_json(F.struct("name", "params")).alias("j")).toLocalIterator()
+    body = "[\n" + ",\n".join(r["j"] for r in rows) + "\n]\n"
+    jvm = spark.sparkContext._jvm
+    p, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    out.write(bytearray(body.encode()))
+    out.close()
+    fs.delete(p, True)
+    fs.rename(aside, p)
