@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
         if jsc.isDefined():
             d = jsc.get()
         else:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             d = tempfile.mkdtemp(prefix="grainline-")
             spark.sparkContext.setCheckpointDir(d)
     return d if "://" in d or d.startswith("file:") else "file://" + os.path.abspath(d)
@@ -48,7 +53,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     and a lost executor costs no recomputation of what came before."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._gl_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote and nothing reads any more."""
+    path = getattr(df, "_gl_path", None)
+    if path:
+        p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def local_path(uri: str) -> str | None:
@@ -122,6 +137,24 @@ def list_files(spark: SparkSession, uri: str, suffix: str) -> list[str]:
     return sorted(x.getPath().toString() for x in fs.listStatus(p) if x.getPath().getName().endswith(suffix))
 
 
+_TIDIED = [0.0]
+
+
+def tidy(every: float = 20.0) -> None:
+    """Gives memory that earlier tasks of this Python worker have freed back to the system, now and then."""
+    import pyarrow as pa
+
+    if time.monotonic() - _TIDIED[0] < every:
+        return
+    _TIDIED[0] = time.monotonic()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def remainder(n: int):
     """crc32 of doc_id as text, mod n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n

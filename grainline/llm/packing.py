@@ -7,7 +7,7 @@ lengths, held as a bitset in one integer, finds the fill closest to the capacity
 multiset is backtracked as counts of each length. What is left at the end of a partition is cut
 at powers of two, where sequences need no padding.
 
-The pool is one partition's own, so there is no shuffle and memory depends on ``POOL_IDS`` only.
+The pool is one partition's own, so there is no shuffle and memory depends on ``POOL_IDS`` and the encoder's byte bounds only.
 A recomputed task meets the same rows in the same order and packs them alike.
 
 Cases: null text counts as empty and holds the end id alone; a text longer than a window is cut;
@@ -95,6 +95,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
         from pyspark import TaskContext
 
         enc = encoder(path, spaced)
+        end = enc.kind(end_id)
         part = TaskContext.get().partitionId()
         seq = part << 40
         pool: list[tuple[int, int, np.ndarray, int]] = []  # doc_id, start, ids, doc_tokens
@@ -145,7 +146,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
                 ids, counts = enc.encode(texts.slice(a, k))
                 at = 0
                 for doc, n in zip(doc_ids[a : a + k], counts.tolist()):
-                    own = np.append(ids[at : at + n], np.uint16(end_id))
+                    own = np.append(ids[at : at + n], end)
                     at += n
                     total, start = len(own), 0
                     while total - start >= capacity:

@@ -1,77 +1,183 @@
-"""Token ids of whole texts by a public tokenizer, one library call for each distinct piece of text.
+"""Token ids of whole texts by a public tokenizer, one library call for many distinct pieces of text.
 
-A text is cut before every space (0x20) that parts two non-space characters. Neither of the
-supported pre-tokenizers lets a token cross such a place, so the ids of the pieces, joined, are
-the ids of the text; a piece repeats far more often than a text does, and a bounded cache keeps
-its ids. Pieces that begin or end in white space, or are empty, are joined with their
-neighbours first, as runs of white space are tokenized together.
+A text is cut where neither of the supported pre-tokenizers lets a token cross, so the ids of the pieces,
+joined, are the ids of the text; a piece repeats far more often than a text does, and a bounded cache keeps
+its ids. Characters have a class: letter, mark (punctuation and symbols, not the apostrophe of contractions),
+ASCII digit, space, line end, or other. Cuts lie between a letter, a mark and a digit; before a single space
+and around a single line end that stand between two of these. There is none next to any other character
+(runs of white space, combining marks, characters that normalising or lower-casing takes apart), and none in
+a text that may hold a special token.
+
+Memory is bounded by bytes: texts are encoded ``SLICE_BYTES`` at a time (one text at least) and the cache
+starts again beyond ``CACHE_BYTES``, by its entries' estimated size.
 """
 
 from __future__ import annotations
 
-import gc
 import os
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
-#: Distinct pieces kept by a worker before its cache starts again.
-CACHE = 1_000_000
-#: Texts encoded together: so many, or so many bytes.
-SLICE, SLICE_BYTES = 4000, 12_000_000
-#: The vocabularies' own end mark.
-MARK = "<|endoftext|>"
+from .common import tidy
+
+#: Bytes of texts encoded together, and of the cache before it starts again.
+SLICE_BYTES, CACHE_BYTES = 3_000_000, 60_000_000
+#: What a cache entry costs besides its text and ids: a dictionary slot, a string's head, two numbers.
+ENTRY = 150
+#: Pieces joined in one library call.
+JOINED = 200
+#: The vocabularies' own end mark; every special token begins with ``SPECIAL``.
+MARK, SPECIAL = "<|endoftext|>", "<|"
+OTHER, LETTER, SIGN, DIGIT, SPACE, LINE = range(6)
+
+
+def _classes() -> np.ndarray:
+    """The class of every code point below 0x10000. Unicode 3.2 decides, which libraries of any age agree on."""
+    old, out = unicodedata.ucd_3_2_0.category, np.zeros(0x10000, np.uint8)
+    for i in range(0x10000):
+        c = chr(i)
+        kind = old(c)[0]
+        if kind not in "LPS" or kind != unicodedata.category(c)[0] or c == "'" or 0x1100 <= i < 0x1200:
+            continue
+        if unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1:
+            out[i] = LETTER if kind == "L" else SIGN
+    out[0x30:0x3A], out[0x20], out[0x0A] = DIGIT, SPACE, LINE
+    return out
 
 
 class Encoder:
-    """Encodes batches of texts; ``spaced`` keeps the space before a piece (byte-level vocabularies)."""
+    """Encodes batches of texts; ``spaced`` says that the space before a word counts (byte-level vocabularies)."""
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model, self.spaced = Tokenizer.from_file(path), spaced
-        self.mark, self.gap = self.model.token_to_id(MARK), "" if spaced else " "
-        vocab = self.model.get_vocab(with_added_tokens=False)
-        # in byte-level vocabularies a character stands for a byte
-        self.bytes = np.zeros(max(self.mark, *vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
-            self.bytes[i] = len(token.removesuffix("</w>"))
+        self.mark = self.model.token_to_id(MARK)
+        #: The type of ids: as wide as the vocabulary needs.
+        self.kind = np.uint16 if max(self.model.get_vocab().values()) < 1 << 16 else np.uint32
+        self.core = self.model.model.tokenize
+        # byte-level alphabets: a printable character stands for its byte, others follow from 256 on
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        rest = [x for x in range(0x100) if x not in plain]
+        letters = [chr(0x100 + rest.index(x) if x in rest and x != 0x0A else x).encode() for x in range(0x100)]
+        self.gap = letters[0x20].decode()
+        # their UTF-8, one or two bytes each
+        self.pairs = np.array([[x[0], x[-1]] for x in letters], np.uint8)
+        self.used = np.array([[True, len(x) > 1] for x in letters])
+        self.classes = _classes()
+        #: Whether texts are cut at all: not by a vocabulary that works in another way.
+        self.special = all(x.content.startswith(SPECIAL) for x in self.model.get_added_tokens_decoder().values()) and self._fits()
+        self.ascii = bytes(self.classes[:128]) + bytes(128)
         self._reset()
 
     def _reset(self):
         self.known: dict[str, int] = {}
-        self.starts, self.sizes = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
-        self.ids, self.n = np.zeros(1 << 16, np.uint16), 0
-
-    def _learn(self, pieces: list[str], joined: bool = False) -> None:
-        """Pieces are encoded many at a time. ``joined``: they follow each other as in a text, and the
-        bytes of the tokens show where each piece ends; else the end-of-text mark parts them."""
-        plain = [p for p in pieces if MARK not in p]
-        groups = [plain[a : a + 200] for a in range(0, len(plain), 200)] + [[p] for p in pieces if MARK in p]
-        for group in groups:
-            if len(group) == 1:
-                ids = np.array(self.model.encode(group[0], add_special_tokens=False).ids, np.uint16)
-                self._add(group, ids, np.zeros(1, np.int64), np.array([len(ids)]))
-                continue
-            if joined:
-                text = group if self.spaced else [_lower(unicodedata.normalize("NFC", p)) for p in group]
-                ids = np.array(self.model.encode_batch_fast([self.gap.join(text)], add_special_tokens=False)[0].ids, np.uint16)
-                upto = np.cumsum(self.bytes[ids])
-                seen = text if self.spaced else ["".join(p.split()) for p in text]  # this vocabulary drops white space
-                ends = np.cumsum(np.fromiter((len(p.encode()) for p in seen), np.int64, len(text)))
-                cuts = np.searchsorted(upto, ends) + 1
-                if len(ids) and upto[-1] == ends[-1] and (upto[np.minimum(cuts, len(ids)) - 1] == ends).all():
-                    begins = np.concatenate([[0], cuts[:-1]])
-                    self._add(group, ids, begins, cuts - begins)
-                    continue
-            ids = np.array(self.model.encode_batch_fast([MARK.join(group)], add_special_tokens=False)[0].ids, np.uint16)
-            cuts = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            begins = np.concatenate([[0], cuts[:-1] + 1])
-            self._add(group, ids, begins, cuts - begins)
+        self.starts, self.sizes = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.ids, self.n, self.held = np.zeros(1 << 16, self.kind), 0, 0
+
+    def _fits(self) -> bool:
+        probe = ["word", "Été", "...", "»", "7"] + ([" word", " Été", " &", " 123"] if self.spaced else [])
+        try:
+            return all([t.id for t in self.core(self._mapped(x if self.spaced else x.lower()))] == self.model.encode(x, add_special_tokens=False).ids for x in probe)
+        except Exception:  # noqa: BLE001 - models of other kinds raise what they like
+            return False
+
+    # cutting ----------------------------------------------------------------------------------------------
+
+    def _class(self, data: np.ndarray) -> np.ndarray:
+        """The class of each byte's character, with one more byte of no class at either end."""
+        c = np.zeros(len(data) + 2, np.uint8)
+        own = c[1:-1]
+        own[:] = np.frombuffer(data.tobytes().translate(self.ascii), np.uint8)
+        high = np.flatnonzero(data >= 0xC0)
+        if len(high):
+            lead = data[high]
+            for at, more in ((high[lead < 0xE0], 1), (high[(lead >= 0xE0) & (lead < 0xF0)], 2)):
+                code = (data[at] & (0x1F if more == 1 else 0x0F)).astype(np.int32)
+                for j in range(1, more + 1):
+                    code = code << 6 | (data[at + j] & 0x3F)
+                k = self.classes[code]
+                for j in range(more + 1):
+                    own[at + j] = k
+        return c
+
+    def _cut(self, texts: pa.Array, whole: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """All pieces one after the other, and where each text's begin (and the end)."""
+        off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        first, size = int(off[0]), int(off[-1] - off[0])
+        if not size:
+            return pa.array([], pa.string()), np.zeros(len(texts) + 1, np.int64)
+        body = texts.buffers()[2].slice(first, size)
+        off = off - first
+        c = self._class(np.frombuffer(body, np.uint8))
+        fine = (c - np.uint8(1)) < 3
+        before, own, after = fine[:-2], c[1:-1], fine[2:]
+        cut = before & fine[1:-1] & (own != c[:-2])
+        between = before & after
+        cut |= (own == SPACE) & between
+        line = (own == LINE) & between
+        cut |= line
+        cut[1:] |= line[:-1]
+        for i in np.flatnonzero(whole).tolist():
+            cut[off[i] : off[i + 1]] = False
+        full = off[1:] > off[:-1]
+        cut[off[:-1][full]] = True
+        at = np.append(np.flatnonzero(cut), size).astype(np.int32)
+        return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), body), np.searchsorted(at, off)
+
+    # learning ---------------------------------------------------------------------------------------------
+
+    def _single(self, words: pa.Array) -> np.ndarray:
+        """Which pieces are one pre-token: a space at most, then letters, marks or digits only."""
+        off = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        first = int(off[0])
+        c = self._class(np.frombuffer(words.buffers()[2].slice(first, int(off[-1]) - first), np.uint8))[1:]
+        a, b = off[:-1] - first, off[1:] - first
+        full = b > a
+        a = a + (self.spaced & (c[a] == SPACE))
+        body = a < b
+        low, high = np.zeros(len(a), np.uint8), np.zeros(len(a), np.uint8)
+        # reduceat over [start, end) pairs; every other result is of what lies between
+        at = np.stack([a, b], 1)[body].ravel()
+        if len(at):
+            low[body], high[body] = np.minimum.reduceat(c, at)[::2], np.maximum.reduceat(c, at)[::2]
+        # the other vocabulary takes digits one by one
+        return full & (low == high) & ((low == LETTER) | (low == SIGN) | (low == DIGIT) & (self.spaced | (b - a == 1)))
+
+    def _learn(self, pieces: list[str], single: bool) -> None:
+        """Adds pieces to the cache in their order: single pre-tokens by the library's model, others by all of it."""
+        core, mapped = self.core, self._mapped("\n".join(pieces)).split("\n") if single else []
+        for a in range(0, len(pieces), JOINED):
+            group = pieces[a : a + JOINED]
+            if single:
+                flat, sizes = [], []
+                for x in mapped[a : a + JOINED]:
+                    got = core(x)
+                    sizes.append(len(got))
+                    flat += [t.id for t in got]
+                sizes = np.array(sizes, np.int64)
+                self._add(group, np.array(flat, self.kind), np.cumsum(sizes) - sizes, sizes)
+            elif self.mark is None or any(SPECIAL in p for p in group) or not self.special:
+                for p in group:
+                    ids = np.array(self.model.encode(p, add_special_tokens=False).ids, self.kind)
+                    self._add([p], ids, np.zeros(1, np.int64), np.array([len(ids)]))
+            else:
+                ids = np.array(self.model.encode_batch_fast([MARK.join(group)], add_special_tokens=False)[0].ids, self.kind)
+                cuts = np.append(np.flatnonzero(ids == self.mark), len(ids))
+                begins = np.concatenate([[0], cuts[:-1] + 1])
+                self._add(group, ids, begins, cuts - begins)
+
+    def _mapped(self, text: str) -> str:
+        """Pieces as the model's alphabet has them, a character for each byte; line ends part them."""
+        if text.isascii():
+            return text.replace(" ", self.gap)
+        own = np.frombuffer((text if self.spaced else _lower(text)).encode(), np.uint8)
+        return self.pairs[own].ravel()[self.used[own].ravel()].tobytes().decode()
 
     def _add(self, pieces: list[str], ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
         k, n = len(self.known), len(pieces)
@@ -83,126 +189,51 @@ class Encoder:
         self.starts[k : k + n], self.sizes[k : k + n] = self.n + begins, sizes
         self.known.update(zip(pieces, range(k, k + n)))
         self.n += len(ids)
-
-    def _learn_parts(self, pieces: list[str], joined: bool) -> None:
-        """A piece of letters, ASCII marks and single line ends is put together from its parts: neither
-        pre-tokenizer lets a token cross from one to the other. Parts repeat more often than pieces do."""
-        known, parts, sizes, split = self.known, [], [], _PARTS.fullmatch
-        cut, whole = [], []
-        for p in pieces:
-            m = None if p[-1].isalpha() and "\n" not in p else split(p)
-            # a letter that normalising takes apart would leave a mark before the part that follows
-            if m and not self.spaced and not unicodedata.is_normalized("NFC", p):
-                m = None
-            own = [x for x in m.groups() if x] if m else []
-            if len(own) > 1:
-                cut.append(p)
-                sizes.append(len(own))
-                parts += own
-            else:
-                whole.append(p)
-        need = list(dict.fromkeys(x for x in [*whole, *parts] if x not in known))
-        # parts after the first have no space before them and are learnt apart from those that do
-        late = [x for x in need if x[0] != " "] if joined and self.spaced else []
-        self._learn([x for x in need if x[0] == " "] if late else need, joined)
-        self._learn(late)
-        if not cut:
-            return
-        at = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-        n = self.sizes[at].astype(np.int64)
-        ends = np.cumsum(n)
-        ids = self.ids[np.repeat(self.starts[at] - (ends - n), n) + np.arange(int(ends[-1]))]
-        upto = ends[np.cumsum(sizes) - 1]
-        begins = np.concatenate([[0], upto[:-1]])
-        self._add(cut, ids, begins, upto - begins)
+        self.held += ENTRY * n + sum(map(len, pieces)) + 4 * len(ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each text; null is empty."""
         texts = pc.fill_null(texts, "")
-        # case folding that the vocabulary does anyway, done early where no mark could arise from it
-        plain = not pc.any(pc.match_substring(texts, "<|")).as_py()
-        if plain and not self.spaced:
-            texts = pc.ascii_lower(texts)
-        lists = pc.split_pattern(texts, " ")
-        off, flat = lists.offsets.to_numpy(), lists.flatten()
-        d = flat.dictionary_encode()
+        whole = pc.match_substring(texts, SPECIAL).to_numpy(zero_copy_only=False) if self.special else np.ones(len(texts), bool)
+        if not self.spaced:
+            # case folding that the vocabulary does anyway, done early where no special token could arise from it
+            low = pc.ascii_lower(texts)
+            texts = pc.if_else(pa.array(whole), texts, low) if whole.any() else low
+        pieces, begin = self._cut(texts, whole)
+        d = pieces.dictionary_encode()
         words, idx = d.dictionary, d.indices.to_numpy()
-        odd = _odd(words)
-        per = np.diff(off)
-        odd_doc = np.zeros(len(texts), bool)
-        if odd.any():
-            odd_doc[np.repeat(np.arange(len(texts)), per)[odd[idx]]] = True
-        # the first piece of a text has no space before it
-        first = np.zeros(len(idx), bool)
-        if self.spaced:
-            first[off[:-1][per > 0]] = True
-        usable = ~np.repeat(odd_doc, per)
-        need, heads = _distinct(idx[usable & ~first], len(words)), _distinct(idx[usable & first], len(words))
-        keys = words.take(pa.array(need))
-        keys = (pc.binary_join_element_wise(" ", keys, "") if self.spaced else keys).to_pylist()
-        head_keys = words.take(pa.array(heads)).to_pylist()
-        if len(self.known) > CACHE:
+        if not self.spaced:
+            # here a space in front makes no difference
+            d = pc.utf8_ltrim(words, " ").dictionary_encode()
+            words, idx = d.dictionary, d.indices.to_numpy()[idx]
+        keys = words.to_numpy(zero_copy_only=False).tolist()
+        if self.held > CACHE_BYTES:
             self._reset()
-        places = []
-        for wanted in (keys, head_keys):
-            at = list(map(self.known.get, wanted))
-            new = [i for i, x in enumerate(at) if x is None]
-            if plain:
-                self._learn_parts([wanted[i] for i in new], wanted is keys)
-            else:
-                self._learn([wanted[i] for i in new])
-            for i in new:
-                at[i] = self.known[wanted[i]]
-            places.append(at)
-        place = np.zeros(len(words), np.int64)
-        place[need] = places[0]
-        where = place[idx]
-        if self.spaced:
-            head = np.zeros(len(words), np.int64)
-            head[heads] = places[1]
-            where[first] = head[idx[first]]
-        sizes = np.where(usable, self.sizes[where], 0).astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        total = int(ends[-1])
-        src = np.repeat(self.starts[where] - ends[:-1], sizes) + np.arange(total)
-        ids = self.ids[src]
-        counts = ends[off[1:]] - ends[off[:-1]]
-        if not odd_doc.any():
-            return ids, counts
-        out, at = [], np.concatenate([[0], np.cumsum(counts)])
-        last = 0
-        for i in np.flatnonzero(odd_doc).tolist():
-            out.append(ids[at[last] : at[i]])
-            own = self._joined(texts[i].as_py())
-            counts[i] = len(own)
-            out.append(own)
-            last = i + 1
-        out.append(ids[at[last] :])
-        return np.concatenate(out), counts
-
-    def _joined(self, text: str) -> np.ndarray:
-        """A text with runs of white space: its pieces are cut only between plain characters."""
-        parts: list[str] = []
-        for i, w in enumerate(text.split(" ")):
-            if i == 0:
-                parts.append(w)
-            elif w and parts[-1] and not _EDGE.search(parts[-1][-1] + w[0]):
-                parts.append(" " + w)
-            else:
-                parts[-1] += " " + w
-        known = self.known
-        self._learn([p for p in dict.fromkeys(parts) if p not in known])
-        k = [known[p] for p in parts]
-        return np.concatenate([self.ids[self.starts[x] : self.starts[x] + self.sizes[x]] for x in k]) if k else self.ids[:0]
+        place = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            wanted = words.take(pa.array(new))
+            single, plain = self._single(wanted), pc.string_is_ascii(wanted).to_numpy(zero_copy_only=False)
+            for some, one in ((new[single & plain], True), (new[single & ~plain], True), (new[~single], False)):
+                place[some] = len(self.known) + np.arange(len(some))
+                self._learn([keys[i] for i in some.tolist()], one)
+        sizes = self.sizes[place][idx] if len(idx) else np.zeros(0, np.int32)
+        ends = np.zeros(len(idx) + 1, np.int32)
+        np.cumsum(sizes, out=ends[1:])
+        src = np.repeat(self.starts[place][idx] - ends[:-1], sizes) if len(idx) else np.zeros(0, np.int32)
+        src += np.arange(len(src), dtype=np.int32)
+        at = ends[begin]
+        return self.ids[src], np.diff(at).astype(np.int64)
 
 
-def slices(texts: pa.Array):
-    """(first, number) of runs of texts to encode together."""
+def slices(texts: pa.Array, size: int | None = None, most: int = 1 << 30):
+    """(first, number) of runs of texts of so many bytes and rows at most, one text at least."""
+    size = size or SLICE_BYTES
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
     while a < len(texts):
-        b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SLICE_BYTES, side="right"))
-        b = min(max(b, a + 1), a + SLICE)
+        b = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + size, side="right"))
+        b = min(max(b, a + 1), a + most)
         yield a, b - a
         a = b
 
@@ -212,50 +243,20 @@ def _lower(text: str) -> str:
     return text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)
 
 
-def _odd(words: pa.Array) -> np.ndarray:
-    """Which pieces EDGES matches; printable ASCII at both ends settles most without a pattern."""
-    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
-    if at[-1] == at[0]:
-        return np.ones(len(words), bool)
-    data = np.frombuffer(words.buffers()[2], np.uint8)
-    full = at[1:] > at[:-1]
-    first, last = data[np.minimum(at[:-1], len(data) - 1)], data[np.maximum(at[1:] - 1, 0)]
-    fine = full & (first > 0x20) & (first < 0x7F) & (last > 0x20) & (last < 0x7F)
-    odd = ~fine
-    rest = np.flatnonzero(odd)
-    odd[rest] = pc.match_substring_regex(words.take(pa.array(rest)), EDGES).to_numpy(zero_copy_only=False)
-    return odd
-
-
-def _distinct(idx: np.ndarray, n: int) -> np.ndarray:
-    seen = np.zeros(n, bool)
-    seen[idx] = True
-    return np.flatnonzero(seen)
-
-
-def _plain(w: str) -> bool:
-    """Whether both ends are characters that nobody takes for white space."""
-    return bool(w) and not _EDGE.search(w[0] + w[-1])
-
-
-#: Pieces that are empty, or begin or end with white space, control or format characters.
-EDGES = r"^$|^[\s\x0b\p{Z}\p{C}]|[\s\x0b\p{Z}\p{C}]$"
-_EDGE = regex.compile(r"[\s\p{Z}\p{C}]")
-#: Letters and the ASCII marks after them, twice at most around a line end; the apostrophe (contractions) is none of the marks.
-#: U+0130 becomes a letter and a mark in lower case.
-_PARTS = regex.compile(r"( ?[\p{L}--\u0130]+)([!-&(-/:-@\[-`{-~]+)?(?:(\n)([\p{L}--\u0130]+)([!-&(-/:-@\[-`{-~]+)?)?", regex.V1)
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
     """One encoder for each vocabulary and worker, so that what it has learnt serves later tasks."""
     if (path, spaced) not in _ENCODERS:
+        release()
+        tidy(0.0)
         _ENCODERS[path, spaced] = Encoder(path, spaced)
     return _ENCODERS[path, spaced]
 
 
 def release() -> None:
     """Drops what earlier tasks of this worker have learnt, for operators that need the memory themselves."""
-    if _ENCODERS:
-        _ENCODERS.clear()
-        gc.collect()
+    full = bool(_ENCODERS)
+    _ENCODERS.clear()
+    tidy(0.0 if full else 20.0)

@@ -11,7 +11,7 @@ directories), the directories (documents: id and length; zeros of each plane; bl
 ones before), then the blocks.
 
 Cases: null text counts as empty; each document has its end id, so it has one id at least; a null
-doc_id comes first; documents with the same doc_id keep all their rows, in order of their text; an
+doc_id comes first; documents with the same doc_id keep all their rows, in order of their texts' hashes; an
 empty table gives no shard; other columns are not read.
 """
 
@@ -206,7 +206,7 @@ def write_shards(docs: DataFrame, path: str, out_dir: str, end_id: int = END, sp
             for a, k in slices(texts):
                 got, counts = enc.encode(texts.slice(a, k))
                 ends = np.cumsum(counts)
-                ids.append(np.insert(got, ends, np.uint16(end_id)))
+                ids.append(np.insert(got, ends, enc.kind(end_id)))
                 own += zip(doc_ids[a : a + k], (counts + 1).tolist())
                 held += len(got) + len(counts)
                 if held >= SHARD_IDS:
@@ -214,7 +214,10 @@ def write_shards(docs: DataFrame, path: str, out_dir: str, end_id: int = END, sp
         if own:
             yield flush()
 
-    rows = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one doc_id (or none) spread over tasks by the hash of their text, equal rows by their place
+    key = ["doc_id", "_gl_hash", "_gl_at"]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_gl_hash"), F.monotonically_increasing_id().alias("_gl_at"))
+    rows = rows.repartitionByRange(n, *key).sortWithinPartitions("doc_id", "_gl_hash", "text")
     return stored(rows.mapInArrow(run, SHARD), "wavelet-shards")
 
 
