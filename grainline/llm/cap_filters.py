@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .components import block_pairs, components, spanning
+from .components import block_pairs, blocks, components, spanning
 
 COSINE = 0.93
 #: Share of the pairs at the cosine that may meet in no filter, and the pairs it is measured on.
@@ -43,8 +43,8 @@ SHARED = 0.7
 #: Below so many dimensions directions are not products.
 PLAIN = 8
 SEED = 20240501
-#: Rows of one block of a group that is compared in pieces.
-BLOCK = 1500
+#: Rows of one block of a group that is compared in pieces, at most and at least.
+BLOCK, LEAST_BLOCK = 1500, 200
 
 
 def _angles(dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,16 +227,17 @@ def _linked(cosine: float):
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of (vec_id, embedding, label)."""
+    spark = vectors.sparkSession
     rows, nodes = classes(vectors)
     nodes = stored(nodes, "cap-nodes")
     sizes = nodes.groupBy("label", "dims").count().groupBy("dims").agg(F.max("count")).collect()
     plans = {dims: tune(n, dims, cosine) for dims, n in sizes}
     find = _linked(cosine)
-    d = buckets(nodes, plans)
+    d = stored(buckets(nodes, plans), "cap-filters")  # decoded once, read twice
     key = ["label", "dims", "filter"]
     # only filters with very many vectors are named here; the others are one block each
     hot = d.select(*key).groupBy(*key).agg(F.count("*").alias("_size")).where(F.col("_size") > BLOCK)
-    d = block_pairs(d.join(hot, key, "left").fillna({"_size": 1}), "_size", F.col("node"), BLOCK)
+    d = block_pairs(d.join(hot, key, "left").fillna({"_size": 1}), blocks(spark, F.col("_size"), BLOCK, BLOCK), F.col("node"))
 
     def forest(_, t):
         if t.num_rows < 2:
@@ -250,7 +251,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     # links are counted where they are: inside components
     sizes = comp.groupBy("component").agg(F.count("*").alias("_size"))
     members = nodes.join(comp, nodes["node"] == comp["id"]).join(sizes, "component").select("component", "node", "copies", "dims", "e", "_size")
-    members = block_pairs(members, "_size", F.col("node"), BLOCK)
+    members = block_pairs(members, blocks(spark, F.col("_size"), BLOCK, LEAST_BLOCK), F.col("node"))
 
     def count(_, t):
         x = np.array(t["e"].to_pylist(), "<f8")

@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .language_id import mix64
-from .tokens import release
+from .tokens import release, slices
 from .words import word_table
 
+#: Texts, and bytes of them, that are chunked together.
+SLICE, SLICE_BYTES = 300, 1_500_000
 WINDOW = 16
 REACH = 3
 MIN_WORDS = 20
@@ -111,8 +113,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
         release()
         for batch in batches:
             ids, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a in range(0, batch.num_rows, 300):
-                c = Chunks(batch.column(2).slice(a, 300).to_pylist())
+            for a, k in slices(batch.column(2), SLICE_BYTES, SLICE):
+                c = Chunks(batch.column(2).slice(a, k).to_pylist())
                 d1, d2 = c.digests()
                 place = (np.arange(len(d1)) - c.doc_first[c.chunk_doc]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -167,8 +169,8 @@ def _marked(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         release()
         for batch in batches:
-            for a in range(0, batch.num_rows, 300):
-                part = batch.slice(a, 300)
+            for a, k in slices(batch.column(at), SLICE_BYTES, SLICE):
+                part = batch.slice(a, k)
                 texts, dups = part.column(at).to_pylist(), part.column(n).to_pylist()
                 c = Chunks(texts)
                 word_doc_first = np.searchsorted(c.word_doc, np.arange(len(texts)))

@@ -5,23 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, partitions, stored
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) for the ends of the edges (a, b): component is the smallest id connected.
 
     Alternating large-star and small-star steps, each an aggregate and a join on the node; every
-    round ends in a written table, and only two numbers of it reach the driver. Hot nodes are
-    pre-aggregated, and adaptive execution splits their rows in the join.
+    round ends in a written table, which replaces the one before, and only two numbers of it reach the driver;
+    the rounds end when nothing changes. Hot nodes are pre-aggregated, and adaptive execution splits their rows
+    in the join.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, seen = stored(e, "edges"), None
-    for _ in range(rounds):
+    while True:
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen or not mark[0]:
             break
-        seen = tuple(mark)
+        seen, old = tuple(mark), e
         # large star: all larger neighbours of a node point to the smallest of its neighbourhood
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
@@ -30,15 +31,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = big.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         hung = big.join(low, F.col("u") == F.col("n"))
         e = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select(F.col("n").alias("u"), F.col("m").alias("v")))
-        e = stored(e.where("u <> v").distinct(), "edges")
+        before, e = old, stored(e.where("u <> v").distinct(), "edges")
+        discard(before)
     stars = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
     return stars.unionAll(stars.select(F.col("component").alias("id"), "component").distinct())
 
 
-def block_pairs(rows: DataFrame, size: str, by, per: int) -> DataFrame:
-    """rows with _i <= _j, so that all pairs of a group of ``size`` rows meet in the blocks (group, _i, _j)
-    of 2 * per rows or so; a group of up to ``per`` rows is one block. Pairs within block _i meet in (_i, _i)."""
-    n = F.greatest(F.lit(1).cast("long"), F.ceil(F.col(size) / per))
+def blocks(spark, size, most: int, least: int):
+    """The number of blocks of a group of ``size`` rows: of ``most`` rows at most, and down to ``least`` where that
+    gives every task a pair of blocks."""
+    wide = max(1, int((2 * partitions(spark)) ** 0.5))
+    n = F.greatest(F.ceil(size / most), F.least(F.ceil(size / least), F.lit(wide)))
+    return F.greatest(F.lit(1).cast("long"), n.cast("long"))
+
+
+def block_pairs(rows: DataFrame, n, by) -> DataFrame:
+    """rows with _i <= _j, so that all pairs of a group dealt into ``n`` blocks meet in the block pairs
+    (group, _i, _j). Pairs within block _i meet in (_i, _i)."""
     d = rows.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64(by, F.lit(7)), F.col("_n")))
     d = d.withColumn("_p", F.explode(F.expr("sequence(0L, _n - 1)")))
     return d.withColumns({"_i": F.least("_b", "_p"), "_j": F.greatest("_b", "_p")}).drop("_n", "_p")

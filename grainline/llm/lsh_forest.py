@@ -1,15 +1,22 @@
-"""Near-duplicate texts by MinHash banding and exact verification.
-
-Sets are runs of five words (A-Z lower-cased, words parted by white space). A text's MinHash
-signature has ``TREES`` bands of as many values, at most ``DEPTH``, as let the share of pairs at the wanted
-similarity that agree in some whole band reach ``RECALL`` (``level``: a formula, 8 values by default). This
-stands in for an LSH forest: with one threshold for all texts, matches at longer prefixes are among those at
-this one, so no tries are kept and no more values are computed. Texts that agree in a band are found by an
-aggregate over (tree, prefix), which links its members to the smallest one. The components of those links are the candidate groups, and inside a group
-every pair is verified exactly by the shingles themselves, in blocks of bounded size. Links are
-counted there and a spanning forest of them gives the final classes; pairs are never emitted.
-
-Equal texts are one node first, with their number of copies.
+"""Near-duplicate texts by a MinHash LSH forest and exact verification.
+
+Sets are runs of five words (A-Z lower-cased, words parted by white space). A text's MinHash signature in
+each of ``TREES`` trees has ``DEPTH`` values, a byte of each minimum; sorted, the signatures of a tree are a
+prefix trie, and texts meet in the trie nodes they share. The prefixes of a text begin at the full depth and
+are shortened value by value until the target recall: a text that shares a prefix with others in a share r of
+the trees finds such a neighbour with chance 1 - (1 - r) ** TREES, so it stops at the longest prefix where the
+measured r makes that ``RECALL`` (``matches`` trees). Texts without close neighbours go on to the floor, where
+a pair at the wanted similarity itself reaches the recall (``level``, 8 of 12 values by default). A node in
+which any text has stopped links all its members to the smallest one. A pair is found if either text is
+still looking at the prefix they share, so only pairs of texts that both have closer neighbours can miss each
+other, and those meet through them.
+
+The components of the links are the candidate groups. Inside a group every pair is verified exactly by the
+shingles themselves, in blocks bounded by rows and bytes. Links are counted there and a spanning forest of
+them gives the final classes; pairs are never emitted. Work grows with the square of a candidate group.
+
+Equal texts (by 128 bits of hash) are one node first, with their number of copies. Trie nodes that hold one text
+are dropped by an aggregate before anything else; hot nodes are pre-aggregated and their joins split.
 
 Cases: texts without words (null, empty, white space) link with nothing, each row is its own class; texts
 of one to four words have one run, the whole; rows with equal doc_id are copies if their texts are
@@ -24,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
-from .components import block_pairs, components, spanning
-from .tokens import release
+from .common import discard, stored, table
+from .components import block_pairs, blocks, components, spanning
+from .tokens import release, slices
 from .words import hashed_words, shingles
 
 WORDS = 5
@@ -35,24 +42,36 @@ TREES = 32
 DEPTH = 12
 RECALL = 0.997
 SEED = 7
-#: Texts of one block of a group that is verified in pieces.
-BLOCK = 2000
+#: Texts of a block of a group that is verified in pieces, at most and at least; and bytes of a block.
+BLOCK, LEAST_BLOCK, BLOCK_BYTES = 2000, 250, 4_000_000
+#: Texts, and bytes of them, that get their signatures together.
+SLICE, SLICE_BYTES = 500, 2_000_000
 
 
 def level(similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which pairs of that similarity match in some tree with the wanted recall."""
+    """The floor: the longest prefix at which pairs of that similarity match in some tree with the wanted recall."""
     k = depth
     while k > 1 and 1 - (1 - similarity**k) ** trees < recall:
         k -= 1
     return k
 
 
-SIGNED = "doc_id long, node long, runs long, prefixes array<long>"
+def matches(trees: int = TREES, recall: float = RECALL) -> int:
+    """In how many trees a text must share its prefix, so that such a neighbour is found with that recall."""
+    return int(np.ceil(trees * (1 - (1 - recall) ** (1 / trees))))
+
+
+SIGNED = "doc_id long, h1 long, h2 long, runs long, bytes long, signature array<binary>"
+
+
+def hashes(text, bits: int = 64):
+    """The two halves of a text's identity, as columns; ``bits`` of the first (fewer only to try clashes out)."""
+    h1 = F.xxhash64(text)
+    return F.shiftrightunsigned(h1, 64 - bits) if bits < 64 else h1, F.xxhash64(text, F.lit(1))
 
 
-def signatures(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, k: int | None = None, words: int = WORDS) -> DataFrame:
-    """doc_id, node (of the text), number of runs and the prefix of length k in every tree."""
-    k = level() if k is None else k
+def signatures(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, words: int = WORDS, bits: int = 64) -> DataFrame:
+    """doc_id, identity of the text, its number of runs and bytes, and its signature in every tree."""
     rng = np.random.default_rng(SEED)
     mul = rng.integers(0, 1 << 31, (trees, depth), np.uint32) * 2 + 1
     add = rng.integers(0, 1 << 32, (trees, depth), np.uint32)
@@ -60,30 +79,66 @@ def signatures(docs: DataFrame, trees: int = TREES, depth: int = DEPTH, k: int |
     def run(batches):
         release()
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a, k in slices(batch.column(1), SLICE_BYTES, SLICE):
+                part = batch.slice(a, k)
                 texts = part.column(1)
                 h, off = shingles(*hashed_words(texts), words)
                 n = np.diff(off)
                 full = np.flatnonzero(n)
                 h32, starts = (h >> np.uint64(32)).astype(np.uint32), off[:-1][full]
-                prefix = np.zeros((len(full), trees), np.uint64)
+                values = np.zeros((len(full), trees, depth), np.uint8)
                 if len(full):
                     for t in range(trees):
-                        p = np.full(len(full), t + 1, np.uint64)
-                        for j in range(k):
-                            least = np.minimum.reduceat(h32 * mul[t, j] + add[t, j], starts)
-                            p = (p ^ least) * np.uint64(0x9E3779B97F4A7C15)
-                            p ^= p >> np.uint64(29)
-                        prefix[:, t] = p
-                lists = np.full(len(n) + 1, 0, np.int32)
+                        for j in range(depth):
+                            # the low bits of a minimum depend on the set as a whole, the high ones on its size
+                            values[:, t, j] = np.minimum.reduceat(h32 * mul[t, j] + add[t, j], starts) * np.uint32(0x9E3779B1) >> np.uint32(24)
+                lists = np.zeros(len(n) + 1, np.int32)
                 lists[1:] = np.cumsum(np.where(n > 0, trees, 0))
+                cuts = np.arange(0, values.size + 1, depth, dtype=np.int32)
+                signs = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(values.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(lists), pa.array(prefix.ravel().view(np.int64)))],
-                    names=["doc_id", "node", "runs", "prefixes"],
+                    [*(part.column(c) for c in (0, 2, 3)), pa.array(n, pa.int64()), part.column(4), pa.ListArray.from_arrays(pa.array(lists), signs)],
+                    names=["doc_id", "h1", "h2", "runs", "bytes", "signature"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("node")).mapInArrow(run, SIGNED)
+    h1, h2 = hashes(F.col("text"), bits)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return docs.select("doc_id", "text", h1.alias("h1"), h2.alias("h2"), size.alias("bytes")).mapInArrow(run, SIGNED)
+
+
+def nodes_of(signed: DataFrame) -> DataFrame:
+    """One row for each text: node (a number of its own), h1, h2, least doc_id, copies, bytes and signature."""
+    one = signed.where("runs > 0").groupBy("h1", "h2")
+    nodes = stored(one.agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bytes").alias("bytes"), F.first("signature").alias("signature")), "forest-nodes")
+    clash = nodes.groupBy("h1").agg(F.min("h2").alias("_keep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    if not clash.limit(1).count():
+        return nodes.withColumn("node", F.col("h1"))
+    # of texts that agree in one half all but one are named by both
+    named = nodes.join(clash, "h1", "left").withColumn("node", F.when(F.col("h2") != F.col("_keep"), F.xxhash64("h1", "h2")).otherwise(F.col("h1")))
+    return stored(named.drop("_keep"), "forest-nodes")
+
+
+def forest(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, floor: int | None = None, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(links: node, first; stops: node, stop): which texts share a trie node at the prefixes that were reached,
+    and the length at which each text with candidates stopped."""
+    floor, least = level(trees=trees, depth=depth, recall=recall) if floor is None else floor, matches(trees, recall)
+    at = nodes.select("node", F.posexplode("signature").alias("tree", "s")).select("node", "tree", "s", F.substring("s", 1, floor).alias("p"))
+    # nodes of the floor with more than one text; the others match nobody at any length
+    tries = at.groupBy("tree", "p").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a < _b").select("tree", "p")
+    rows = stored(at.join(tries, ["tree", "p"]).select("node", "tree", "s"), "forest-tries")
+    lengths = F.explode(F.array(*[F.lit(k) for k in range(depth, floor - 1, -1)]))
+    rows = rows.withColumn("k", lengths).select("node", "tree", "k", F.expr("substring(s, 1, k)").alias("p"))
+    key = ["tree", "k", "p"]
+    shared = rows.groupBy(*key).agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
+    met = stored(rows.join(shared, key), "forest-met")
+    # the longest prefix that a text shares in enough trees
+    counts = [F.count_if(F.col("k") == k).alias(f"_{k}") for k in range(depth, floor, -1)]
+    stops = met.groupBy("node").agg(*counts) if counts else met.select("node").distinct()
+    stop = F.coalesce(*[F.when(F.col(f"_{k}") >= least, k) for k in range(depth, floor, -1)], F.lit(floor))
+    stops = stored(stops.select("node", stop.alias("stop")), "forest-stops")
+    open_ = met.join(stops, "node").where("k = stop").select(*key).distinct()
+    links = met.join(open_, key, "left_semi").where("node <> first").select("node", "first").distinct()
+    return links, stops
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -115,24 +170,24 @@ def _near(texts: list[str], similarity: float, words: int) -> np.ndarray:
     return near & (both > 0)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """doc_id, node, component (smallest node of the class, null without words), class_id, n_links (other
-    rows linked directly) and kept for each row of (doc_id, text)."""
-    s = stored(signatures(docs, k=level(similarity, recall=recall), words=words), "forest-signatures")
-    nodes = s.where("runs > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes"))
-    nodes = stored(nodes, "forest-nodes")
-    at = nodes.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
-    tries = at.groupBy("tree", "prefix").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    # a trie node with other members than its first: its rows are found by the prefix again
-    hit = at.join(tries.select("tree", "prefix", "first"), ["tree", "prefix"]).where("node <> first")
-    cand = stored(components(hit.select(F.col("node").alias("a"), F.col("first").alias("b"))), "forest-candidates")
-    sizes = cand.groupBy("component").agg(F.count("*").alias("_size"))
-    inside = cand.join(sizes, "component").withColumnRenamed("id", "node")
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, recall: float = RECALL, bits: int = 64) -> DataFrame:
+    """doc_id, h1 and h2 (``hashes`` of the text), component (smallest node of the class, null without words),
+    class_id, n_links (other rows linked directly), kept and stop (the prefix length at which the text's search
+    ended; null if none met it) for each row of (doc_id, text)."""
+    spark = docs.sparkSession
+    s = stored(signatures(docs, words=words, bits=bits), "forest-signatures")
+    nodes = nodes_of(s)
+    links, stops = forest(nodes, floor=level(similarity, recall=recall), recall=recall)
+    cand = stored(components(links.select(F.col("node").alias("a"), F.col("first").alias("b"))), "forest-candidates")
+    inside = cand.withColumnRenamed("id", "node").join(nodes.drop("signature"), "node")
+    sizes = inside.groupBy("component").agg(F.count("*").alias("_size"), F.sum("bytes").alias("_bytes"))
+    n = F.greatest(blocks(spark, F.col("_size"), BLOCK, LEAST_BLOCK), F.ceil(F.col("_bytes") / BLOCK_BYTES))
+    wanted = inside.join(sizes.select("component", n.alias("_n")), "component")
     # one text for each candidate node, that of its smallest doc_id
-    wanted = inside.join(nodes.select("node", "copies", "least"), "node")
-    t = docs.select("doc_id", "text", F.xxhash64("text").alias("_node"))
-    texts = t.join(wanted, (F.col("_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["_node", "doc_id"])
-    rows = block_pairs(texts.select("component", "node", "copies", "_size", "text"), "_size", F.col("node"), BLOCK)
+    h1, h2 = hashes(F.col("text"), bits)
+    t = docs.select("doc_id", "text", h1.alias("_h1"), h2.alias("_h2"))
+    texts = t.join(wanted, (F.col("_h1") == F.col("h1")) & (F.col("_h2") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["_h1", "_h2"])
+    rows = block_pairs(texts.select("component", "node", "copies", "_n", "text"), F.col("_n"), F.col("node"))
 
     def verify(_, t):
         release()
@@ -147,24 +202,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
             up[y] = x
         return pa.table({"node": ids, "n": n, "up": ids[up]})
 
-    found = rows.groupBy("component", "_i", "_j").applyInArrow(verify, "node long, n long, up long")
-    found = stored(found, "forest-links")
+    found = stored(rows.groupBy("component", "_i", "_j").applyInArrow(verify, "node long, n long, up long"), "forest-links")
+    discard(cand)
     links = found.groupBy("node").agg(F.sum("n").alias("_links"))
     comp = components(found.select(F.col("node").alias("a"), F.col("up").alias("b"))).withColumnRenamed("id", "node")
-    per = nodes.select("node", "least", "copies").join(links, "node", "left").join(comp, "node", "left")
+    per = nodes.select("node", "h1", "h2", "least", "copies").join(links, "node", "left").join(comp, "node", "left").join(stops, "node", "left")
     per = stored(
-        per.select("node", "least", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "node").alias("_c")),
+        per.select("h1", "h2", "least", "stop", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "node").alias("_c")),
         "forest-classes",
     )
     least = per.groupBy("_c").agg(F.min("least").alias("_class"))
-    per = per.join(least, "_c").select(F.col("node").alias("_node"), "_links", "_class", "_c")
-    d = s.select("doc_id", "node", "runs").join(per, (F.col("node") == F.col("_node")) & (F.col("runs") > 0), "left")
-    class_id = F.when(F.col("_node").isNull(), F.col("doc_id")).otherwise(F.col("_class"))
+    per = per.join(least, "_c").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "_links", "_class", "_c", "stop")
+    d = s.select("doc_id", "h1", "h2", "runs").join(per, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("runs") > 0), "left")
+    class_id = F.when(F.col("_h1").isNull(), F.col("doc_id")).otherwise(F.col("_class"))
     return d.select(
-        "doc_id", "node", F.col("_c").alias("component"), class_id.alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
-        class_id.eqNullSafe(F.col("doc_id")).alias("kept"),
+        "doc_id", "h1", "h2", F.col("_c").alias("component"), class_id.alias("class_id"), F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"),
+        class_id.eqNullSafe(F.col("doc_id")).alias("kept"), "stop",
     )
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("node", "component")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("h1", "h2", "component")
