@@ -15,7 +15,8 @@ from grainline.session import ship
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised."""
+    """Documents whose language is recognised; those without a letter (null, empty) go, as rejected. Models are learnt
+    from these documents, a fifth of them apart; with an empty table none stay."""
     ship(spark)
     models = language_id.fit(docs.where(remainder(5) != 0).select("doc_id", "text", "lang"))
     return language_id.identify(docs, models, "_gl_").where("not _gl_rejected").select(*docs.columns)
@@ -23,29 +24,33 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id (null after all others); documents
-    without words are in no group and all stay."""
+    without words (null, empty, white space) are in no group and all stay. Unrelated documents of one doc_id, or
+    without any, are groups of their own; equal rows are one group."""
     found = lsh_forest.near_duplicates(docs).where("component is not null")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("_gl_first")
-    keep = found.groupBy("component").agg(first).select(F.col("_gl_first.doc_id").alias("_gl_id"), F.col("_gl_first.node").alias("_gl_keep"))
-    d = docs.withColumn("_gl_node", F.xxhash64("text"))
-    one = d.join(keep, F.col("doc_id").eqNullSafe(F.col("_gl_id")) & (F.col("_gl_node") == F.col("_gl_keep")))
-    one = one.dropDuplicates(["doc_id", "_gl_node"]).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("_gl_first")
+    keep = found.groupBy("component").agg(first).select(*[F.col(f"_gl_first.{c}").alias(f"_gl_{c}_kept") for c in ("doc_id", "h1", "h2")])
+    h1, h2 = lsh_forest.hashes(F.col("text"))
+    d = docs.withColumns({"_gl_h1": h1, "_gl_h2": h2})
+    same = F.col("doc_id").eqNullSafe(F.col("_gl_doc_id_kept")) & (F.col("_gl_h1") == F.col("_gl_h1_kept")) & (F.col("_gl_h2") == F.col("_gl_h2_kept"))
+    one = d.join(keep, same).dropDuplicates(["doc_id", "_gl_h1", "_gl_h2"]).select(*docs.columns)
     return one.unionAll(docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False))))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document has."""
+    """Documents without the passages that an earlier document has; one of nothing else goes, null and wordless texts
+    stay as they are; n_chars follows the text."""
     d = chunk_dedup.deduplicate(docs)
     return d.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in d.columns else d
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: equal rows share their copies evenly, texts without words have size 0
+    and are never taken, a null source is a source of its own."""
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens; a null text counts as empty and holds the end id alone."""
     return packing.pack(docs, packing.default_vocabulary("word_bpe_49k.json"))
 
 
