@@ -13,7 +13,7 @@ from grainline.session import build_session
 HEADLINE = (
     "burst_groups", "burst_numbering", "hamming_pairs", "duplicate_clusters", "exact_duplicate_groups", "laplacian_blur", "library_report",
     "view_counts", "luma_histogram", "histogram_percentile", "edit_auto_contrast", "edit_pipeline", "nms", "export_plan", "unique_names_fold",
-    "decision_toggle", "phash", "heal",
+    "decision_toggle", "phash", "heal", "edit_color_full", "render_full", "edit_state", "nearest_neighbour",
 )
 
 
