@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from .common import discard, partitions, stored
 
+#: A node with at least this part of the edges is a hub: there are no more of them than this.
+HUBS = 1000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for the ends of the edges (a, b): component is the smallest id connected.
 
     Alternating large-star and small-star steps, each an aggregate and a join on the node; every
     round ends in a written table, which replaces the one before, and only two numbers of it reach the driver;
-    the rounds end when nothing changes. Hot nodes are pre-aggregated, and adaptive execution splits their rows
-    in the join.
+    the rounds end when nothing changes. Nodes are pre-aggregated; those that hold 1 / ``HUBS`` of all edges, of
+    which there are ``HUBS`` at most, are broadcast, so that their edges stay where they are.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, seen = stored(e, "edges"), None
@@ -24,9 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen, old = tuple(mark), e
         # large star: all larger neighbours of a node point to the smallest of its neighbourhood
-        both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        big = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
+        hubs = e.groupBy("v").count().where(F.col("count") * HUBS >= mark[0]).select(F.col("v").alias("h"))
+        hubs = F.broadcast(hubs.join(least, F.col("h") == F.col("n"), "left").select("h", F.coalesce("m", "h").alias("hm")))
+        at_hub = e.join(hubs, F.col("v") == F.col("h")).select("u", F.col("hm").alias("v"))
+        rest = e.join(hubs, F.col("v") == F.col("h"), "left_anti").join(least, F.col("v") == F.col("n"), "left").select("u", F.coalesce("m", "v").alias("v"))
+        big = at_hub.unionAll(rest).distinct()
         # small star: a node and its smaller neighbours point to the smallest of them
         low = big.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n")
         hung = big.join(low, F.col("u") == F.col("n"))
