@@ -18,6 +18,8 @@ BANDS = 4
 
 #: Edges that are united in one task; more contract in rounds of tables.
 FEW_EDGES = 200_000
+#: Groups that are numbered in one task.
+FEW_GROUPS = 100_000
 #: Photos that are compared all with all to find the nearest.
 FEW_PHOTOS = 2_000
 
@@ -181,8 +183,20 @@ def bursts(frames: DataFrame, gap: int = BURST_GAP_SECONDS, key: str = "id", ts:
 UNTIMED_PARTS = 256
 
 
-def number_groups(rows: DataFrame, group: str, out: str) -> DataFrame:
-    """rows with ``out``: 1.. for groups of two or more, by the groups' own order, null for single ones."""
-    sizes = rows.groupBy(group).count().where("count > 1")
-    n = sizes.select(F.col(group).alias("_g"), F.row_number().over(Window.orderBy(group)).cast("long").alias(out))
+def number_groups(rows: DataFrame, group: str, out: str, few: int = FEW_GROUPS) -> DataFrame:
+    """rows with ``out``: 1.. for groups of two or more, by the groups' own order, null for single ones.
+
+    Up to ``few`` groups are numbered in one task; more are sorted in ranges, and only the number of groups in
+    each range meets in one task."""
+    sizes = written(rows.groupBy(group).count().where("count > 1").select(F.col(group).alias("_g")))
+    if sizes.count() <= few:
+        n = sizes.select("_g", F.row_number().over(Window.orderBy("_g")).cast("long").alias(out))
+    else:
+        # the high bits of the id are the range, the low ones the place in it
+        ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        at = written(sizes.repartitionByRange(ranges, "_g").sortWithinPartitions("_g").withColumn("_at", F.monotonically_increasing_id()))
+        at = at.select("_g", F.shiftright("_at", 33).alias("_r"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_p"))
+        held = at.groupBy("_r").agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        n = at.join(F.broadcast(held.select("_r", before.alias("_b"))), "_r").select("_g", (F.col("_b") + F.col("_p") + 1).alias(out))
     return rows.join(n, F.col(group) == F.col("_g"), "left").drop("_g")

@@ -165,6 +165,16 @@ def test_nearest_by_bands_equals_brute_force(spark):
     assert same(groups.nearest(df, few=0)) == same(groups.nearest(df))
 
 
+def test_group_numbers_by_ranges(spark):
+    d = spark.range(900).select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("g"), (F.col("id") * 7 % 211).cast("string"))).otherwise(F.col("id").cast("string")).alias("g"))
+    same = lambda few: sorted(map(tuple, groups.number_groups(d, "g", "n", few).select("id", "g", "n").collect()))
+    got, size = same(0), {}
+    for _, g, _ in got:
+        size[g] = size.get(g, 0) + 1
+    number = {g: i + 1 for i, g in enumerate(sorted(g for g in size if size[g] > 1))}
+    assert got == same(1000) and all(n == number.get(g) for _, g, n in got) and len(number) > 100
+
+
 def test_components_by_rounds_and_at_once(spark, monkeypatch):
     rng = np.random.default_rng(9)
     e = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))], "a long, b long")
