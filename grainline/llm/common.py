@@ -163,3 +163,9 @@ def remainder(n: int):
 def n_words(text):
     """Words of a whole text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def finite_vector(e):
+    """Whether an array of doubles is a vector: not null, empty or zero, and all its components finite."""
+    fine = e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
+    return F.coalesce(fine, F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cap_filters, chunk_dedup, katz_lm, language_id, lsh_forest, merkle, mixing, packing, quality_rules, warc, wavelet
+from . import cap_filters, chunk_dedup, katz_lm, language_id, lsh_forest, merkle, mixing, packing, permutation_index, quality_rules, warc, wavelet
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_cap_filters": cap_filters.op9_cap_filters,
     "op10_token_shards": wavelet.op10_token_shards,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_permutation_index": permutation_index.op12_permutation_index,
 }
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op5_warc": warc.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
