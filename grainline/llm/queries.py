@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cap_filters, chunk_dedup, katz_lm, language_id, lsh_forest, merkle, mixing, packing, permutation_index, quality_rules, warc, wavelet
+from . import cap_filters, chunk_dedup, conversation_repair, katz_lm, language_id, lsh_forest, merkle, mixing, packing, permutation_index, quality_rules, warc, wavelet
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -17,5 +17,11 @@ QUERIES = {
     "op10_token_shards": wavelet.op10_token_shards,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_permutation_index": permutation_index.op12_permutation_index,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
+}
+ORACLES = {
+    "op1_quality_rules": quality_rules.ORACLE,
+    "op5_warc": warc.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
 }
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op5_warc": warc.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
