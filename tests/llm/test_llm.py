@@ -32,9 +32,9 @@ def _words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-def _same(spark_rows, sql, sf):
+def _same(spark_rows, sql, sf, tables=("documents", "pages")):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in tables:
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     b = con.sql(sql).df()
     a = spark_rows.toPandas()[b.columns]
