@@ -7,7 +7,8 @@ lengths, held as a bitset in one integer, finds the fill closest to the capacity
 multiset is backtracked as counts of each length. What is left at the end of a partition is cut
 at powers of two, where sequences need no padding.
 
-The pool is one partition's own, so there is no shuffle and memory depends on ``POOL_IDS`` and the encoder's byte bounds only.
+The pool is one partition's own, so there is no shuffle and memory depends on ``POOL_IDS``, ``POOL_PIECES``
+and the encoder's byte bounds only.
 A recomputed task meets the same rows in the same order and packs them alike.
 
 Cases: null text counts as empty and holds the end id alone; a text longer than a window is cut;
@@ -29,6 +30,8 @@ from .tokens import encoder, slices
 CAPACITY = 2048
 #: Ids that wait in the pool of a task before windows are filled.
 POOL_IDS = 3_000_000
+#: Pieces that wait there at most, some 250 bytes each besides their ids.
+POOL_PIECES = 200_000
 END = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -61,9 +64,8 @@ def best_fill(counts: dict[int, int], order: list[int], room: int) -> dict[int,
     return chosen
 
 
-def fill_windows(lengths: list[int], capacity: int, final: bool) -> tuple[list[list[int]], list[int]]:
-    """Item numbers of each full window, and those that wait on. Without ``final`` windows with
-    slack are not closed: their items wait for later ones."""
+def fill_windows(lengths: list[int], capacity: int) -> tuple[list[list[int]], list[int]]:
+    """Item numbers of each full window, and those that wait on: the items of windows with slack wait for later ones."""
     by: dict[int, list[int]] = defaultdict(list)
     for i, n in enumerate(lengths):
         by[n].append(i)
@@ -76,7 +78,7 @@ def fill_windows(lengths: list[int], capacity: int, final: bool) -> tuple[list[l
         counts[head] -= 1
         chosen = best_fill(counts, order, capacity - head) if head < capacity else {}
         total = head + sum(n * k for n, k in chosen.items())
-        if total == capacity or final and total > 0:
+        if total == capacity:
             for n, k in chosen.items():
                 counts[n] -= k
                 for _ in range(k):
@@ -107,7 +109,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
 
         def close(final):
             nonlocal pool, held, seq
-            windows, waiting = fill_windows([len(x[2]) for x in pool], capacity, False)
+            windows, waiting = fill_windows([len(x[2]) for x in pool], capacity)
             for w in windows:
                 offset = 0
                 for i in w:
@@ -155,7 +157,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
                     if start < total:
                         pool.append((doc, start, own[start:].copy() if start else own, total))
                         held += total - start
-                if held >= POOL_IDS:
+                if held >= POOL_IDS or len(pool) >= POOL_PIECES:
                     close(False)
                 if len(out) > 20_000:
                     yield rows()

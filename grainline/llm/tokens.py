@@ -6,7 +6,7 @@ its ids. Characters have a class: letter, mark (punctuation and symbols, not the
 ASCII digit, space, line end, or other. Cuts lie between a letter, a mark and a digit; before a single space
 and around a single line end that stand between two of these. There is none next to any other character
 (runs of white space, combining marks, characters that normalising or lower-casing takes apart), and none in
-a text that may hold a special token.
+a text that may hold a special token. Capitals before a combining mark keep their case until the library composes them.
 
 Memory is bounded by bytes: texts are encoded ``SLICE_BYTES`` at a time (one text at least) and the cache
 starts again beyond ``CACHE_BYTES``, by its entries' estimated size.
@@ -21,6 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 from .common import tidy
 
@@ -197,8 +198,7 @@ class Encoder:
         whole = pc.match_substring(texts, SPECIAL).to_numpy(zero_copy_only=False) if self.special else np.ones(len(texts), bool)
         if not self.spaced:
             # case folding that the vocabulary does anyway, done early where no special token could arise from it
-            low = pc.ascii_lower(texts)
-            texts = pc.if_else(pa.array(whole), texts, low) if whole.any() else low
+            texts = _folded(texts, whole)
         pieces, begin = self._cut(texts, whole)
         d = pieces.dictionary_encode()
         words, idx = d.dictionary, d.indices.to_numpy()
@@ -243,6 +243,22 @@ def _lower(text: str) -> str:
     return text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)
 
 
+#: A capital before a combining mark: the vocabulary composes first, and some marks compose with the small letter only.
+MARKED, UNMARKED = "[A-Z]\\p{M}", regex.compile(r"[A-Z](?!\p{M})")
+
+
+def _folded(texts: pa.Array, whole: np.ndarray) -> pa.Array:
+    """Texts with A to Z lower-cased, but for capitals before a mark and for whole texts."""
+    low = pc.ascii_lower(texts)
+    marked = pc.match_substring_regex(texts, MARKED).to_numpy(zero_copy_only=False) & ~whole
+    if whole.any():
+        low = pc.if_else(pa.array(whole), texts, low)
+    if marked.any():
+        own = [UNMARKED.sub(lambda m: m[0].lower(), t) for t in texts.filter(pa.array(marked)).to_pylist()]
+        low = pc.replace_with_mask(low, pa.array(marked), pa.array(own, low.type))
+    return low
+
+
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
