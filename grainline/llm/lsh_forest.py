@@ -6,10 +6,10 @@ prefix trie, and texts meet in the trie nodes they share. The prefixes of a text
 are shortened value by value until the target recall: a text that shares a prefix with others in a share r of
 the trees finds such a neighbour with chance 1 - (1 - r) ** TREES, so it stops at the longest prefix where the
 measured r makes that ``RECALL`` (``matches`` trees). Texts without close neighbours go on to the floor, where
-a pair at the wanted similarity itself reaches the recall (``level``, 8 of 12 values by default). A node in
-which any text has stopped links all its members to the smallest one. A pair is found if either text is
-still looking at the prefix they share, so only pairs of texts that both have closer neighbours can miss each
-other, and those meet through them.
+a pair at the wanted similarity itself reaches the recall (``level``). What a text shares tells of its closest
+neighbours only, so prefixes begin no longer than where a pair at the wanted similarity itself is found with ``LEAST``
+(9 values, 8 at the floor): a text with copies stops early, and still finds a neighbour at the threshold with that
+chance. A node in which any text has stopped links all its members to the smallest one.
 
 The components of the links are the candidate groups. Inside a group every pair is verified exactly by the
 shingles themselves, in blocks bounded by rows and bytes. Links are counted there and a spanning forest of
@@ -38,9 +38,11 @@ from .words import hashed_words, shingles
 
 WORDS = 5
 SIMILARITY = 0.8
-TREES = 32
-DEPTH = 12
-RECALL = 0.997
+TREES = 40
+DEPTH = 9
+RECALL = 0.998
+#: Recall of a pair at the wanted similarity at the full depth, where texts with close neighbours stop.
+LEAST = 0.996
 SEED = 7
 #: Texts of a block of a group that is verified in pieces, at most and at least; and bytes of a block.
 BLOCK, LEAST_BLOCK, BLOCK_BYTES = 2000, 250, 4_000_000
@@ -118,23 +120,23 @@ def nodes_of(signed: DataFrame) -> DataFrame:
     return stored(named.drop("_keep"), "forest-nodes")
 
 
-def forest(nodes: DataFrame, trees: int = TREES, depth: int = DEPTH, floor: int | None = None, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+def forest(nodes: DataFrame, trees: int = TREES, top: int = DEPTH, floor: int | None = None, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(links: node, first; stops: node, stop): which texts share a trie node at the prefixes that were reached,
     and the length at which each text with candidates stopped."""
-    floor, least = level(trees=trees, depth=depth, recall=recall) if floor is None else floor, matches(trees, recall)
+    floor, least = level(trees=trees, recall=recall) if floor is None else floor, matches(trees, recall)
     at = nodes.select("node", F.posexplode("signature").alias("tree", "s")).select("node", "tree", "s", F.substring("s", 1, floor).alias("p"))
     # nodes of the floor with more than one text; the others match nobody at any length
     tries = at.groupBy("tree", "p").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a < _b").select("tree", "p")
     rows = stored(at.join(tries, ["tree", "p"]).select("node", "tree", "s"), "forest-tries")
-    lengths = F.explode(F.array(*[F.lit(k) for k in range(depth, floor - 1, -1)]))
+    lengths = F.explode(F.array(*[F.lit(k) for k in range(top, floor - 1, -1)]))
     rows = rows.withColumn("k", lengths).select("node", "tree", "k", F.expr("substring(s, 1, k)").alias("p"))
     key = ["tree", "k", "p"]
     shared = rows.groupBy(*key).agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").drop("last")
     met = stored(rows.join(shared, key), "forest-met")
     # the longest prefix that a text shares in enough trees
-    counts = [F.count_if(F.col("k") == k).alias(f"_{k}") for k in range(depth, floor, -1)]
+    counts = [F.count_if(F.col("k") == k).alias(f"_{k}") for k in range(top, floor, -1)]
     stops = met.groupBy("node").agg(*counts) if counts else met.select("node").distinct()
-    stop = F.coalesce(*[F.when(F.col(f"_{k}") >= least, k) for k in range(depth, floor, -1)], F.lit(floor))
+    stop = F.coalesce(*[F.when(F.col(f"_{k}") >= least, k) for k in range(top, floor, -1)], F.lit(floor))
     stops = stored(stops.select("node", stop.alias("stop")), "forest-stops")
     open_ = met.join(stops, "node").where("k = stop").select(*key).distinct()
     links = met.join(open_, key, "left_semi").where("node <> first").select("node", "first").distinct()
@@ -177,7 +179,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, words: int
     spark = docs.sparkSession
     s = stored(signatures(docs, words=words, bits=bits), "forest-signatures")
     nodes = nodes_of(s)
-    links, stops = forest(nodes, floor=level(similarity, recall=recall), recall=recall)
+    links, stops = forest(nodes, top=level(similarity, recall=LEAST), floor=level(similarity, recall=recall), recall=recall)
     cand = stored(components(links.select(F.col("node").alias("a"), F.col("first").alias("b"))), "forest-candidates")
     inside = cand.withColumnRenamed("id", "node").join(nodes.drop("signature"), "node")
     sizes = inside.groupBy("component").agg(F.count("*").alias("_size"), F.sum("bytes").alias("_bytes"))
