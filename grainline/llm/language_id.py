@@ -213,17 +213,19 @@ def fit(labelled: DataFrame) -> Models:
     """Models of a bounded sample of the rows (doc_id, text, lang)."""
     d = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"), F.length("text").alias("_n"))
     short = F.col("_n") <= SAMPLE_CHARS
-    sums = [F.count_if(short).alias("n"), F.sum(F.when(short, F.col("_n"))).alias("chars"), F.min("_n").alias("least")]
+    parts = 1 << 30
+    place = F.pmod(F.col("_h"), F.lit(parts))
+    sums = [F.count_if(short).alias("n"), F.sum(F.when(short, F.col("_n"))).alias("chars"), F.min("_n").alias("least"), F.min(F.when(short, place)).alias("first")]
     counts = {r["lang"]: r for r in d.groupBy("lang").agg(*sums).collect()}
     if not counts:
         return Models([])
-    parts, share = 1 << 30, SAMPLE_TOTAL / len(counts)
+    share = SAMPLE_TOTAL / len(counts)
     # how far hashes reach, so that so many rows and characters are expected
     most = {k: min(1.0, SAMPLE_DOCS / r["n"], share / max(1, r["chars"])) if r["n"] else 0.0 for k, r in counts.items()}
-    reach = F.create_map(*[x for k, v in most.items() for x in (F.lit(k), F.lit(int(parts * v) + 1))])
-    # a language of few rows within the share keeps one at least; one of long rows only has its shortest
+    # the row of a language's smallest hash is always among them; a language of long rows only has its shortest
+    reach = F.create_map(*[x for k, v in most.items() for x in (F.lit(k), F.lit(max(int(parts * v), counts[k]["first"] or 0) + 1))])
     least = F.create_map(*[x for k, r in counts.items() for x in (F.lit(k), F.lit(-1 if r["n"] else r["least"]))])
-    picked = short & (F.pmod(F.col("_h"), F.lit(parts)) < F.element_at(reach, F.col("lang"))) | (F.col("_n") == F.element_at(least, F.col("lang")))
+    picked = short & (place < F.element_at(reach, F.col("lang"))) | (F.col("_n") == F.element_at(least, F.col("lang")))
     # equal rows count once; of a language without short rows one text is left
     key = F.when(short, F.col("_h")).otherwise(F.lit(0).cast("long"))
     got = d.where(picked).groupBy("lang", key.alias("_k")).agg(F.min("text").alias("text")).collect()
