@@ -4,7 +4,7 @@ Every line that has a word passes or fails three rules:
 
 * punctuation: it ends with a sentence mark, optionally followed by closing quotes or brackets;
 * navigation: it is no menu or breadcrumb trail (separators between short items);
-* boilerplate: it holds no stock phrase of page furniture.
+* boilerplate: it is no short line with a stock phrase of page furniture (English, German, French, Spanish).
 
 Failing lines go, the others are the cleaned text, and a document that loses more than
 ``max_lost`` of its characters is rejected. Everything is computed row by row in the JVM, so
@@ -27,13 +27,19 @@ MAX_LOST = 0.5
 SYMBOLS = "#*$%&|<>"
 SPACE = "[\\x20\\x09-\\x0D]"
 ENDS_WELL = "[.!?…。！？][\"'”’»)\\]]*[\\x20\\x09-\\x0D]*$"
-#: Three or more items parted by menu separators.
-NAVIGATION = "^[^|»›·>]*(?:[|»›·>][^|»›·>]*){2,}$"
-#: Stock phrases of page furniture, in lower case.
+#: Three or more short items parted by menu separators. All but the bar stand between blanks, so that quotes
+#: and the middle dots of words part nothing.
+NAVIGATION = "^[^|»›·>]{0,40}(?:(?:\\||[ \\t][»›·>][ \\t])[^|»›·>]{0,40}){2,}$"
+#: Stock phrases of page furniture, in lower case, and the longest line that one of them makes furniture: in a longer
+#: one it is part of prose.
+FURNITURE = 160
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service",
     "enable javascript", "click here", "sign up for our newsletter", "subscribe to our", "skip to content",
     "lorem ipsum", "read more", "share this", "powered by",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "weiterlesen", "zum inhalt springen",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "cliquez ici", "lire la suite", "aller au contenu",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "haga clic aquí", "leer más", "saltar al contenido",
 )
 
 
@@ -50,7 +56,7 @@ def features(text) -> dict:
 def clean(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
     """Adds the base counts, base_failed, n_lines, n_kept_lines, lost_share, clean_text and kept."""
     t = F.coalesce(F.col(text), F.lit(""))
-    phrases = "(?i)" + "|".join(BOILERPLATE)
+    phrases = "(?iu)" + "|".join(BOILERPLATE)
     d = docs.withColumn("_gl_t", t)
     d = d.withColumn("_gl_words", F.expr(f"filter(split(_gl_t, '{_sql(SPACE)}+'), w -> w != '')"))
     d = d.withColumn("_gl_lines", F.expr("filter(split(_gl_t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
@@ -74,7 +80,7 @@ def clean(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> Da
         "_gl_passed",
         F.filter(
             "_gl_lines",
-            lambda x: x.rlike(ENDS_WELL) & ~x.rlike(NAVIGATION) & ~x.rlike(phrases),
+            lambda x: x.rlike(ENDS_WELL) & ~x.rlike(NAVIGATION) & ~((F.length(x) <= FURNITURE) & x.rlike(phrases)),
         ),
     )
     d = d.withColumns(
@@ -113,7 +119,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(docs).select(*OUT)
 
 
-_PHRASES = "|".join(BOILERPLATE)
+_PHRASES = "|".join(BOILERPLATE).replace("'", "''")
+_NAVIGATION = NAVIGATION.replace("\\t", "\\x09")
 ORACLE = f"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -133,8 +140,8 @@ f AS (
     len(ls) - len(list_distinct(ls)) AS n_dup_lines,
     coalesce(n.n, 0) AS n_repeat_words, ls,
     list_filter(ls, lambda l: regexp_matches(l, '[.!?…。！？]["''”’»)\\]]*[\\x20\\x09-\\x0D]*$')
-      AND NOT regexp_matches(l, '^[^|»›·>]*(?:[|»›·>][^|»›·>]*){{2,}}$')
-      AND NOT regexp_matches(l, '(?i){_PHRASES}')) AS ps
+      AND NOT regexp_matches(l, '{_NAVIGATION}')
+      AND NOT (length(l) <= {FURNITURE} AND regexp_matches(l, '(?i){_PHRASES}'))) AS ps
   FROM b LEFT JOIN n USING (rid)),
 h AS (
   SELECT *, length(array_to_string(ls, '')) AS line_chars, length(array_to_string(ps, '')) AS kept_chars,
