@@ -11,7 +11,8 @@ on the digest; adaptive execution splits a hot digest's rows, of which nothing i
 Cases: null html is an empty payload; null urls are written empty; a null page_id never is the
 response of others with an id, and rows with equal page_id and payload are all of the same type;
 archives are inflated in pieces, of which one whole record at a time is in memory; an empty table writes no
-archive; other columns are not read. WARC-Refers-To names the page; record ids also count the records.
+archive; other columns are not read. a record id names page_id and
+payload, so rows that repeat both are one record stored again; WARC-Refers-To is the response's record id.
 """
 
 from __future__ import annotations
@@ -54,17 +55,17 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def record(page_id, url: str, payload: bytes, digest: str, kind: str, refers_to, name: str = "0") -> bytes:
-    """A record; ``name`` makes the ids of records of one page_id, or none, differ."""
+    """A record. Its id names page and payload, so that a revisit can name its response; ``name`` parts records without page_id."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if kind == "revisit" else http + payload
     sha = base64.b32encode(bytes.fromhex(digest)).decode()
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}:{name}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}:{name if page_id is None else digest}>", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {url.translate(_ONE_LINE)}", f"WARC-Payload-Digest: sha1:{sha}", f"WARC-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}:{digest}>"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
