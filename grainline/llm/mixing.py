@@ -169,6 +169,19 @@ def decide(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     return settled.withColumn("total", F.col("_least") + F.col("_p").cast("long")).drop("_p", "_least", "_blocks", "_key")
 
 
+#: Rows that one row becomes at a time.
+CHUNK = 4096
+
+
+def repeated(d: DataFrame, n: str, at: str) -> DataFrame:
+    """Each row n times, numbered from 0 in ``at``: long runs are dealt over the tasks as chunks first, so that no
+    task writes all copies of one row."""
+    few, many = d.where(F.col(n) <= CHUNK), d.where(F.col(n) > CHUNK)
+    chunk = F.explode(F.expr(f"sequence(0L, ({n} - 1) div {CHUNK})"))
+    many = many.withColumn(at, chunk).withColumn(at, F.col(at) * CHUNK).repartition(n, at).withColumn(at, F.explode(F.expr(f"sequence({at}, least({at} + {CHUNK}, {n}) - 1)")))
+    return few.withColumn(at, F.explode(F.expr(f"sequence(0L, {n} - 1)"))).unionAll(many)
+
+
 #: The per-source table is broadcast up to this many rows, about 1 MB; else it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -180,11 +193,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     t = docs.withColumn("_gl_text", F.xxhash64("text"))
     on = t["doc_id"].eqNullSafe(d["_gl_d"]) & t["source"].eqNullSafe(d["_gl_s"]) & (t["_gl_text"] == d["_gl_x"])
     one = t.join(d, on).dropDuplicates(["_gl_d", "_gl_s", "_gl_x"])
-    return one.withColumn("_gl_copy", F.explode(F.expr("sequence(1L, _gl_n)"))).select(*docs.columns)
+    return repeated(one, "_gl_n", "_gl_copy").select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decide(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    d = d.withColumn("_i", F.explode(F.expr("sequence(0L, n - 1)")))
+    d = repeated(d, "n", "_i")
     copies = F.floor(F.col("total") / F.col("n")) + (F.col("_i") < F.col("total") % F.col("n")).cast("long")
     return d.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
