@@ -11,7 +11,7 @@ them all with the product of the single chances, wherever it lies. The threshold
 probabilities of the dimension and the largest label of that dimension; codes are added until, of
 ``PAIRS`` random pairs at the cosine, at most the share ``MISS`` meets in no filter of any code.
 
-Equal vectors are one node first. Buckets emit a spanning forest of their links, never all pairs;
+Equal vectors are one node first, by 128 bits of hash. Buckets emit a spanning forest of their links, never all pairs;
 links are counted afterwards inside the connected components, in blocks, where every link lies.
 
 Cases: vectors that are null, empty, zero, or hold nulls or values that are not finite link with nothing,
@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
-from .components import block_pairs, blocks, components, spanning
+from .common import finite_vector, stored, table
+from .components import block_pairs, blocks, components, numbered, spanning
 
 COSINE = 0.93
 #: Share of the pairs at the cosine that may meet in no filter, and the pairs it is measured on.
@@ -163,19 +163,16 @@ def _matrix(blobs, dims: int) -> np.ndarray:
     return _unit(np.stack([np.frombuffer(b, "<f4" if len(b) == 4 * dims else "<f8") for b in blobs]).astype("<f8"))
 
 
-def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: _row, vec_id, node or null; nodes: node, label, dims, copies, v), v as packed doubles."""
+def classes(vectors: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(rows: vec_id, h1, h2; nodes: h1, h2, label, dims, copies, e): h1 and h2, null where a vector takes no part, are the
+    halves of the identity of label and vector; ``bits`` of the first (fewer only to try clashes out)."""
     d = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    fine = (
-        F.col("label").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        & F.exists("e", lambda x: x != 0)
-    )
-    d = d.withColumn("_ok", F.coalesce(fine, F.lit(False)))
-    key = F.xxhash64("label", "e")
-    nodes = d.where("_ok").groupBy("label", "e").agg(F.count("*").alias("copies"))
-    nodes = nodes.select(key.alias("node"), "label", F.size("e").alias("dims"), "copies", "e")
-    rows = d.select("vec_id", F.when(F.col("_ok"), key).alias("node"))
-    return rows, nodes
+    h1 = F.xxhash64("label", "e")
+    h1, h2 = F.shiftrightunsigned(h1, 64 - bits) if bits < 64 else h1, F.xxhash64(F.lit(1), "label", "e")
+    ok = F.col("label").isNotNull() & finite_vector(F.col("e"))
+    d = d.withColumns({"h1": F.when(ok, h1), "h2": F.when(ok, h2)})
+    nodes = d.where("h1 is not null").groupBy("h1", "h2", "label", "e").agg(F.count("*").alias("copies"))
+    return d.select("vec_id", "h1", "h2"), nodes.select("h1", "h2", "label", F.size("e").alias("dims"), "copies", "e")
 
 
 BUCKETS = "node long, label string, dims int, filter long, v binary"
@@ -225,11 +222,11 @@ def _linked(cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, bits: int = 64) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row of (vec_id, embedding, label)."""
     spark = vectors.sparkSession
-    rows, nodes = classes(vectors)
-    nodes = stored(nodes, "cap-nodes")
+    rows, nodes = classes(vectors, bits)
+    nodes = numbered(stored(nodes, "cap-nodes"), "cap-nodes")
     sizes = nodes.groupBy("label", "dims").count().groupBy("dims").agg(F.max("count")).collect()
     plans = {dims: tune(n, dims, cosine) for dims, n in sizes}
     find = _linked(cosine)
@@ -261,9 +258,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     links = members.groupBy("component", "_i", "_j").applyInArrow(count, "node long, n long")
     links = links.groupBy("node").agg(F.sum("n").alias("_links"))
-    per = nodes.select("node", "copies").join(links, "node", "left").join(comp.withColumnRenamed("id", "node"), "node", "left")
-    per = per.select("node", (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "node").alias("_c"))
-    d = stored(rows.join(per, "node", "left"), "cap-rows")
+    per = nodes.select("node", "h1", "h2", "copies").join(links, "node", "left").join(comp.withColumnRenamed("id", "node"), "node", "left")
+    per = per.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), (F.coalesce("_links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.coalesce("component", "node").alias("_c"))
+    d = stored(rows.join(per, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left"), "cap-rows")
     least = d.where("_c is not null").groupBy("_c").agg(F.min("vec_id").alias("_m")).withColumnRenamed("_c", "_k")
     d = d.join(least, F.col("_c") == F.col("_k"), "left")
     return d.select(

@@ -43,6 +43,16 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionAll(stars.select(F.col("component").alias("id"), "component").distinct())
 
 
+def numbered(nodes: DataFrame, name: str) -> DataFrame:
+    """stored nodes (h1, h2: the halves of an identity of 128 bits) with ``node``, a number of each: h1, but for those
+    that agree in it, of which all but one are named by both halves."""
+    clash = nodes.groupBy("h1").agg(F.min("h2").alias("_keep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    if not clash.limit(1).count():
+        return nodes.withColumn("node", F.col("h1"))
+    named = nodes.join(clash, "h1", "left").withColumn("node", F.when(F.col("h2") != F.col("_keep"), F.xxhash64("h1", "h2")).otherwise(F.col("h1")))
+    return stored(named.drop("_keep"), name)
+
+
 def blocks(spark, size, most: int, least: int):
     """The number of blocks of a group of ``size`` rows: of ``most`` rows at most, and down to ``least`` where that
     gives every task a pair of blocks."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, stored, table
-from .components import block_pairs, blocks, components, spanning
+from .components import block_pairs, blocks, components, numbered, spanning
 from .tokens import release, slices
 from .words import hashed_words, shingles
 
@@ -112,12 +112,7 @@ def nodes_of(signed: DataFrame) -> DataFrame:
     """One row for each text: node (a number of its own), h1, h2, least doc_id, copies, bytes and signature."""
     one = signed.where("runs > 0").groupBy("h1", "h2")
     nodes = stored(one.agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bytes").alias("bytes"), F.first("signature").alias("signature")), "forest-nodes")
-    clash = nodes.groupBy("h1").agg(F.min("h2").alias("_keep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    if not clash.limit(1).count():
-        return nodes.withColumn("node", F.col("h1"))
-    # of texts that agree in one half all but one are named by both
-    named = nodes.join(clash, "h1", "left").withColumn("node", F.when(F.col("h2") != F.col("_keep"), F.xxhash64("h1", "h2")).otherwise(F.col("h1")))
-    return stored(named.drop("_keep"), "forest-nodes")
+    return numbered(nodes, "forest-nodes")
 
 
 def forest(nodes: DataFrame, trees: int = TREES, top: int = DEPTH, floor: int | None = None, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
