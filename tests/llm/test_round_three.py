@@ -1,13 +1,15 @@
 import hashlib
 import heapq
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from grainline.llm import conversation_repair, merkle, permutation_index
+from grainline.llm import cap_filters, conversation_repair, language_id, merkle, mixing, packing, permutation_index, quality_rules, tokens, warc
 from grainline.llm.queries import ORACLES
 from test_llm import _same
 
@@ -200,3 +202,79 @@ def test_damage_and_empty_conversations(spark):
             want.append((c, t, "user" if k == 4 else r, x, 2 if k == 3 else 1))
     assert got == sorted(map(repr, want))
     assert conversation_repair.repair(conversation_repair.damaged(d.limit(0))).count() == 0
+
+
+def test_line_rules_leave_prose_alone(spark):
+    body = "Plain words fill this line so that the whole document stays long enough to pass. "
+    lines = {
+        "Home | Products | About us | Contact.": False, "Start » News » Today.": False, "A › B › C.": False, "one · two · three.": False,
+        "Il a dit « oui », puis « non », puis « peut-être ».": True, "»Ja«, sagte er, »nein«, sagte sie.": True, "La col·lecció paral·lela és bona.": True,
+        "x > y, y > z and so x > z holds for all of the numbers that we have looked at in this long chapter so far.": True,
+        "Read more about us.": False, "Alle Rechte vorbehalten.": False, "CLIQUEZ ICI!": False, "POLÍTICA DE PRIVACIDAD.": False,
+        "He would read more if only the library stayed open after work, but the city, short of money as always, closes it at five on every day of the week and all weekend.": True,
+        "No mark at its end": False,
+    }
+    d = spark.createDataFrame([(i, f"{body}\n{line}") for i, line in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_kept_lines"] == 2 for r in quality_rules.clean(d).collect()}
+    assert got == dict(enumerate(lines.values()))
+
+
+def test_long_runs_of_equal_rows(spark):
+    d = spark.createDataFrame([("a", 3), ("b", 9000), ("c", 4096), ("d", 1)], "k string, n long")
+    got = mixing.repeated(d, "n", "at").groupBy("k").agg(F.count("*").alias("n"), F.countDistinct("at").alias("u"), F.min("at").alias("a"), F.max("at").alias("b")).collect()
+    assert {tuple(r) for r in got} == {("a", 3, 3, 0, 2), ("b", 9000, 9000, 0, 8999), ("c", 4096, 4096, 0, 4095), ("d", 1, 1, 0, 0)}
+
+
+def test_vectors_that_clash_in_one_half_stay_apart(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 6))
+    rows = [(i, (x[i % 50] + (0.01 if i >= 50 else 0)).tolist(), 1) for i in range(60)]
+    d = spark.createDataFrame(rows + [(100, rows[0][1], 1)], "vec_id long, embedding array<double>, label int")
+    key = lambda r: sorted(map(tuple, r.collect()))
+    assert key(cap_filters.near_duplicates(d, bits=2)) == key(cap_filters.near_duplicates(d))
+
+
+def test_every_language_keeps_a_row(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_TOTAL", 4000)
+    words = ["".join(chr(97 + (i * 7 + j) % 26) for j in range(6)) for i in range(40)]
+    d = spark.createDataFrame([(i, " ".join([w] * 30), f"l{i:02}") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    assert sorted(language_id.fit(d).langs) == [f"l{i:02}" for i in range(40)]
+
+
+def test_revisits_name_a_record(spark, tmp_path):
+    import gzip
+
+    d = spark.createDataFrame([(1, "u", "z" * 1500), (9, "v", "z" * 1500), (None, "w", "short"), (None, "w", "short"), (3, "x", "y" * 1500)], "page_id long, url string, html string")
+    warc.write(warc.plan(d), str(tmp_path))
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in tmp_path.glob("*.warc.gz")).decode()
+    ids, refs = (re.findall(rf"WARC-{k}: (\S+)", text) for k in ("Record-ID", "Refers-To"))
+    assert len(set(ids)) == len(ids) == 5 and len(refs) == 1 and refs[0] in ids
+
+
+def test_marks_compose_before_folding():
+    """Capitals before a combining mark, alone and in words, and random texts of letters and marks."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    pick = random.Random(5)
+    marks = [chr(i) for i in (*range(0x300, 0x370), 0x1DC2, 0x1AB0, 0x20D0, 0x5B0, 0x93C)]
+    parts = [*"abthwyjTHWYJXÉß. '\n0«", "the ", "<|", "각", "İ", "Σ"]
+    texts = ["T̈ H̱ W̊ Y̊ J̌", "The H̱amas", "Ḥasan H̱aṭat", "J̣̌"]
+    texts += ["".join(pick.choice(marks if pick.random() < 0.25 else parts) for _ in range(pick.randint(1, 12))) for _ in range(5000)]
+    for name, spaced in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        path = packing.default_vocabulary(name)
+        ids, n = tokens.Encoder(path, spaced).encode(pa.array(texts))
+        want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x.ids for x in want]
+
+
+def test_many_short_texts_wait_in_bounds(spark, monkeypatch):
+    monkeypatch.setattr(packing, "POOL_PIECES", 50)
+    d = spark.createDataFrame([(i, None if i % 3 else "one") for i in range(700)], "doc_id long, text string")
+    rows = packing.pack(d.coalesce(1), packing.default_vocabulary("word_bpe_49k.json"), capacity=64).collect()
+    assert sum(r["length"] for r in rows) == sum(1 if i % 3 else 2 for i in range(700))
+    full = Counter()
+    for r in rows:
+        full[r["sequence_id"]] += r["length"]
+    assert all(n == 64 or n & (n - 1) == 0 for n in full.values())
