@@ -6,6 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, file_name, stem
+from ..types import QUALITY_EXPORT
+from . import groups
+
+
+def named(path: Column) -> Column:
+    """Whether a path ends in a file name."""
+    return ~file_name(path).isin("", "..")
+
+
+def skipped(items: DataFrame) -> DataFrame:
+    """The items (path, position) without a file name, which ``plan`` leaves out, as failures (position, ok, error)."""
+    text = F.concat(F.lit("skipped (no file name): "), F.coalesce("path", F.lit("")))
+    return items.where(~F.coalesce(named(F.col("path")), F.lit(False))).select(F.col("position").cast("long").alias("position"), F.lit(False).alias("ok"), text.alias("error"))
 
 
 def plan(items: DataFrame, corrected: bool, prefix: str | None = None, start: int = 1, watermark: bool = False) -> DataFrame:
@@ -21,59 +34,76 @@ def plan(items: DataFrame, corrected: bool, prefix: str | None = None, start: in
         name = F.format_string("%s_%03d.%s", F.lit(prefix), (F.col("position") + start).cast("long"), ext)
     else:
         name = F.when(render, F.concat(stem(path), F.lit(".jpg"))).otherwise(file_name(path))
-    named = items.where(file_name(path) != "")
-    return named.select(path.alias("source"), "position", F.when(render, "render").otherwise("copy").alias("action"), edit.alias("edited"), name.alias("base_name"))
+    return items.where(named(path)).select(path.alias("source"), "position", F.when(render, "render").otherwise("copy").alias("action"), edit.alias("edited"), name.alias("base_name"))
+
+
+def ending(name: Column) -> Column:
+    """The last point and what follows it; a leading point alone makes no ending."""
+    return F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1)
 
 
 def suffixed(name: Column, n: Column) -> Column:
     """``name`` for 0, else ``stem (n).ext``."""
-    s, e = F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(name, r".\.([^.]*)$", 1)
-    return F.when(n == 0, name).otherwise(F.concat(s, F.lit(" ("), n.cast("string"), F.lit(")"), F.when(e != "", F.concat(F.lit("."), e)).otherwise("")))
+    return F.when(n == 0, name).otherwise(F.concat(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.lit(" ("), n.cast("string"), F.lit(")"), ending(name)))
+
+
+def _with_parent(d: DataFrame, name: str) -> DataFrame:
+    """d with parent and number of a column of names."""
+    stem_ = F.regexp_replace(F.col(name), r"(?<=.)\.[^.]*$", "")
+    base, n = F.regexp_extract(stem_, r"^(.+) \([1-9]\d{0,17}\)$", 1), F.regexp_extract(stem_, r"^.+ \(([1-9]\d{0,17})\)$", 1)
+    return d.withColumns({"parent": F.when(base != "", F.concat(base, ending(F.col(name)))), "number": F.when(base != "", n).cast("long")})
 
 
 def unique_names(planned: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """planned with target: in item order each takes the first free of name, ``stem (1).ext`` and so on.
-
-    Names of one family (same stem without a number, same ending) can meet only each other, so a family is
-    one group; allocation within it is a fold in item order."""
-    base = F.col("base_name")
-    family = F.regexp_replace(F.regexp_replace(base, r"(?<=.)\.[^.]*$", ""), r"( \(\d+\))+$", "")
-    d = planned.withColumn("_f", F.concat(family, F.lit("|"), F.regexp_extract(base, r".\.([^.]*)$", 1)))
-    if existing is not None:
-        e = existing.select(F.col("name").alias("base_name"))
-        ef = F.regexp_replace(F.regexp_replace(F.col("base_name"), r"(?<=.)\.[^.]*$", ""), r"( \(\d+\))+$", "")
-        taken = e.withColumn("_f", F.concat(ef, F.lit("|"), F.regexp_extract("base_name", r".\.([^.]*)$", 1))).select("_f", F.lit(-1).cast("long").alias("position"), "base_name")
+    """planned with target: in item order each takes the first free of name, ``stem (1).ext`` and so on; no two targets are equal,
+    and none is a name of ``existing``.
+
+    A name can be claimed by its own base's first item and, with its number, by the base that it is made of (its parent).
+    Whoever comes first has it: the parent if its item that reaches the number stands before. That item's index
+    is the number less the numbers below it that are taken otherwise, which depends on lower claims only, so claims are decided in
+    rounds until none changes. Then the k-th item of a base has the k-th number that is left, by a running count of the taken
+    numbers. Windows run by base and stream; nothing is gathered."""
+    items = planned.select(F.col("position").cast("long").alias("position"), F.col("base_name").alias("base"))
+    items = groups.written(items.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("position")) - 1))
+    if existing is None:
+        taken = items.sparkSession.createDataFrame([], "base string, number long")
     else:
-        taken = None
-    rows = d.select("_f", F.col("position").cast("long").alias("position"), "base_name")
-    rows = rows if taken is None else rows.unionByName(taken)
-
-    def allot(pdf):
-        pdf = pdf.sort_values("position", kind="stable")
-        used, nxt, out = set(pdf.base_name[pdf.position < 0]), {}, []
-        for name in pdf.base_name[pdf.position >= 0]:
-            s, dot, e = name.rpartition(".")
-            s, dot = (s, dot) if s else (name, "")
-            k, got = nxt.get(name, 0), name
-            while k or got in used:
-                got = f"{s} ({k}){dot}{e if dot else ''}" if k else name
-                if got not in used:
-                    break
-                k += 1
-            nxt[name] = k + 1 if k else 1
-            used.add(got)
-            out.append(got)
-        keep = pdf[pdf.position >= 0]
-        return keep.assign(target=out)[["position", "target"]]
-
-    names = rows.groupBy("_f").applyInPandas(allot, "position long, target string")
-    return d.join(names, "position").drop("_f")
-
-
-def simple_unique_names(planned: DataFrame) -> DataFrame:
-    """The window form, right while no generated name equals another base name; nothing is gathered."""
-    n = F.row_number().over(Window.partitionBy("base_name").orderBy("position")) - 1
-    return planned.withColumn("target", suffixed(F.col("base_name"), n))
+        names = _with_parent(existing.select("name").distinct(), "name")
+        taken = names.select(F.col("name").alias("base"), F.lit(0).cast("long").alias("number"))
+        taken = groups.written(taken.unionAll(names.where("parent is not null").select(F.col("parent").alias("base"), "number")).distinct())
+    bases = _with_parent(items.groupBy("base").agg(F.min("position").alias("first")), "base")
+    there = bases.select(F.col("base").alias("_b"))
+    rivals = bases.where("parent is not null").join(there, F.col("parent") == F.col("_b"), "left_semi")
+    # names that exist are nobody's
+    rivals = groups.written(rivals.join(taken.where("number = 0").select(F.col("base").alias("_t")), F.col("base") == F.col("_t"), "left_anti"))
+    claims = rivals.select("base", F.lit(True).alias("own"))
+    if rivals.head(1):
+        below = Window.partitionBy("parent").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+        both = rivals.select("parent", "number", "base", "first").unionAll(taken.select(F.col("base").alias("parent"), "number", F.lit(None).alias("base"), F.lit(None).alias("first")))
+        counted = both.withColumn("gone", F.coalesce(F.sum(F.col("base").isNull().cast("long")).over(below), F.lit(0)))
+        fixed = groups.written(counted.where("base is not null"))
+        at = items.select(F.col("base").alias("_b"), F.col("k").cast("long").alias("_k"), "position")
+        while True:
+            d = fixed.join(claims, "base")
+            d = d.withColumn("before", F.coalesce(F.sum(F.col("own").cast("long")).over(below), F.lit(0)))
+            lost = claims.where("not own").select(F.col("base").alias("_l"), F.lit(1).alias("shift"))
+            d = d.join(lost, F.col("parent") == F.col("_l"), "left")
+            index = F.col("number") - F.col("gone") - F.col("before") - F.coalesce("shift", F.lit(0))
+            d = d.withColumn("_i", index).join(at, (F.col("parent") == F.col("_b")) & (F.col("_i") == F.col("_k")), "left")
+            new = groups.written(d.select("base", F.coalesce(F.col("position") > F.col("first"), F.lit(True)).alias("own"), (F.col("own") != F.coalesce(F.col("position") > F.col("first"), F.lit(True))).alias("changed")))
+            claims = new.select("base", "own")
+            if not new.where("changed").head(1):
+                break
+    decided = rivals.join(claims, "base")
+    shut = taken.unionAll(decided.select(F.when(F.col("own"), F.col("parent")).otherwise(F.col("base")).alias("base"), F.when(F.col("own"), F.col("number")).otherwise(0).alias("number")))
+    # numbers left below each taken one: items of that index and later are moved on by it
+    shut = shut.withColumn("k", F.col("number") - F.row_number().over(Window.partitionBy("base").orderBy("number")) + 1)
+    marks = shut.select("base", "k", F.lit(1).alias("gone"), F.lit(None).cast("long").alias("position"))
+    marks = marks.unionAll(items.select("base", F.col("k").cast("long"), F.lit(0), "position"))
+    moved = F.sum("gone").over(Window.partitionBy("base").orderBy("k", F.desc("gone")).rowsBetween(Window.unboundedPreceding, 0))
+    out = marks.withColumn("n", F.col("k") + moved).where("position is not null")
+    out = out.select("position", suffixed(F.col("base"), F.col("n")).alias("target"))
+    return planned.join(out, "position")
 
 
 def summary(results: DataFrame) -> DataFrame:
@@ -172,42 +202,47 @@ def request(selects: DataFrame, rename: bool = False, prefix: str = "", start: i
     return selects, naming, mark
 
 
-def execute(planned: DataFrame, files: DataFrame, folder: str, mark: dict | None = None, overlay=None) -> DataFrame:
-    """Carries out a plan (source, position, action, edited, target, params, heals) on files (path, content,
-    width, height, data, error): copies bytes, or renders and encodes. One row (position, ok, error) an item; a
-    file that cannot be read or decoded is an error of its own and stops nothing."""
-    from ..sources.images import png, write_files
+#: Items of a plan up to which it is broadcast, some 50 MB with their edits; larger plans are joined by shuffles.
+FEW_ITEMS = 50_000
+
+
+def execute(planned: DataFrame, files: DataFrame, folder: str, mark: dict | None = None, overlay=None, font: bytes | None = None) -> DataFrame:
+    """Carries out a plan (source, position, action, edited, target, params, heals) on files (path, content, width,
+    height, data, error): copies bytes, or renders and encodes as JPEG. One row (position, ok, error) an item; a file
+    that cannot be read or decoded is an error of its own and stops nothing. Only copies read contents, and only
+    renders decode; a plan of few items is broadcast, so that neither is shuffled."""
+    from ..sources import fonts, jpeg
+    from ..sources.sink import write_files
     from . import kernels, render
 
     def run(batches):
         import pandas as pd
 
+        letters = None if font is None else fonts.Font(font)
         for b in batches:
-            rows = []
             for r in b.itertuples():
-                body, error = None, None
-                if r.content is None:
-                    error = f"{r.source}: not found"
-                elif r.action == "copy":
-                    body = r.content
+                body, error, a = None, None, kernels.array(r)
+                if a is None:
+                    error = f"{r.source}: {r.error or 'cannot decode'}"
                 else:
-                    a = kernels.array(r)
-                    if a is None:
-                        error = f"{r.source}: {r.error or 'cannot decode'}"
-                    else:
-                        try:
-                            a = render.full(a, render._params(r), r.heals if r.heals is not None else ()) if r.edited else a
-                            a = render.watermark(a, mark, overlay)
-                            body = png(a.shape[1], a.shape[0], a.tobytes())
-                        except ValueError as e:
-                            error = f"{r.source}: {e}"
-                rows.append((r.position, r.target, body, error))
-            yield pd.DataFrame(rows, columns=["position", "target", "content", "error"])
-
-    d = planned.join(files.withColumnRenamed("path", "source"), "source", "left")
-    d = d.select("source", "position", "action", "edited", "target", "params", "heals", "content", "width", "height", "data", "error")
-    made = d.mapInPandas(run, "position long, target string, content binary, error string")
-    return write_files(made, folder)
+                    try:
+                        a = render.full(a, render._params(r), r.heals if r.heals is not None else ()) if r.edited else a
+                        body = jpeg.encode(render.watermark(a, mark, overlay, letters), QUALITY_EXPORT)
+                    except ValueError as e:
+                        error = f"{r.source}: {e}"
+                yield pd.DataFrame([(r.position, r.target, body, error)], columns=["position", "target", "content", "error"])
+
+    planned = planned.withColumn("position", F.col("position").cast("long"))
+    few = F.broadcast if planned.count() <= FEW_ITEMS else lambda d: d
+    f = files.withColumnRenamed("path", "source")
+    schema = "position long, target string, content binary, error string"
+    copies = f.select("source", "content").join(few(planned.where("action = 'copy'").select("source", "position", "target")), "source")
+    copies = copies.select("position", "target", "content", F.when(F.col("content").isNull(), F.concat("source", F.lit(": cannot read"))).alias("error"))
+    wanted = planned.where("action <> 'copy'").select("source", "position", "edited", "target", "params", "heals")
+    renders = f.select("source", "width", "height", "data", "error").join(few(wanted), "source").mapInPandas(run, schema)
+    lost = planned.join(f.select("source").distinct(), "source", "left_anti")
+    lost = lost.select("position", "target", F.lit(None).cast("binary").alias("content"), F.concat("source", F.lit(": not found")).alias("error"))
+    return write_files(copies.unionByName(renders).unionByName(lost), folder)
 
 
 def status(copied: Column, folder: Column, errors: Column) -> Column:

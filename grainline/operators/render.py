@@ -123,10 +123,27 @@ def auto_edit(images: DataFrame) -> DataFrame:
     return render_full(images.withColumn("heals", F.lit(None).cast("array<struct<stamps:array<struct<x:float,y:float,r:float>>>>")))
 
 
-def preview(images: DataFrame, crop_preview: bool = False, edge: int = PREVIEW) -> tuple[DataFrame, DataFrame]:
-    """(before, after) at preview size; while a crop is drawn both stay uncropped."""
-    before = sized(images, edge)
-    return before, render_full(images, edge, crop=not crop_preview)
+def preview(images: DataFrame, crop_preview: bool = False, edge: int = PREVIEW) -> DataFrame:
+    """image_id, before and after (JPEG files, null without pixels) of images with params and heals at preview size:
+    before has the geometry only, so that both show the same frame; while a crop is drawn both stay uncropped."""
+    from ..sources import jpeg
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for r in b.itertuples():
+                a = kernels.array(r)
+                if a is None:
+                    yield pd.DataFrame({"image_id": [r.image_id], "before": [None], "after": [None]})
+                    continue
+                p, small = _params(r), kernels.fit(a, edge)
+                before = kernels.straighten(small, float(p.get("straighten") or 0.0))
+                before = before if crop_preview else cropped(before, p)
+                after = full(small, p, r.heals if r.heals is not None else (), not crop_preview)
+                yield pd.DataFrame({"image_id": [r.image_id], "before": [jpeg.encode(before)], "after": [jpeg.encode(after)]})
+
+    return images.select("image_id", "width", "height", "data", "params", "heals").mapInPandas(run, "image_id long, before binary, after binary")
 
 
 def sized(images: DataFrame, edge: int) -> DataFrame:
@@ -142,6 +159,22 @@ def review(images: DataFrame) -> DataFrame:
     return sized(images, REVIEW)
 
 
+def encoded(images: DataFrame, edge: int | None = None, quality: int = 75) -> DataFrame:
+    """image_id and jpeg (null without pixels) of images, shrunk to ``edge`` first: 320 for thumbnails, 1400 and quality 88 for review."""
+    from ..sources import jpeg
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for r in b.itertuples():
+                a = kernels.array(r)
+                body = None if a is None else jpeg.encode(kernels.fit(a, edge) if edge else a, quality)
+                yield pd.DataFrame({"image_id": [r.image_id], "jpeg": [body]})
+
+    return images.select("image_id", "width", "height", "data").mapInPandas(run, "image_id long, jpeg binary")
+
+
 def place(where: str, w: int, h: int, ew: int, eh: int, margin: int) -> tuple[int, int]:
     """Top left corner of a watermark; unknown places are bottomRight."""
     x = margin if where in ("topLeft", "bottomLeft") else int((w - ew) / 2) if where == "center" else w - ew - margin
@@ -165,12 +198,30 @@ def stamp_image(a: np.ndarray, mark: np.ndarray, where: str, opacity: float, siz
     return out
 
 
-def watermark(a: np.ndarray, mark: dict | None, overlay: np.ndarray | None = None) -> np.ndarray:
-    """Dispatch by kind: an image is blended; blank text, a missing image and unknown kinds leave the pixels."""
+def stamp_text(a: np.ndarray, text: str, font, where: str, opacity: float, size: float) -> np.ndarray:
+    """Blends white text in, two to ten hundredths of the height tall and nine pixels at least; what leaves the frame falls away."""
+    from ..sources import fonts
+
+    h, w = a.shape[:2]
+    tw, th, mask, left, top = fonts.text_mask(font, text, max(9.0, h * (0.02 + _unit(size) * 0.08)))
+    x, y = place(where, w, h, tw, th, int(max(6.0, h * 0.02)))
+    x, y, out = x + left, y + top, a.copy()
+    x0, y0, x1, y1 = max(0, x), max(0, y), min(w, x + mask.shape[1]), min(h, y + mask.shape[0])
+    if x0 < x1 and y0 < y1:
+        k = np.rint(mask[y0 - y : y1 - y, x0 - x : x1 - x] * 255.0)[..., None] / 255.0 * _unit(opacity)
+        out[y0:y1, x0:x1] = kernels.bytes_of(out[y0:y1, x0:x1] * (1.0 - k) + 255.0 * k)
+    return out
+
+
+def watermark(a: np.ndarray, mark: dict | None, overlay: np.ndarray | None = None, font=None) -> np.ndarray:
+    """Dispatch by kind: an image or a text is blended; blank text, a missing image and unknown kinds leave the pixels.
+    Text needs a ``fonts.Font``."""
     if not mark or mark.get("kind") not in ("text", "image"):
         return a
+    where, opacity, size = mark.get("position", ""), mark.get("opacity", 100.0), mark.get("size", 50.0)
     if mark["kind"] == "image":
-        return a if overlay is None else stamp_image(a, overlay, mark.get("position", ""), mark.get("opacity", 100.0), mark.get("size", 50.0))
-    if (mark.get("text") or "").strip():
-        raise ValueError("text watermarks need a font, and there is none")
-    return a
+        return a if overlay is None else stamp_image(a, overlay, where, opacity, size)
+    text = (mark.get("text") or "").strip()
+    if text and font is None:
+        raise ValueError("no font found for the text watermark")
+    return stamp_text(a, text, font, where, opacity, size) if text else a

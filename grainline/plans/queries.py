@@ -404,7 +404,7 @@ def export_rename(spark, sf):
 @query("unique_names", "SELECT position, base_name, CASE WHEN n = 0 THEN base_name ELSE split_part(base_name, '.', 1) || ' (' || n || ').jpg' END AS target FROM (SELECT *, row_number() OVER (PARTITION BY base_name ORDER BY position) - 1 AS n FROM (SELECT doc_id AS position, coalesce(source, 'none') || '.jpg' AS base_name FROM documents))")
 def unique_names(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("position"), F.concat(F.coalesce("source", F.lit("none")), F.lit(".jpg")).alias("base_name"))
-    return exports.simple_unique_names(d).select("position", "base_name", "target")
+    return exports.unique_names(d).select("position", "base_name", "target")
 
 
 @query("unique_names_fold", f"WITH {_PLAN}, g AS (SELECT position, CASE WHEN edited THEN st || '.jpg' ELSE nm END AS bn FROM pm), h AS (SELECT position, bn, row_number() OVER (PARTITION BY bn ORDER BY position) - 1 AS n FROM g) SELECT position, CASE WHEN n = 0 THEN bn WHEN position(\'.\' IN bn) = 0 THEN bn || ' (' || n || ')' ELSE split_part(bn, '.', 1) || ' (' || n || ').' || split_part(bn, '.', 2) END AS target FROM h")

@@ -1,18 +1,20 @@
-"""Image folders: scanning, decoding, EXIF, presets and writing.
+"""Image folders: scanning, decoding, EXIF, presets and encoding.
 
-JPEG, PNG and BMP are decoded by Spark's image source; other kinds become error rows. EXIF is read from
-the file's own bytes. Images are written as PNG, as no JPEG encoder is at hand on the executors.
+JPEG, PNG and BMP are decoded by Spark's image source, TIFF, lossless WebP and camera files by ``tiff`` and ``webp``;
+what none of them can read becomes an error row. EXIF is read from the file's own bytes, images are encoded as JPEG.
 """
 
 import struct
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import is_supported
-from ..types import CROP, IMAGE_EXTENSIONS, PARAMS, SLIDERS
+from ..functions.scalar import is_raw, is_supported
+from ..types import CROP, IMAGE_EXTENSIONS, PARAMS, RAW_EXTENSIONS, SLIDERS
+from . import exif, jpeg, tiff, webp
 
 EXIF = "model string, lens string, iso string, aperture string, shutter string, focal string, taken string, subsec string, error string"
 
@@ -20,9 +22,8 @@ EXIF = "model string, lens string, iso string, aperture string, shutter string,
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """Supported files of a folder, not of its subfolders, with their bytes; ``ordered`` sorts their paths.
 
-    The glob keeps other files from being read, and no bytes go through a shuffle."""
-    kinds = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in IMAGE_EXTENSIONS)
-    d = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", "*.{" + kinds + "}").load(folder)
+    The glob keeps other files from being read, and no bytes go through a shuffle. Spark lists no empty files."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", _glob(IMAGE_EXTENSIONS)).load(folder)
     return d.where(is_supported(F.col("path")))
 
 
@@ -41,13 +42,51 @@ def scan_files(spark: SparkSession, paths: list[str]) -> tuple[str, DataFrame]:
     return kept[0].rpartition("/")[0], spark.read.format("binaryFile").load(kept)
 
 
+def _glob(kinds) -> str:
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in kinds) + "}"
+
+
+#: Kinds of files that Spark's image source does not read.
+OWN_KINDS = ("tif", "tiff", "webp", *RAW_EXTENSIONS)
+DECODED = "path string, width int, height int, data binary, error string"
+
+
+def decode_bytes(raw: bytes, camera: bool) -> np.ndarray:
+    """The pixels of a TIFF, WebP or (``camera``) camera file, height x width x 3 bytes; ValueError where there are none."""
+    try:
+        if camera:
+            a = tiff.develop(raw)
+        else:
+            a = webp.decode(raw) if raw[:4] == b"RIFF" else tiff.decode(raw)
+    except (struct.error, IndexError, KeyError, ZeroDivisionError, OverflowError, MemoryError) as e:  # what damaged directories lead to
+        raise ValueError(f"damaged file: {e or type(e).__name__}") from None
+    if a.ndim != 3 or a.shape[2] != 3 or not a.size:
+        raise ValueError(f"decoding gave {a.size} bytes")
+    return a
+
+
+def decode_files(files: DataFrame) -> DataFrame:
+    """path, width, height, data (RGB) and error of files (path, content) of the kinds in ``OWN_KINDS``, one at a time."""
+
+    def run(batches):
+        for b in batches:
+            for path, raw, camera in zip(b.path, b.content, b.camera):
+                try:
+                    a = decode_bytes(raw, camera)
+                    row = (path, a.shape[1], a.shape[0], a.tobytes(), None)
+                except ValueError as e:
+                    row = (path, 0, 0, None, str(e))
+                yield pd.DataFrame([row], columns=["path", "width", "height", "data", "error"])
+
+    return files.select("path", "content", is_raw(F.col("path")).alias("camera")).mapInPandas(run, DECODED)
+
+
 def decode(spark: SparkSession, folder: str) -> DataFrame:
     """path, width, height, data (RGB) and error of a folder's images; undecodable files keep a row."""
-    d = spark.read.format("image").option("dropInvalid", "false").load(folder).select("image.*")
+    plain = [e for e in IMAGE_EXTENSIONS if e not in OWN_KINDS]
+    d = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", _glob(plain)).load(folder).select("image.*")
 
     def run(batches):
-        import numpy as np
-
         for b in batches:
             out = []
             for r in b.itertuples():
@@ -59,64 +98,21 @@ def decode(spark: SparkSession, folder: str) -> DataFrame:
                 out.append((r.origin, r.width, r.height, rgb.tobytes(), None))
             yield pd.DataFrame(out, columns=["path", "width", "height", "data", "error"])
 
-    made = d.mapInPandas(run, "path string, width int, height int, data binary, error string")
     # this source writes local paths in another way than the one that ``scan`` reads with
-    return made.withColumn("path", F.regexp_replace("path", "^file:///", "file:/"))
-
-
-def _tags(raw: bytes) -> dict:
-    """EXIF tags by number of a JPEG or TIFF file."""
-    if raw[:2] == b"\xff\xd8":
-        at, tiff = 2, None
-        while at + 4 <= len(raw) and raw[at] == 0xFF and raw[at + 1] != 0xDA:
-            n = int.from_bytes(raw[at + 2 : at + 4], "big")
-            if raw[at + 1] == 0xE1 and raw[at + 4 : at + 10] == b"Exif\0\0":
-                tiff = raw[at + 10 : at + 2 + n]
-                break
-            at += 2 + n
-        if tiff is None:
-            raise ValueError("no EXIF segment")
-    else:
-        tiff = raw
-    order = {b"II": "<", b"MM": ">"}[tiff[:2]]
-    sizes = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
-    out: dict = {}
-
-    def ifd(at: int) -> None:
-        (n,) = struct.unpack_from(order + "H", tiff, at)
-        for i in range(n):
-            tag, kind, count, _ = struct.unpack_from(order + "HHII", tiff, at + 2 + 12 * i)
-            size = sizes.get(kind, 1) * count
-            where = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", tiff, at + 10 + 12 * i)[0]
-            if kind == 2:
-                out.setdefault(tag, tiff[where : where + count].decode("utf-8", "replace").strip("\0 "))
-            elif kind in (3, 4):
-                out.setdefault(tag, struct.unpack_from(order + ("H" if kind == 3 else "I"), tiff, where)[0])
-            elif kind == 5:
-                a, b = struct.unpack_from(order + "II", tiff, where)
-                out.setdefault(tag, a / b if b else 0.0)
-        if 0x8769 in out and not out.get("sub"):
-            out["sub"] = True
-            ifd(out[0x8769])
-
-    ifd(struct.unpack_from(order + "I", tiff, 4)[0])
-    return out
+    made = d.mapInPandas(run, DECODED).withColumn("path", F.regexp_replace("path", "^file:///", "file:/"))
+    others = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", _glob(OWN_KINDS)).load(folder)
+    return made.unionByName(decode_files(others.where(is_supported(F.col("path")))))
 
 
 def _exif(content: pd.Series) -> pd.DataFrame:
     rows = []
     for raw in content:
         try:
-            t = _tags(raw)
+            t = exif.tags(raw)
         except Exception as e:  # any malformed container
             rows.append([None] * 8 + [str(e) or type(e).__name__])
             continue
-        x = t.get(0x829A)
-        shutter = None if x is None else (f"1/{round(1 / x)} s" if 0 < x < 1 else f"{x:g} s")
-        rows.append([
-            t.get(0x0110), t.get(0xA434), None if 0x8827 not in t else str(t[0x8827]), None if 0x829D not in t else f"f/{t[0x829D]:g}",
-            shutter, None if 0x920A not in t else f"{t[0x920A]:g} mm", t.get(0x9003), t.get(0x9291), None,
-        ])
+        rows.append([*exif.settings(t), exif.text(t, exif.TAKEN), exif.text(t, exif.SUBSECOND), None])
     return pd.DataFrame(rows, columns=[c.split()[0] for c in EXIF.split(", ")])
 
 
@@ -146,43 +142,32 @@ def encode_png(width, height, data):
     return F.pandas_udf(_png, "binary")(width, height, data)
 
 
-def data_uri(encoded, kind: str = "image/png"):
-    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(encoded))
+def encode_jpeg(width, height, data, quality: int = jpeg.QUALITY):
+    """A column of JPEG files of packed images; null where there are no pixels."""
 
+    def run(width: pd.Series, height: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None or not w or not h else jpeg.encode(np.frombuffer(d, np.uint8).reshape(int(h), int(w), 3), quality) for w, h, d in zip(width, height, data)], dtype=object)
 
-def write_files(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes (position, target, content) as files of a folder, never over an existing one; ok and error of each.
-    Rows with an error of their own (column ``error``) write nothing and keep it."""
-    rows = rows if "error" in rows.columns else rows.withColumn("error", F.lit(None).cast("string"))
+    return F.pandas_udf(run, "binary")(width, height, data)
 
-    def run(batches):
-        import os
-
-        for b in batches:
-            ok, err = [], []
-            for name, body, own in zip(b.target, b.content, b.error):
-                if own is not None:
-                    ok.append(False), err.append(own)
-                    continue
-                try:
-                    with open(os.path.join(folder, name), "xb") as f:
-                        f.write(body)
-                    ok.append(True), err.append(None)
-                except OSError as e:
-                    ok.append(False), err.append(f"{name}: {e.strerror}")
-            yield b.assign(ok=ok, error=err)[["position", "ok", "error"]]
 
-    return rows.select("position", "target", "content", "error").mapInPandas(run, "position long, ok boolean, error string")
+def data_uri(encoded, kind: str = "image/jpeg"):
+    """Encoded bytes as a data URI; nothing gives an empty text."""
+    return F.coalesce(F.concat(F.lit(f"data:{kind};base64,"), F.regexp_replace(F.base64(encoded), r"\r\n", "")), F.lit(""))
 
 
 def load_presets(spark: SparkSession, path: str) -> DataFrame:
     """Presets (name, params) of a JSON array; a missing or corrupt file holds none, missing sliders are 0.
 
-    Faults of another kind (no permission, no such file system) are raised."""
+    Faults of another kind (no permission, no such file system) are raised. If a crash between the two moves of ``save_presets``
+    left only the old file aside, that one is read."""
     schema = f"name string, params {PARAMS}"
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], schema)
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path_of(path)):
+        if not fs.exists(path_of(path + ".old")):
+            return spark.createDataFrame([], schema)
+        path += ".old"
     text = spark.read.option("wholetext", True).text(path)
     each = text.select(F.explode(F.from_json("value", f"array<struct<name:string,params:{PARAMS}>>", {"mode": "PERMISSIVE"})).alias("p"))
     params = F.struct(*[F.coalesce(F.col(f"p.params.{n}"), F.lit(0.0).cast("float")).alias(n) for n in SLIDERS + CROP])
@@ -202,5 +187,14 @@ def save_presets(presets: DataFrame, path: str) -> None:
     out = fs.create(aside, True)
     out.write(bytearray(body.encode()))
     out.close()
-    fs.delete(p, True)
-    fs.rename(aside, p)
+    # the old file stays until the new one is whole: it is moved aside, and back if the last step fails
+    old = jvm.org.apache.hadoop.fs.Path(path + ".old")
+    had = fs.exists(p)
+    if had:
+        fs.delete(old, False)
+        fs.rename(p, old)
+    if not fs.rename(aside, p):
+        if had:
+            fs.rename(old, p)
+        raise OSError(f"cannot write {path}")
+    fs.delete(old, False)
