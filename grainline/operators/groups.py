@@ -20,8 +20,10 @@ BANDS = 4
 FEW_EDGES = 200_000
 #: Groups that are numbered in one task.
 FEW_GROUPS = 100_000
-#: Photos that are compared all with all to find the nearest.
-FEW_PHOTOS = 2_000
+
+
+#: Pairs that are compared in blocks rather than searched for by bands.
+FEW_PAIRS = 1 << 26
 
 
 def similar_pairs(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str = "id", value: str = "phash", bands: bool | None = None) -> DataFrame:
@@ -63,31 +65,91 @@ def links(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str = "id", va
     return similar_pairs(least, most, "id", "v").select("a", "b").unionAll(same)
 
 
-def nearest(photos: DataFrame, key: str = "id", value: str = "phash", few: int = FEW_PHOTOS) -> DataFrame:
-    """The nearest other photo of each; of equally near ones the smallest id.
+def nearest(photos: DataFrame, key: str = "id", value: str = "phash", bands: int | None = None, block: int = 4096, few: int = FEW_PAIRS) -> DataFrame:
+    """The nearest other photo of each (a, nearest, distance); of equally near ones the smallest id.
 
-    All pairs within a distance are found exactly by bands, with a wider radius for those that have none; what is
-    left after that, photos far from all others, is compared with all, in blocks of a nested loop."""
+    Equal hashes are nearest to each other, and only one of them is searched for further. The search grows by the bits that a band may
+    differ in: after radius r every photo has met all others with some band that near, and what it has not met
+    differs by bands * (r + 1) bits at least; a photo whose best is nearer than that is done. A radius joins the
+    open photos' band values, with every choice of r bits turned, to all photos' bands. Where that is more work
+    for a photo than to compare it with all, or no more than ``few`` pairs are left, the rest is compared in blocks.
+    ``bands`` follows from the number of hashes."""
     p = photos.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
+    per = written(p.groupBy("v").agg(F.min("k").alias("k"), F.count("*").alias("n")))
+    second = p.join(per.where("n > 1").select("v", F.col("k").alias("first")), "v")
+    other = second.where("k <> first").groupBy("v").agg(F.min("k").alias("next"))
+    same = second.join(other, "v").select(F.col("k").alias("a"), F.when(F.col("k") == F.col("first"), F.col("next")).otherwise(F.col("first")).alias("nearest"), F.lit(0).alias("distance"))
+    total, alone = per.agg(F.count("*"), F.count_if(F.col("n") == 1)).first()
+    if not alone or total < 2:
+        return same
+    bands = bands or max(2, min(4, 64 // max(1, total.bit_length())))
+    cuts = [64 * i // bands for i in range(bands + 1)]
+    parts = [(i, lo, hi - lo, (1 << hi - lo) - 1) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))]
+    every = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("v", lo).bitwiseAND(F.lit(m).cast("long")).alias("w")) for i, lo, _, m in parts]))
+    far = per.select(F.col("k").alias("b"), F.col("v").alias("vb"), every.alias("s")).select("b", "vb", "s.i", "s.w")
+    open_ = alone
+    rest, best, radius, out = per.where("n = 1").select(F.col("k").alias("a"), F.col("v").alias("va")), None, 0, []
+    while True:
+        masks = [[sum(1 << x for x in c) for c in combinations(range(width), radius)] for _, _, width, _ in parts] if sum(comb(w, radius) for _, _, w, _ in parts) <= MOST_MASKS else None
+        work = masks and sum(len(m) * (1 + total / (1 << width)) for m, (_, _, width, _) in zip(masks, parts))
+        if masks is None or work >= total or open_ * total <= few:
+            out.append(_against_all(rest, per, block))
+            break
+        turned = [_turned(i, lo, m, own) for own, (i, lo, _, m) in zip(masks, parts)]
+        near = rest.select("a", "va", F.explode(F.concat(*turned)).alias("s")).select("a", "va", "s.i", "s.w")
+        met = near.join(far, ["i", "w"]).where("a <> b").groupBy("a").agg(F.min(F.struct(hamming(F.col("va"), F.col("vb")).alias("d"), "b")).alias("m"))
+        met = met if best is None else met.unionAll(best).groupBy("a").agg(F.min("m").alias("m"))
+        best = written(met)
+        done = best.where(F.col("m.d") < bands * (radius + 1))
+        out.append(done)
+        rest = written(rest.join(done, "a", "left_anti"))
+        best, radius = written(best.join(done.select("a"), "a", "left_anti")), radius + 1
+        open_ = rest.count()
+        if not open_:
+            break
+    found = out[0]
+    for d in out[1:]:
+        found = found.unionAll(d)
+    return same.unionAll(found.select("a", F.col("m.b").alias("nearest"), F.col("m.d").alias("distance")))
+
+
+#: Masks of one radius up to which bands are tried.
+MOST_MASKS = 20_000
+
+
+def _turned(i: int, low: int, mask: int, masks: list[int]):
+    """An array of the band i of ``va`` with the bits of each mask turned."""
+    every = F.split(F.lit(",".join(map(str, masks))), ",").cast("array<long>")
+    band = F.shiftrightunsigned("va", low).bitwiseAND(F.lit(mask).cast("long"))
+    return F.transform(every, lambda x: F.struct(F.lit(i).alias("i"), band.bitwiseXOR(x).alias("w")))
+
+
+def _against_all(rest: DataFrame, per: DataFrame, block: int) -> DataFrame:
+    """(a, m: d and b) of the nearest for rows (a, va) among all (k, v): every block of the one side meets every block
+    of the other in a task of its own, and gives a row for each photo."""
+    import numpy as np
+    import pandas as pd
 
-    def best(pairs: DataFrame) -> DataFrame:
-        m = pairs.groupBy("a").agg(F.min(F.struct(F.col("distance").alias("d"), "b")).alias("m"))
-        return m.select("a", F.col("m.b").alias("nearest"), F.col("m.d").alias("distance"))
-
-    def against_all(some: DataFrame) -> DataFrame:
-        a, b = some.select(F.col("k").alias("a"), F.col("v").alias("va")), p.select(F.col("k").alias("b"), F.col("v").alias("vb"))
-        return best(a.join(b, F.col("a") != F.col("b")).select("a", "b", hamming(F.col("va"), F.col("vb")).alias("distance")))
-
-    if p.limit(few + 1).count() <= few:
-        return against_all(p)
-    out, rest = None, p
-    for most in (BANDS - 1, 2 * BANDS - 1):
-        pairs = similar_pairs(p, most, "k", "v", bands=True)
-        both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-        got = written(best(both.join(rest, F.col("a") == F.col("k"), "left_semi")))
-        out = got if out is None else out.unionAll(got)
-        rest = written(rest.join(got, F.col("k") == F.col("a"), "left_anti"))
-    return out.unionAll(against_all(rest))
+    n, every = (max(1, -(-d.count() // block)) for d in (rest, per))
+    deal = lambda id, k, own, other: [F.pmod(F.xxhash64(id), F.lit(k)).alias(own), other]
+    left = rest.select("a", "va", *deal("a", n, "i", F.explode(F.sequence(F.lit(0), F.lit(every - 1))).alias("j")))
+    right = per.select("k", "v", *deal("k", every, "j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")))
+    kind = per.schema["k"].dataType.simpleString()
+
+    def run(x, y):
+        y = y.sort_values("k")
+        k, v = y.k.to_numpy(), y.v.to_numpy(np.int64).view(np.uint64)  # of signed numbers numpy counts the absolute value's bits
+        rows = []
+        for a, va in zip(x.a, x.va.to_numpy(np.int64).view(np.uint64)):
+            d = np.bitwise_count(v ^ va).astype(int)
+            d[k == a] = 65
+            i = int(d.argmin()) if len(d) else 0  # the first of the nearest has the smallest id
+            if len(d) and d[i] < 65:
+                rows.append((a, int(d[i]), k[i]))
+        return pd.DataFrame(rows, columns=["a", "d", "b"])
+
+    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, f"a {kind}, d int, b {kind}")
+    return met.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
 
 
 def written(df: DataFrame) -> DataFrame:
