@@ -9,10 +9,18 @@ VIEWS = ("all", "blurry", "eyes", "duplicates", "keepers", "rejects")
 
 
 def decide(log: DataFrame) -> DataFrame:
-    """Decisions after a log (path, seq, decision): the same decision again removes it, another replaces it."""
-    events = F.transform(F.sort_array(F.collect_list(F.struct("seq", "decision"))), lambda s: s["decision"])
-    last = F.aggregate("events", F.lit(None).cast("string"), lambda now, d: F.when(now.eqNullSafe(d), F.lit(None).cast("string")).otherwise(d))
-    return log.groupBy("path").agg(events.alias("events")).select("path", last.alias("decision")).where("decision is not null")
+    """Decisions after a log (path, seq, decision): the same decision again removes it, another replaces it.
+
+    What was before another decision does not matter, so the last run of equal decisions tells all: an odd number of them
+    stays. The run begins after the last event of another decision. Aggregates only, which merge before they meet."""
+    last = log.groupBy("path", "decision").agg(F.max("seq").alias("seq"))
+    nth = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("seq"), F.desc("decision")))
+    two = last.withColumn("_n", nth).where("_n <= 2").groupBy("path")
+    ends = two.agg(*[F.max(F.when(F.col("_n") == n, F.struct("seq", "decision"))).alias(c) for n, c in ((1, "_last"), (2, "_other"))])
+    e = F.struct("seq", "decision")
+    run = log.join(ends, "path").where((F.col("decision") == F.col("_last.decision")) & (F.col("_other").isNull() | (e > F.col("_other"))))
+    left = run.groupBy("path").agg(F.first("_last.decision").alias("decision"), F.count("*").alias("_m"))
+    return left.where("_m % 2 = 1").select("path", "decision")
 
 
 def view(photos: DataFrame, decisions: DataFrame, kind: str) -> DataFrame:

@@ -123,7 +123,7 @@ def auto_edit(images: DataFrame) -> DataFrame:
     return render_full(images.withColumn("heals", F.lit(None).cast("array<struct<stamps:array<struct<x:float,y:float,r:float>>>>")))
 
 
-def preview(images: DataFrame, crop_preview: bool = False, edge: int = PREVIEW) -> DataFrame:
+def preview(images: DataFrame, crop_preview: bool = False, edge: int = PREVIEW, id: str = "image_id long") -> DataFrame:
     """image_id, before and after (JPEG files, null without pixels) of images with params and heals at preview size:
     before has the geometry only, so that both show the same frame; while a crop is drawn both stay uncropped."""
     from ..sources import jpeg
@@ -143,7 +143,7 @@ def preview(images: DataFrame, crop_preview: bool = False, edge: int = PREVIEW)
                 after = full(small, p, r.heals if r.heals is not None else (), not crop_preview)
                 yield pd.DataFrame({"image_id": [r.image_id], "before": [jpeg.encode(before)], "after": [jpeg.encode(after)]})
 
-    return images.select("image_id", "width", "height", "data", "params", "heals").mapInPandas(run, "image_id long, before binary, after binary")
+    return images.select("image_id", "width", "height", "data", "params", "heals").mapInPandas(run, f"{id}, before binary, after binary")
 
 
 def sized(images: DataFrame, edge: int) -> DataFrame:

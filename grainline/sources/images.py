@@ -84,7 +84,24 @@ def decode_files(files: DataFrame) -> DataFrame:
 def decode(spark: SparkSession, folder: str) -> DataFrame:
     """path, width, height, data (RGB) and error of a folder's images; undecodable files keep a row."""
     plain = [e for e in IMAGE_EXTENSIONS if e not in OWN_KINDS]
-    d = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", _glob(plain)).load(folder).select("image.*")
+    made = _plain(spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", _glob(plain)).load(folder))
+    others = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", _glob(OWN_KINDS)).load(folder)
+    return made.unionByName(decode_files(others.where(is_supported(F.col("path")))))
+
+
+def decode_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """As ``decode``, of the files at these paths."""
+    own = [p for p in paths if p.lower().endswith(tuple("." + e for e in OWN_KINDS))]
+    plain = sorted(set(paths) - set(own))
+    made = [_plain(spark.read.format("image").option("dropInvalid", "false").load(plain))] if plain else []
+    made += [decode_files(spark.read.format("binaryFile").load(own))] if own else []
+    if not made:
+        return spark.createDataFrame([], DECODED)
+    return made[0] if len(made) == 1 else made[0].unionByName(made[1])
+
+
+def _plain(images: DataFrame) -> DataFrame:
+    """Rows of Spark's image source as ``decode`` gives them."""
 
     def run(batches):
         for b in batches:
@@ -99,9 +116,7 @@ def decode(spark: SparkSession, folder: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "width", "height", "data", "error"])
 
     # this source writes local paths in another way than the one that ``scan`` reads with
-    made = d.mapInPandas(run, DECODED).withColumn("path", F.regexp_replace("path", "^file:///", "file:/"))
-    others = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", _glob(OWN_KINDS)).load(folder)
-    return made.unionByName(decode_files(others.where(is_supported(F.col("path")))))
+    return images.select("image.*").mapInPandas(run, DECODED).withColumn("path", F.regexp_replace("path", "^file:///", "file:/"))
 
 
 def _exif(content: pd.Series) -> pd.DataFrame:
