@@ -84,16 +84,31 @@ def laplacian_score(g: np.ndarray) -> float:
     return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var())
 
 
-def _weights(n_in: int, n_out: int, radius: float, f) -> np.ndarray:
+def _kernel(kind: str):
+    """(weight by distance, reach) of a resampling."""
+    return {"lanczos": (lambda x: np.sinc(x) * np.sinc(x / 3), 3.0), "triangle": (lambda x: np.maximum(0, 1 - np.abs(x)), 1.0), "area": (lambda x: np.ones_like(x), 0.5001)}[kind]
+
+
+def _weights(n_in: int, n_out: int, radius: float, f, out: tuple[int, int] | None = None, source: tuple[int, int] | None = None) -> np.ndarray:
+    """Shares of the places of ``source`` in each place of ``out`` (from and to; all of them by default)."""
+    (a, b), (c, d) = out or (0, n_out), source or (0, n_in)
     scale = max(1.0, n_in / n_out)
-    at = (np.arange(n_out) + 0.5) * n_in / n_out - 0.5
-    w = f((np.arange(n_in)[None, :] - at[:, None]) / scale) * (np.abs(np.arange(n_in)[None, :] - at[:, None]) < radius * scale)
+    at = (np.arange(a, b) + 0.5) * n_in / n_out - 0.5
+    far = np.arange(c, d)[None, :] - at[:, None]
+    w = f(far / scale) * (np.abs(far) < radius * scale)
     return w / w.sum(1, keepdims=True)
 
 
+def reach(n_in: int, n_out: int, a: int, b: int, kind: str) -> tuple[int, int]:
+    """The places that the places a to b of a resampling are made of."""
+    wide = _kernel(kind)[1] * max(1.0, n_in / n_out)
+    low, high = ((x + 0.5) * n_in / n_out - 0.5 for x in (a, b - 1))
+    return max(0, math.floor(low - wide)), min(n_in, math.ceil(high + wide) + 1)
+
+
 def resize(a: np.ndarray, width: int, height: int, kind: str = "lanczos") -> np.ndarray:
     """Separable resampling: lanczos (three lobes), triangle or area."""
-    f, r = {"lanczos": (lambda x: np.sinc(x) * np.sinc(x / 3), 3.0), "triangle": (lambda x: np.maximum(0, 1 - np.abs(x)), 1.0), "area": (lambda x: np.ones_like(x), 0.5001)}[kind]
+    f, r = _kernel(kind)
     v, h = _weights(a.shape[0], height, r, f), _weights(a.shape[1], width, r, f)
     return np.tensordot(h, np.tensordot(v, a.astype(float), (1, 0)), (1, 1)).swapaxes(0, 1)
 
@@ -171,12 +186,17 @@ def wide_blur(a: np.ndarray, sigma: float) -> np.ndarray:
     return resize(gaussian(small, sigma / k), w, h, "triangle")
 
 
+def clarity_sigma(height: int, width: int) -> float:
+    return min(60.0, max(4.0, min(height, width) / 60))
+
+
 def clarity(a: np.ndarray, amount: float) -> np.ndarray:
     s = min(1.0, max(-1.0, amount / 100))
-    if s == 0:
-        return a
-    sigma = min(60.0, max(4.0, min(a.shape[:2]) / 60))
-    return bytes_of(a + (a - wide_blur(a, sigma)) * 0.6 * s)
+    return a if s == 0 else raised(a, wide_blur(a, clarity_sigma(*a.shape[:2])), s)
+
+
+def raised(a: np.ndarray, blurred: np.ndarray, s: float) -> np.ndarray:
+    return bytes_of(a + (a - blurred) * 0.6 * s)
 
 
 def inscribed(w: float, h: float, angle: float) -> tuple[float, float]:
@@ -191,26 +211,47 @@ def inscribed(w: float, h: float, angle: float) -> tuple[float, float]:
     return (w * c - h * s) / d, (h * c - w * s) / d
 
 
-def straighten(a: np.ndarray, slider: float) -> np.ndarray:
-    """Turned about its centre by up to ten degrees and cut to what has no border."""
+def turn_of(slider: float) -> float:
+    """The angle of a slider, up to ten degrees; none below a hundredth of one."""
     angle = math.radians(STRAIGHTEN_DEGREES * min(1.0, max(-1.0, slider / 100)))
-    if abs(math.degrees(angle)) < 0.01:
-        return a
-    h, w = a.shape[:2]
+    return angle if abs(math.degrees(angle)) >= 0.01 else 0.0
+
+
+def upright(height: int, width: int, angle: float) -> tuple[int, int, int, int]:
+    """Top, left, height and width of what a turned frame keeps."""
+    w, h = (max(1, min(int(v * 0.985), m)) for v, m in zip(inscribed(width, height, angle), (width, height)))
+    return (height - h) // 2, (width - w) // 2, h, w
+
+
+def turned_from(y, x, height: int, width: int, angle: float):
+    """(row, column) of the frame that the places (y, x) of the turned frame come from."""
     s, c = math.sin(angle), math.cos(angle)
-    y, x = np.mgrid[:h, :w]
-    dx, dy = x - (w - 1) / 2, y - (h - 1) / 2
-    sx, sy = c * dx + s * dy + (w - 1) / 2, -s * dx + c * dy + (h - 1) / 2
-    inside = (sx >= 0) & (sy >= 0) & (sx <= w - 1) & (sy <= h - 1)
-    x0, y0 = np.clip(np.floor(sx).astype(int), 0, w - 1), np.clip(np.floor(sy).astype(int), 0, h - 1)
-    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
+    dx, dy = x - (width - 1) / 2, y - (height - 1) / 2
+    return -s * dx + c * dy + (height - 1) / 2, c * dx + s * dy + (width - 1) / 2
+
+
+def turned(part: np.ndarray, y, x, height: int, width: int, angle: float, top: int = 0, left: int = 0) -> np.ndarray:
+    """Bytes of the places (y, x) of the turned frame, by bilinear mixing out of a part of the frame that begins at (top, left)."""
+    sy, sx = turned_from(y, x, height, width, angle)
+    inside = (sx >= 0) & (sy >= 0) & (sx <= width - 1) & (sy <= height - 1)
+    x0, y0 = np.clip(np.floor(sx).astype(int), 0, width - 1), np.clip(np.floor(sy).astype(int), 0, height - 1)
+    x1, y1 = np.minimum(x0 + 1, width - 1), np.minimum(y0 + 1, height - 1)
     fx, fy = (sx - x0)[..., None], (sy - y0)[..., None]
-    f = a.astype(float)
-    turned = (f[y0, x0] * (1 - fx) + f[y0, x1] * fx) * (1 - fy) + (f[y1, x0] * (1 - fx) + f[y1, x1] * fx) * fy
-    turned[~inside] = 0
-    cw, ch = (max(1, min(int(v * 0.985), m)) for v, m in zip(inscribed(w, h, angle), (w, h)))
-    top, left = (h - ch) // 2, (w - cw) // 2
-    return bytes_of(turned[top : top + ch, left : left + cw])
+    a = lambda j, i: part[np.clip(j - top, 0, part.shape[0] - 1), np.clip(i - left, 0, part.shape[1] - 1)].astype(float)
+    out = (a(y0, x0) * (1 - fx) + a(y0, x1) * fx) * (1 - fy) + (a(y1, x0) * (1 - fx) + a(y1, x1) * fx) * fy
+    out[~inside] = 0
+    return bytes_of(out)
+
+
+def straighten(a: np.ndarray, slider: float) -> np.ndarray:
+    """Turned about its centre by up to ten degrees and cut to what has no border, some rows at a time."""
+    angle, (h, w) = turn_of(slider), a.shape[:2]
+    if not angle:
+        return a
+    top, left, ch, cw = upright(h, w, angle)
+    rows = max(1, 500_000 // cw)
+    parts = [turned(a, *np.mgrid[y : min(y + rows, top + ch), left : left + cw], h, w, angle) for y in range(top, top + ch, rows)]
+    return np.concatenate(parts)
 
 
 def heal(a: np.ndarray, stamps: list[tuple[float, float, float]]) -> np.ndarray:

@@ -29,10 +29,13 @@ def _smooth(a: float, b: float, x):
     return t * t * (3.0 - 2.0 * t)
 
 
-def _percentile(luma: np.ndarray, share: float) -> float:
+def luma_counts(luma: np.ndarray) -> np.ndarray:
+    return np.bincount((np.clip(luma, 0, 1) * 255.0).astype(int).ravel(), minlength=256)
+
+
+def _percentile(counts: np.ndarray, share: float) -> float:
     """First of 256 bins whose running count reaches the truncated share."""
-    counts = np.bincount((np.clip(luma, 0, 1) * 255.0).astype(int).ravel(), minlength=256)
-    at = np.flatnonzero(np.cumsum(counts) >= int(share * luma.size))
+    at = np.flatnonzero(np.cumsum(counts) >= int(share * counts.sum()))
     return (int(at[0]) if len(at) else 255) / 255.0
 
 
@@ -41,23 +44,34 @@ def hue(degrees: float) -> np.ndarray:
     return np.array([min(1.0, max(0.0, abs((degrees / 60.0 + k) % 6.0 - 3.0) - 1.0)) for k in (0.0, 4.0, 2.0)])
 
 
-def colour(a: np.ndarray, p: dict) -> np.ndarray:
-    """All colour steps of bytes: noise reduction first, then the point-wise steps, then clarity and sharpening."""
+def means(a: np.ndarray) -> np.ndarray:
+    """Mean of each channel, 0 to 1, from whole sums."""
+    return a.sum((0, 1), dtype=np.int64) / (255.0 * max(1, a.shape[0] * a.shape[1]))
+
+
+def exposed(v: np.ndarray, p: dict, mean: np.ndarray) -> np.ndarray:
+    """Pixels (0 to 1) after the balance of colours and the exposure, which know of the image its channels' means: one factor a channel."""
     g = lambda n: float(p.get(n) or 0.0)
-    v = kernels.denoise(a, g("noise_reduction")).astype(float) / 255.0
-    mean, k = v.mean((0, 1)), _unit(g("auto_white_balance"))
+    factor, k = np.ones(3), _unit(g("auto_white_balance"))
     if k > 0 and (mean > 0).all():
-        v = v * (1.0 + k * (np.clip(mean.mean() / mean, 0.5, 2.0) - 1.0))
+        factor = factor * (1.0 + k * (np.clip(mean.mean() / mean, 0.5, 2.0) - 1.0))
     warm, tint = _signed(g("temperature")), _signed(g("tint"))
-    v = v * np.array([1.0 + 0.3 * warm, 1.0 - 0.2 * tint, 1.0 - 0.3 * warm])
-    k, mean = _unit(g("auto_exposure")), float((v @ LUMA).mean())
-    if k > 0 and mean > 0:
-        v = v * (1.0 + k * (min(3.0, max(0.33, EXPOSURE_TARGET / mean)) - 1.0))
-    v = v * 2.0 ** (2.0 * _signed(g("exposure")))
-    k, luma = _unit(g("auto_contrast")), v @ LUMA
-    lo, hi = _percentile(luma, 0.01), _percentile(luma, 0.99)
-    if k > 0 and hi > lo:
-        v = v + ((v - lo) / (hi - lo) - v) * k
+    factor = factor * np.array([1.0 + 0.3 * warm, 1.0 - 0.2 * tint, 1.0 - 0.3 * warm])
+    k, bright = _unit(g("auto_exposure")), float((factor * mean) @ LUMA)
+    if k > 0 and bright > 0:
+        factor = factor * (1.0 + k * (min(3.0, max(0.33, EXPOSURE_TARGET / bright)) - 1.0))
+    return v * (factor * 2.0 ** (2.0 * _signed(g("exposure"))))
+
+
+def toned(v: np.ndarray, p: dict, counts: np.ndarray | None, top: int, left: int, height: int, width: int) -> np.ndarray:
+    """Bytes of exposed pixels after all other point-wise steps; counts: the whole image's ``luma_counts`` then, where
+    contrast is automatic; top and left: the part's place in the image of that height and width."""
+    g = lambda n: float(p.get(n) or 0.0)
+    k = _unit(g("auto_contrast"))
+    if k > 0:
+        lo, hi = _percentile(counts, 0.01), _percentile(counts, 0.99)
+        if hi > lo:
+            v = v + ((v - lo) / (hi - lo) - v) * k
     luma = (v @ LUMA)[..., None]
     v = (v - 0.5) * (1.0 + _signed(g("contrast"))) + 0.5
     v = v * (1.0 + _signed(g("highlights")) * 0.4 * _smooth(0.5, 1.0, luma)) * (1.0 + _signed(g("shadows")) * 0.5 * _smooth(0.5, 0.0, luma))
@@ -70,20 +84,33 @@ def colour(a: np.ndarray, p: dict) -> np.ndarray:
     amount = _signed(g("vignette_amount"))
     if amount:
         h, w = v.shape[:2]
-        y, x = np.mgrid[:h, :w]
-        far = np.hypot(x - w / 2.0, y - h / 2.0) / max(1.0, float(np.hypot(w / 2.0, h / 2.0)))
+        y, x = np.mgrid[top : top + h, left : left + w]
+        far = np.hypot(x - width / 2.0, y - height / 2.0) / max(1.0, float(np.hypot(width / 2.0, height / 2.0)))
         v = v * (1.0 + amount * 0.8 * _smooth(_unit(g("vignette_midpoint")), 1.0, far))[..., None]
-    return kernels.sharpen(kernels.clarity(kernels.bytes_of(np.clip(v, 0.0, 1.0) * 255.0), g("clarity")), g("sharpening"))
+    return kernels.bytes_of(np.clip(v, 0.0, 1.0) * 255.0)
 
 
-def cropped(a: np.ndarray, p: dict) -> np.ndarray:
-    """Places truncated, sizes rounded, one pixel at least; a full frame or no crop changes nothing."""
+def colour(a: np.ndarray, p: dict) -> np.ndarray:
+    """All colour steps of bytes: noise reduction first, then the point-wise steps, then clarity and sharpening."""
+    g = lambda n: float(p.get(n) or 0.0)
+    a = kernels.denoise(a, g("noise_reduction"))
+    v = exposed(a / 255.0, p, means(a))
+    out = toned(v, p, luma_counts(v @ LUMA) if _unit(g("auto_contrast")) > 0 else None, 0, 0, *a.shape[:2])
+    return kernels.sharpen(kernels.clarity(out, g("clarity")), g("sharpening"))
+
+
+def crop_box(p: dict, height: int, width: int) -> tuple[int, int, int, int]:
+    """Top, left, bottom and right of the crop: places truncated, sizes rounded, one pixel at least; a full frame or none is the image."""
     x, y, w, h = (float(p.get(n) or 0.0) for n in CROP)
     if not (w > 0.001 and h > 0.001 and (x > 0.001 or y > 0.001 or w < 0.999 or h < 0.999)):
-        return a
-    height, width = a.shape[:2]
+        return 0, 0, height, width
     x0, y0 = min(width - 1, int(min(1.0, max(0.0, x)) * width)), min(height - 1, int(min(1.0, max(0.0, y)) * height))
-    return a[y0 : y0 + max(1, int(h * height + 0.5)), x0 : x0 + max(1, int(w * width + 0.5))]
+    return y0, x0, min(height, y0 + max(1, int(h * height + 0.5))), min(width, x0 + max(1, int(w * width + 0.5)))
+
+
+def cropped(a: np.ndarray, p: dict) -> np.ndarray:
+    top, left, bottom, right = crop_box(p, *a.shape[:2])
+    return a[top:bottom, left:right]
 
 
 def full(a: np.ndarray, p: dict, heals=(), crop: bool = True) -> np.ndarray:
