@@ -116,7 +116,8 @@ def cropped(a: np.ndarray, p: dict) -> np.ndarray:
 def full(a: np.ndarray, p: dict, heals=(), crop: bool = True) -> np.ndarray:
     """Straighten, colour, heal (strokes of stamps, in order), crop."""
     out = colour(kernels.straighten(a, float(p.get("straighten") or 0.0)), p)
-    stamps = [(s["x"], s["y"], s["r"]) for stroke in heals or () for s in stroke["stamps"] or ()]
+    some = lambda x: () if x is None else x  # noqa: E731 - lists may come as arrays, which have no truth
+    stamps = [(s["x"], s["y"], s["r"]) for stroke in some(heals) for s in some(stroke["stamps"])]
     out = kernels.heal(out, stamps) if stamps else out
     return cropped(out, p) if crop else out
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import eyes, file_name, hamming
-from ..types import BLUR_THRESHOLD, BURST_GAP_SECONDS, DUPLICATE_DISTANCE, EYE_THRESHOLD
+from ..types import BLUR_THRESHOLD, BURST_GAP_SECONDS, DUPLICATE_DISTANCE, EYE_THRESHOLD, THUMBNAIL
 from . import cull, faces, groups, kernels
 
 COLUMNS = ("path", "name", "width", "height", "frame_blur", "subject_blur", "is_blurry", "has_face", "eyes", "phash", "timestamp", "cluster", "burst", "error")
@@ -17,7 +17,7 @@ def build(photos: DataFrame, most: int = DUPLICATE_DISTANCE, gap: int = BURST_GA
 
     A file with an error keeps a row of zeros and nulls and takes no part in groups: they are made of the others
     only, so it joins no clusters and leaves no gap in their numbers. A face's verdict goes before the frame's;
-    ``face_score`` null means no face. Clusters and bursts of one photo have no number."""
+    ``face_score`` null means no face. Clusters and bursts of one photo have no number. A column ``thumbnail`` passes through."""
     photos = groups.written(photos)  # read for each kind of group and once more
     fine = photos.where("error is null")
     near = groups.clusters(fine.select(F.col("path").alias("id"), "phash"), most)
@@ -33,21 +33,28 @@ def build(photos: DataFrame, most: int = DUPLICATE_DISTANCE, gap: int = BURST_GA
         F.when(bad, 0.0).otherwise(F.col("frame_score")).alias("frame_blur"), F.when(face, F.col("face_score")).alias("subject_blur"),
         F.when(bad, False).otherwise(verdict).alias("is_blurry"), face.alias("has_face"), F.when(face, F.col("eyes")).alias("eyes"),
         F.when(~bad, F.col("phash")).alias("phash"), F.when(~bad, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"), "cluster", "burst", "error",
+        *[c for c in photos.columns if c == "thumbnail"],
     )
 
 
 def fingerprints(images: DataFrame, times: DataFrame) -> DataFrame:
-    """(path, phash, blur, ts): decoded images (path, width, height, data) with their capture times (path, taken)."""
+    """(path, phash, blur, thumbnail, ts): decoded images (path, width, height, data) with their capture times (path, taken);
+    thumbnails are JPEG files of 320 pixels at most. Every image is looked at once, one at a time."""
+    from ..sources import jpeg
+
     rows = images.where("data is not null").withColumnRenamed("path", "image_id")
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
-            a = [kernels.array(r) for r in b.itertuples()]
-            yield pd.DataFrame({"path": b.image_id, "phash": [kernels.perceptual_hash(x) for x in a], "blur": [kernels.laplacian_score(kernels.gray(x)) for x in a]})
+            for r in b.itertuples():
+                a = kernels.array(r)
+                if a is not None:
+                    small = jpeg.encode(kernels.fit(a, THUMBNAIL))
+                    yield pd.DataFrame([(r.image_id, kernels.perceptual_hash(a), kernels.laplacian_score(kernels.gray(a)), small)], columns=["path", "phash", "blur", "thumbnail"])
 
-    made = rows.select("image_id", "width", "height", "data").mapInPandas(run, "path string, phash long, blur double")
+    made = rows.select("image_id", "width", "height", "data").mapInPandas(run, "path string, phash long, blur double, thumbnail binary")
     return made.join(times.select("path", F.col("taken").alias("ts")), "path", "left")
 
 
@@ -73,10 +80,10 @@ def single(images: DataFrame, raw: Column, threshold: float = BLUR_THRESHOLD) ->
             a = [kernels.array(r) for r in b.itertuples()]
             score = [None if x is None else kernels.laplacian_score(kernels.gray(x)) for x in a]
             hashes = pd.array([None if x is None else kernels.perceptual_hash(x) for x in a], dtype="Int64")
-            yield b[["image_id", "width", "height"]].assign(blur_score=score, phash=hashes)
+            yield b[["image_id", "width", "height", "is_raw"]].assign(blur_score=score, phash=hashes)
 
-    d = images.select("image_id", "width", "height", "data").mapInPandas(run, "image_id long, width int, height int, blur_score double, phash long")
-    return d.join(images.select("image_id", raw.alias("is_raw")), "image_id").withColumn("is_blurry", F.col("blur_score") < threshold)
+    d = images.select("image_id", "width", "height", "data", raw.alias("is_raw"))
+    return d.mapInPandas(run, "image_id long, width int, height int, is_raw boolean, blur_score double, phash long").withColumn("is_blurry", F.col("blur_score") < threshold)
 
 
 def duplicate_clusters(photos: DataFrame, most: int = DUPLICATE_DISTANCE) -> DataFrame:
@@ -125,8 +132,8 @@ def face_eyes(kept: DataFrame, landmarks: DataFrame, sizes: DataFrame, threshold
 def analyse_faces(kept: DataFrame, landmarks: DataFrame, images: DataFrame, threshold: float = EYE_THRESHOLD) -> DataFrame:
     """(image_id, box, eyes, face_score): eyes and the blur of the grown box of the primary face, one detection for
     both. Where the eyes cannot be read the whole face counts as none, its blur too."""
-    d = face_eyes(kept, landmarks, images, threshold).where("eyes is not null").withColumn("_b", faces.blur_box(F.col("box")))
-    d = d.join(images.select("image_id", "width", "height", "data"), "image_id")
+    found = groups.written(face_eyes(kept, landmarks, images, threshold).where("eyes is not null"))
+    d = found.withColumn("_b", faces.blur_box(F.col("box"))).join(images.select("image_id", "width", "height", "data"), "image_id")
     d = d.select("image_id", "width", "height", "data", *[F.col(f"_b.{c}").alias(c) for c in "xywh"])
 
     def run(batches):
@@ -137,4 +144,4 @@ def analyse_faces(kept: DataFrame, landmarks: DataFrame, images: DataFrame, thre
             yield pd.DataFrame({"image_id": b.image_id, "face_score": score})
 
     blur = d.mapInPandas(run, "image_id long, face_score double")
-    return face_eyes(kept, landmarks, images, threshold).where("eyes is not null").join(blur, "image_id")
+    return found.join(blur, "image_id")

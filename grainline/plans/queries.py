@@ -13,7 +13,7 @@ from ..functions import scalar as S
 from ..operators import cull, exports, faces, groups, kernels, pixels, ranks, render, settings
 from ..operators import report as reports
 from ..session import table
-from ..types import IMAGE_EXTENSIONS, RAW_EXTENSIONS
+from ..types import IMAGE_EXTENSIONS, PREVIEW, QUALITY_REVIEW, RAW_EXTENSIONS, REVIEW, THUMBNAIL
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -766,6 +766,7 @@ def first_photos(spark, sf):
 _ALL = {
     "auto_white_balance": 70, "temperature": 40, "tint": -30, "exposure": 15, "contrast": 20, "highlights": -40, "shadows": 30, "whites": 10, "blacks": -15,
     "shadow_hue": 210, "shadow_sat": 40, "highlight_hue": 45, "highlight_sat": 60, "saturation": 25, "vibrance": 50, "vignette_amount": -60, "vignette_midpoint": 30, "auto_exposure": 60,
+    "auto_contrast": 50,
 }
 _LOW, _HIGH = (0.0, 0.5, 1.0), (1.0, 0.75, 0.0)  # hues 210 and 45
 _CHAIN = [
@@ -773,6 +774,7 @@ _CHAIN = [
     ("", ("r * (1 + 0.3::DOUBLE * 0.4)", "g * (1 - 0.2::DOUBLE * -0.3)", "b * (1 - 0.3::DOUBLE * 0.4)")),
     ("*", _three("{v} * CASE WHEN ml > 0 THEN 1 + 0.6::DOUBLE * (greatest(0.33, least(3, 0.5 / ml)) - 1) ELSE 1 END")),
     ("", _three("{v} * pow(2.0::DOUBLE, 2 * 0.15::DOUBLE)")),
+    ("bins", _three("CASE WHEN hi > lo THEN {v} + (({v} - lo) / (hi - lo) - {v}) * 0.5::DOUBLE ELSE {v} END")),
     ("", _three("(({v} - 0.5) * 1.2::DOUBLE + 0.5) * (1 - 0.4::DOUBLE * 0.4 * " + _smooth("0.5::DOUBLE", "1.0::DOUBLE", LUM) + ") * (1 + 0.3::DOUBLE * 0.5 * " + _smooth("0.5::DOUBLE", "0.0::DOUBLE", LUM) + ") + 0.1::DOUBLE * 0.22 * " + _smooth("0.72::DOUBLE", "1.0::DOUBLE", LUM) + " - 0.15::DOUBLE * 0.22 * " + _smooth("0.28::DOUBLE", "0.0::DOUBLE", LUM))),
     ("", tuple(f"{c} + (1 - greatest(0, least(1, {LUM}))) * 0.2::DOUBLE * ({lo}::DOUBLE - 0.5) + greatest(0, least(1, {LUM})) * 0.3::DOUBLE * ({hi}::DOUBLE - 0.5)" for c, lo, hi in zip("rgb", _LOW, _HIGH))),
     ("", tuple(f"{LUM} + (({LUM} + ({c} - {LUM}) * (1 + 0.5::DOUBLE * (1 - greatest(0, least(1, {_MXMN}))))) - {LUM}) * 1.25::DOUBLE" for c in "rgb")),
@@ -785,7 +787,12 @@ def _chain() -> str:
     out, src = UNIT, "u"
     for i, (stats, cols) in enumerate(_CHAIN):
         extra = ""
-        if stats:
+        if stats == "bins":
+            out += f", h{i} AS (SELECT image_id, floor(greatest(0, least(1, {LUM})) * 255)::INT AS bin, count(*) AS n FROM {src} GROUP BY ALL), c{i} AS (SELECT image_id, bin, sum(n) OVER (PARTITION BY image_id ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY image_id) AS total FROM h{i})"
+            at = [f"CASE WHEN max(floor({share} * total)) <= 0 THEN 0 ELSE coalesce(min(bin) FILTER (cum >= floor({share} * total)), 255) END / 255.0::DOUBLE" for share in ("0.01::DOUBLE", "0.99::DOUBLE")]
+            out += f", m{i} AS (SELECT image_id, {at[0]} AS lo, {at[1]} AS hi FROM c{i} GROUP BY image_id)"
+            extra = f"JOIN m{i} USING (image_id)"
+        elif stats:
             out += f", m{i} AS (SELECT image_id, avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, avg({LUM}) AS ml FROM {src} GROUP BY image_id)"
             extra = f"JOIN m{i} USING (image_id)"
         out += f", x{i} AS MATERIALIZED ({_apply(*cols, src=src, extra=extra)})"
@@ -798,20 +805,53 @@ def edit_color_full(spark, sf):
     return pixels.render(rgb(spark, sf), _ALL, EDGE, EDGE)
 
 
+def sheets(spark, sf):
+    """Images of 64 by 64 pixels as packed rows: 64 photos each, side by side; places beyond the last photo begin with the first again."""
+    d = rgb(spark, sf)
+    n = table(spark, sf, "embeddings").count()
+    again = d.withColumn("image_id", F.col("image_id") + n).where(F.col("image_id") < -(-n // 64) * 64)
+    cell = F.col("image_id") % 64
+    d = d.unionAll(again).withColumns({"y": (F.col("y") + F.floor(cell / 8) * 8).cast("int"), "x": (F.col("x") + cell % 8 * 8).cast("int"), "image_id": F.floor(F.col("image_id") / 64)})
+    return kernels.pack(d)
+
+
+_HEALS = '[{"stamps": [{"x": 0.5, "y": 0.5, "r": 0.1}, {"x": 0.3, "y": 0.6, "r": 0.05}]}]'
+
+
 @query("render_full")
 def render_full(spark, sf):
-    """The whole edit of packed images with crop and a healing stamp; tests hold it against its parts."""
+    """The whole edit of packed images with crop and healing stamps; tests hold it against a second definition."""
     p = _ALL | {"straighten": 30.0, "noise_reduction": 20.0, "clarity": 20.0, "sharpening": 30.0, "crop_x": 0.1, "crop_y": 0.1, "crop_w": 0.8, "crop_h": 0.7}
     given = F.struct(*[F.lit(float(v)).alias(k) for k, v in p.items()])
-    heals = F.from_json(F.lit('[{"stamps": [{"x": 0.5, "y": 0.5, "r": 0.1}]}]'), "array<struct<stamps:array<struct<x:float,y:float,r:float>>>>")
-    return kernels.explode(render.render_full(kernels.pack(rgb(spark, sf)).withColumns({"params": given, "heals": heals})))
+    heals = F.from_json(F.lit(_HEALS), "array<struct<stamps:array<struct<x:float,y:float,r:float>>>>")
+    return kernels.explode(render.render_full(sheets(spark, sf).withColumns({"params": given, "heals": heals})))
+
+
+@query("heal")
+def heal(spark, sf):
+    """The pixels that two healing stamps change, before and after; tests hold it against a second definition."""
+    d = sheets(spark, sf)
+    done = kernels.explode(kernels.each(d, lambda a: kernels.heal(a, [(0.5, 0.5, 0.1), (0.3, 0.6, 0.05)])))
+    was = kernels.explode(d).select("image_id", "y", "x", *[F.col(c).alias(f"{c}_before") for c in "rgb"])
+    return done.join(was, ["image_id", "y", "x"]).where("r <> r_before or g <> g_before or b <> b_before")
 
 
-@query("preview_sizes")
+@query(
+    "preview_sizes",
+    "SELECT (vec_id // 64)::BIGINT AS image_id, 320 AS thumbnail, 900 AS preview, 1400 AS review FROM embeddings GROUP BY ALL",
+)
 def preview_sizes(spark, sf):
-    """Thumbnails, review images and previews: none is larger than its edge, small images stay."""
-    d = kernels.pack(rgb(spark, sf))
-    return d.select("image_id").join(render.thumbnails(d).select("image_id", F.col("width").alias("thumbnail")), "image_id").join(render.review(d).select("image_id", F.col("width").alias("review")), "image_id")
+    """Widths of thumbnails, previews and review images as their JPEG files tell, of sheets that are enlarged to 1536 pixels."""
+    import numpy as np
+
+    d = kernels.each(sheets(spark, sf), lambda a: np.repeat(np.repeat(a, 24, 0), 24, 1))
+    start = F.expr("locate('FFC0', hex(jpeg))")  # of the frame's head: after it length, depth, height and width
+    width = F.conv(F.substr(F.hex("jpeg"), start + F.lit(14), F.lit(4)), 16, 10).cast("int")
+    out = None
+    for name, edge, quality in (("thumbnail", THUMBNAIL, 75), ("preview", PREVIEW, 75), ("review", REVIEW, QUALITY_REVIEW)):
+        made = render.encoded(d, edge, quality).select("image_id", width.alias(name))
+        out = made if out is None else out.join(made, "image_id")
+    return out
 
 
 @query("face_region_blur")
@@ -828,7 +868,7 @@ def face_region_blur(spark, sf):
     return d.select("image_id", "width", "height", "data", *[F.col(f"box.{c}").alias(c) for c in "xywh"]).mapInPandas(run, "image_id long, score double")
 
 
-# spatial kernels: no SQL; tests hold them against their properties ----------------------------------------------
+# spatial kernels, in SQL where it can express them; tests hold the others against their properties ----------------------------------------------
 
 
 @query("phash")
@@ -836,11 +876,32 @@ def phash(spark, sf):
     return kernels.hashes(kernels.pack(rgb(spark, sf)))
 
 
-for _name, _fn in {
-    "denoise": lambda a: kernels.denoise(a, 70), "clarity": lambda a: kernels.clarity(a, 50), "sharpen": lambda a: kernels.sharpen(a, 60),
-    "straighten": lambda a: kernels.straighten(a, 50), "heal": lambda a: kernels.heal(a, [(0.5, 0.5, 0.25)]),
-}.items():
-    query(_name)(lambda spark, sf, f=_fn: kernels.explode(kernels.each(kernels.pack(rgb(spark, sf)), f)))
+_NEAR = "b.image_id = a.image_id AND b.y = greatest(0, least(7, a.y + dy)) AND b.x = greatest(0, least(7, a.x + dx))"
+_BYTE = "floor(greatest(0, least(255, {})) + 0.5)::INT"
+_MEDIAN = (
+    f"WITH {RGB}, n AS (SELECT a.image_id, a.y, a.x, any_value(a.r) AS r, any_value(a.g) AS g, any_value(a.b) AS b, " + ", ".join(f"list_sort(list(b.{c}))[13] AS m{c}" for c in "rgb")
+    + f" FROM px a, (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) JOIN px b ON {_NEAR} GROUP BY a.image_id, a.y, a.x) SELECT image_id, y, x, "
+    + ", ".join(f"{_BYTE.format(f'{c} + (m{c} - {c}) * 0.7::DOUBLE')} AS {c}" for c in "rgb") + " FROM n"
+)
+_TAPS = "k AS (SELECT i::INT AS i, exp(-0.5::DOUBLE * (i / 1.2::DOUBLE)**2) AS e FROM (SELECT unnest(range(-4, 5)) AS i)), w AS (SELECT i, e / (SELECT sum(e) FROM k) AS w FROM k)"
+_SHARP = (
+    f"WITH {RGB}, {_TAPS}, v AS (SELECT a.image_id, a.y, a.x, " + ", ".join(f"sum(w * b.{c}) AS {c}" for c in "rgb") + " FROM px a, w JOIN px b ON b.image_id = a.image_id AND b.x = a.x AND b.y = greatest(0, least(7, a.y + i)) GROUP BY ALL), "
+    "h AS (SELECT a.image_id, a.y, a.x, " + ", ".join(f"sum(w * b.{c}) AS {c}" for c in "rgb") + " FROM v a, w JOIN v b ON b.image_id = a.image_id AND b.y = a.y AND b.x = greatest(0, least(7, a.x + i)) GROUP BY a.image_id, a.y, a.x) SELECT px.image_id, px.y, px.x, "
+    + ", ".join(f"{_BYTE.format(f'px.{c} + (px.{c} - h.{c}) * (0.9::DOUBLE * 0.6::DOUBLE)')} AS {c}" for c in "rgb") + " FROM px JOIN h ON h.image_id = px.image_id AND h.y = px.y AND h.x = px.x"
+)
+#: A turn by five degrees of 8 by 8 pixels: cut to what has no border, and each place mixed of four.
+_TURN = (
+    f"WITH {RGB}, t AS (SELECT sin(radians(5.0::DOUBLE)) AS s, cos(radians(5.0::DOUBLE)) AS c), n AS (SELECT s, c, least(8, floor((8 * c - 8 * s) / (c * c - s * s) * 0.985::DOUBLE))::INT AS n FROM t), "
+    "o AS (SELECT y, x, c * dx + s * dy + 3.5 AS sx, -s * dx + c * dy + 3.5 AS sy FROM (SELECT *, x + (8 - n) // 2 - 3.5::DOUBLE AS dx, y + (8 - n) // 2 - 3.5::DOUBLE AS dy FROM n, (SELECT unnest(range(0, 8))::INT AS y) ys, (SELECT unnest(range(0, 8))::INT AS x) xs WHERE y < n AND x < n)), "
+    "q AS (SELECT y, x, x0, y0, sx - x0 AS fx, sy - y0 AS fy, (sx BETWEEN 0 AND 7 AND sy BETWEEN 0 AND 7)::INT AS inside FROM (SELECT *, greatest(0, least(7, floor(sx)))::INT AS x0, greatest(0, least(7, floor(sy)))::INT AS y0 FROM o)) SELECT a.image_id, q.y, q.x, "
+    + ", ".join(f"{_BYTE.format(f'((a.{c} * (1 - fx) + b.{c} * fx) * (1 - fy) + (c.{c} * (1 - fx) + d.{c} * fx) * fy) * inside')} AS {c}" for c in "rgb")
+    + " FROM q JOIN px a ON a.y = y0 AND a.x = x0 JOIN px b ON b.image_id = a.image_id AND b.y = y0 AND b.x = least(7, x0 + 1) JOIN px c ON c.image_id = a.image_id AND c.y = least(7, y0 + 1) AND c.x = x0 JOIN px d ON d.image_id = a.image_id AND d.y = least(7, y0 + 1) AND d.x = least(7, x0 + 1)"
+)
+for _name, _fn, _sql in (
+    ("denoise", lambda a: kernels.denoise(a, 70), _MEDIAN), ("clarity", lambda a: kernels.clarity(a, 50), None), ("sharpen", lambda a: kernels.sharpen(a, 60), _SHARP),
+    ("straighten", lambda a: kernels.straighten(a, 50), _TURN),
+):
+    query(_name, _sql)(lambda spark, sf, f=_fn: kernels.explode(kernels.each(kernels.pack(rgb(spark, sf)), f)))
 
 
 _BRUSH = "bp AS (SELECT vec_id AS stroke, i - 1 AS seq, embedding[i]::DOUBLE AS x, embedding[i + 32]::DOUBLE AS y FROM embeddings, (SELECT unnest(range(1, 33)) AS i))"
