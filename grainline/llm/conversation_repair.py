@@ -120,7 +120,7 @@ def damaged(conversations: DataFrame, id: str = "conv_id") -> DataFrame:
 
 SEARCHED = (
     "conv_id long, pid int, k long, turns array<long>, roles array<string>, digests array<binary>, copies array<long>, first_turn long, last_turn long, "
-    "distinct_turns long, blank long, duplicate long, truncated long, illegal long, first_initial string, last_initial string, ways array<struct<s:int,e:int,c:long,w:string>>"
+    "distinct_turns long, blank long, duplicate long, truncated long, illegal long, first_initial string, last_initial string, whole boolean, ways array<struct<s:int,e:int,c:long,w:string>>"
 )
 LEGAL = {"su", "ua", "au"}
 
@@ -156,7 +156,7 @@ class _Block:
             "conv_id": self.conv, "pid": pid, "k": self.k, "turns": turns, "roles": [r[1] for r in self.rows], "digests": [r[2] for r in self.rows],
             "copies": [r[3] for r in self.rows], "first_turn": known[0] if known else None, "last_turn": known[-1] if known else None,
             "distinct_turns": len(set(known)), "blank": n[0], "duplicate": n[1], "truncated": n[2], "illegal": illegal,
-            "first_initial": self.rows[0][1][:1], "last_initial": self.rows[-1][1][:1], "ways": ways,
+            "first_initial": self.rows[0][1][:1], "last_initial": self.rows[-1][1][:1], "whole": opens and closes, "ways": ways,
         }
 
 
@@ -301,7 +301,12 @@ def repair(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     schema = _arrow(spark.createDataFrame([], SEARCHED))
     found = stored(placed.mapInArrow(_searched(block, schema), SEARCHED), "repair-blocks")
     heads = found.drop("turns", "roles", "digests", "copies")
-    chained = stored(heads.groupBy("conv_id").applyInArrow(_chained, CHAINED), "repair-chained")
+    # a conversation that is one block has nothing to chain
+    gaps = F.coalesce(F.col("last_turn") - F.col("first_turn") + 1 - F.col("distinct_turns"), F.lit(0)).alias("gaps")
+    way = F.element_at("ways", 1)
+    one = heads.where("whole").select("conv_id", "pid", "k", way["s"].alias("start"), way["w"].alias("edits"), F.lit(1).cast("long").alias("blocks"), way["c"].alias("cost"), gaps, "blank", "duplicate", "truncated", "illegal")
+    several = heads.where("not whole").drop("whole").groupBy("conv_id").applyInArrow(_chained, CHAINED)
+    chained = stored(one.unionByName(several), "repair-chained")
     at = found["conv_id"].eqNullSafe(chained["conv_id"]) & (found["pid"] == chained["pid"]) & (found["k"] == chained["k"])
     decided = found.join(chained, at).select(found["conv_id"], "turns", "roles", "digests", "copies", "start", "edits")
     schema = _arrow(spark.createDataFrame([], DECIDED))
