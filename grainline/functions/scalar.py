@@ -116,6 +116,17 @@ def is_raw(path: Column) -> Column:
     return F.coalesce(extension(path).isin(*RAW_EXTENSIONS), F.lit(False))
 
 
+def is_one_of(path: Column, kinds: tuple[str, ...]) -> Column:
+    """Whether a path's ending is in a list: what a dialog offers (``DIALOG_EXTENSIONS``), what probes of a folder
+    (``STANDARD_EXTENSIONS``) or of faces (``FACE_PROBE_EXTENSIONS``) take."""
+    return F.coalesce(extension(path).isin(*kinds), F.lit(False))
+
+
+def is_scale_sample(path: Column) -> Column:
+    """The probe of scales takes face crops: png in small letters only."""
+    return F.regexp_extract(path, r"[^/\\]\.([^./\\]+)$", 1) == "png"
+
+
 def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
 

@@ -107,6 +107,14 @@ def hash_of(text: Column) -> Column:
     return F.when(fine, F.shiftleft(high, 32).bitwiseOR(low)).otherwise(F.raise_error(F.concat(F.lit("bad hash: "), F.coalesce(text, F.lit("null")))).cast("long"))
 
 
+def image_distances(pairs: DataFrame, images: DataFrame) -> DataFrame:
+    """pairs (a, b) of image ids with the distance of their hashes, null where one cannot be decoded; each image is hashed once."""
+    found = groups.written(kernels.hashes(images).select("image_id", "phash"))
+    a, b = (found.select(F.col("image_id").alias(c), F.col("phash").alias(f"_{c}")) for c in "ab")
+    d = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
+    return d.select("a", "b", hamming(F.col("_a"), F.col("_b")).alias("distance"))
+
+
 def text_distance(a: Column, b: Column) -> Column:
     return hamming(hash_of(a), hash_of(b))
 

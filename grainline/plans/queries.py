@@ -13,7 +13,7 @@ from ..functions import scalar as S
 from ..operators import cull, exports, faces, groups, kernels, pixels, ranks, render, settings
 from ..operators import report as reports
 from ..session import table
-from ..types import IMAGE_EXTENSIONS, PREVIEW, QUALITY_REVIEW, RAW_EXTENSIONS, REVIEW, THUMBNAIL
+from ..types import DIALOG_EXTENSIONS, FACE_PROBE_EXTENSIONS, IMAGE_EXTENSIONS, PREVIEW, QUALITY_REVIEW, RAW_EXTENSIONS, REVIEW, STANDARD_EXTENSIONS, THUMBNAIL
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -375,6 +375,19 @@ def extension_flags(spark, sf):
     return files(spark, sf).select("doc_id", S.extension(p).alias("ext"), S.is_supported(p).alias("supported"), S.is_raw(p).alias("raw"))
 
 
+_ENDS = "regexp_extract(path, '\\.([^.]+)$', 1)"
+
+
+@query(
+    "probe_flags",
+    f"WITH {FILES} SELECT doc_id, lower({_ENDS}) IN {_in(DIALOG_EXTENSIONS)} AS dialog, lower({_ENDS}) IN {_in(STANDARD_EXTENSIONS)} AS folder, lower({_ENDS}) IN {_in(FACE_PROBE_EXTENSIONS)} AS faces, {_ENDS} = 'png' AS scale FROM fl",
+)
+def probe_flags(spark, sf):
+    p = F.col("path")
+    lists = {"dialog": DIALOG_EXTENSIONS, "folder": STANDARD_EXTENSIONS, "faces": FACE_PROBE_EXTENSIONS}
+    return files(spark, sf).select("doc_id", *[S.is_one_of(p, k).alias(n) for n, k in lists.items()], S.is_scale_sample(p).alias("scale"))
+
+
 @query("path_parts", f"WITH {FILES} SELECT doc_id, split_part(path, '/', 2) AS name, split_part(split_part(path, '/', 2), '.', 1) AS stem, split_part(path, '/', 2) AS base FROM fl")
 def path_parts(spark, sf):
     p = F.col("path")

@@ -5,6 +5,8 @@ from __future__ import annotations
 # fixed values
 RAW_EXTENSIONS = ("cr2", "cr3", "crw", "nef", "nrw", "arw", "srf", "sr2", "dng", "raf", "rw2", "orf", "pef", "srw", "raw", "mrw")
 STANDARD_EXTENSIONS = ("jpg", "jpeg", "png", "tif", "tiff", "webp", "bmp")
+DIALOG_EXTENSIONS = ("jpg", "jpeg", "png", "tif", "tiff", "webp", "bmp", "cr2", "cr3", "nef", "arw", "dng", "raf", "rw2", "orf", "pef", "srw")
+FACE_PROBE_EXTENSIONS = ("jpg", "jpeg", "png")
 BLUR_THRESHOLD = 100.0
 BLUR_LONG_EDGE = 400
 DUPLICATE_DISTANCE = 12
