@@ -254,6 +254,17 @@ def report(spark, sf):
     return out.select(*[shown.get(c, F.col(c)) for c in reports.COLUMNS])
 
 
+_REPORTS: dict = {}
+
+
+def stored_report(spark, sf):
+    """The report as a table that views read: made once for a session and folder, as a library is analysed once and looked at often."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _REPORTS:
+        _REPORTS[key] = groups.written(report(spark, sf))
+    return _REPORTS[key]
+
+
 def decisions(spark, sf):
     d = table(spark, sf, "labels").where("quality is not null")
     return d.select(F.col("doc_id").alias("path"), F.when(F.col("quality") == 1, "keep").otherwise("reject").alias("decision"))
@@ -267,7 +278,7 @@ def library_report(spark, sf):
 _VIEWS = {"all": "true", "blurry": "is_blurry", "eyes": "coalesce(both_closed, false)", "duplicates": "cluster IS NOT NULL", "keepers": "decision = 'keep'", "rejects": "decision = 'reject'"}
 for _kind, _where in _VIEWS.items():
     query(f"view_filter_{_kind}", f"WITH RECURSIVE {REPORT} SELECT path, decision FROM rp LEFT JOIN dc USING (path) WHERE {_where}")(
-        lambda spark, sf, k=_kind: cull.view(report(spark, sf), decisions(spark, sf), k).select("path", "decision")
+        lambda spark, sf, k=_kind: cull.view(stored_report(spark, sf), decisions(spark, sf), k).select("path", "decision")
     )
 
 
@@ -276,7 +287,7 @@ for _kind, _where in _VIEWS.items():
     f"WITH RECURSIVE {REPORT}, x AS (SELECT count(*) AS \"all\", count_if(is_blurry)::BIGINT AS blurry, count_if(coalesce(both_closed, false))::BIGINT AS eyes, count(cluster) AS duplicates FROM rp), y AS (SELECT count_if(decision = 'keep')::BIGINT AS keepers, count_if(decision = 'reject')::BIGINT AS rejects FROM dc) SELECT *, round((keepers + rejects) / \"all\", 6) AS progress FROM x, y",
 )
 def view_counts(spark, sf):
-    return rounded(cull.counts(report(spark, sf), decisions(spark, sf)), "progress")
+    return rounded(cull.counts(stored_report(spark, sf), decisions(spark, sf)), "progress")
 
 
 @query(
@@ -285,7 +296,7 @@ def view_counts(spark, sf):
 )
 def photo_labels(spark, sf):
     a = cull.labels(F.col("is_blurry"), F.col("both_closed"), F.col("cluster"))
-    return report(spark, sf).select("path", F.when(F.size(a) == 0, "No flags").otherwise(F.array_join(a, ", ")).alias("labels"))
+    return stored_report(spark, sf).select("path", F.when(F.size(a) == 0, "No flags").otherwise(F.array_join(a, ", ")).alias("labels"))
 
 
 # logs -----------------------------------------------------------------------------------------------------
