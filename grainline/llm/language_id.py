@@ -37,7 +37,7 @@ SAMPLE_TOTAL = 40_000_000
 REJECT = 10.0
 UND = "und"
 #: Characters scored at a time by a task.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
