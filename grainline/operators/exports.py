@@ -202,15 +202,15 @@ def request(selects: DataFrame, rename: bool = False, prefix: str = "", start: i
     return selects, naming, mark
 
 
-#: Items of a plan up to which it is broadcast, some 50 MB with their edits; larger plans are joined by shuffles.
-FEW_ITEMS = 50_000
+#: Bytes of a plan, edits and stamps included, up to which it is broadcast; larger plans are joined by shuffles.
+FEW_BYTES = 32 << 20
 
 
 def execute(planned: DataFrame, files: DataFrame, folder: str, mark: dict | None = None, overlay=None, font: bytes | None = None) -> DataFrame:
     """Carries out a plan (source, position, action, edited, target, params, heals) on files (path, content, width,
     height, data, error): copies bytes, or renders and encodes as JPEG. One row (position, ok, error) an item; a file
     that cannot be read or decoded is an error of its own and stops nothing. Only copies read contents, and only
-    renders decode; a plan of few items is broadcast, so that neither is shuffled."""
+    renders decode; a small plan is broadcast, so that neither is shuffled."""
     from ..sources import fonts, jpeg
     from ..sources.sink import write_files
     from . import kernels, render
@@ -233,7 +233,8 @@ def execute(planned: DataFrame, files: DataFrame, folder: str, mark: dict | None
                 yield pd.DataFrame([(r.position, r.target, body, error)], columns=["position", "target", "content", "error"])
 
     planned = planned.withColumn("position", F.col("position").cast("long"))
-    few = F.broadcast if planned.count() <= FEW_ITEMS else lambda d: d
+    size = planned.agg(F.sum(F.octet_length(F.to_json(F.struct(*planned.columns))))).first()[0]
+    few = F.broadcast if (size or 0) <= FEW_BYTES else lambda d: d
     f = files.withColumnRenamed("path", "source")
     schema = "position long, target string, content binary, error string"
     copies = f.select("source", "content").join(few(planned.where("action = 'copy'").select("source", "position", "target")), "source")
