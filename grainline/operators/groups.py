@@ -12,18 +12,58 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import hamming
 from ..types import BURST_GAP_SECONDS, DUPLICATE_DISTANCE
+from . import near
 
 BANDS = 4
 
-
 #: Edges that are united in one task; more contract in rounds of tables.
 FEW_EDGES = 200_000
 #: Groups that are numbered in one task.
 FEW_GROUPS = 100_000
 
 
-#: Pairs that are compared in blocks rather than searched for by bands.
+#: Blocks that photos are dealt to where all pairs are compared: one up to ``LEAST_BLOCK`` photos, else always as many, so that a
+#: photo is sent to as many tasks whatever the number of photos, until a block would have more than ``MOST_BLOCK``.
+BLOCKS, LEAST_BLOCK, MOST_BLOCK = 12, 4096, 1 << 17
+#: Pairs that are compared at once rather than searched for by bands.
 FEW_PAIRS = 1 << 26
+#: Rows of one batch out of a task.
+BATCH = 1 << 16
+
+
+def _blocks(n: int, least: int) -> int:
+    return 1 if n <= least else max(BLOCKS, -(-n // MOST_BLOCK))
+
+
+def _met(rows: DataFrame, n: int, least: int = 0) -> DataFrame:
+    """rows, each in block ``_b`` of n, in the tasks of the pairs of blocks i <= j (i < j where ``least`` is 1), one pair a task:
+    ``_side`` is 0 for block i and 1 for block j."""
+    d = rows.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where(F.abs(F.col("_b") - F.col("_p")) >= least)
+    i, j = F.least("_b", "_p"), F.greatest("_b", "_p")
+    d = d.select(*rows.columns, (F.col("_b") > i).cast("int").alias("_side"), (F.shiftright(i * (2 * n - 1 - i), 1) + j).alias("_t"))
+    return d.repartitionById(n * (n + 1) // 2, "_t").drop("_t")
+
+
+def _in_block(id: str, n: int):
+    return F.pmod(F.xxhash64(id), F.lit(n)).cast("int").alias("_b")
+
+
+def _sides(batches, id: str, value: str):
+    """The rows of a task as (table, unsigned hashes) of either side, each in the order of ids."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held = list(batches)
+    if not held:
+        return None
+    t = pa.Table.from_batches(held)
+    t = t.take(pc.sort_indices(t, [(id, "ascending")])).combine_chunks()
+    out = []
+    for side in (0, 1):
+        own = t.filter(pc.equal(t["_side"], side)).combine_chunks()
+        out.append((own, own[value].to_numpy().astype(np.int64).view(np.uint64)))
+    return out
 
 
 def similar_pairs(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str = "id", value: str = "phash", bands: bool | None = None) -> DataFrame:
@@ -57,12 +97,55 @@ def similar_pairs(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str =
     return both.select("a", "b", F.bit_count(x).alias("distance"))
 
 
+def _parts(hashes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """What hashes (id, v), all different, connect: (id, v, part), the smallest id connected within a block, and (a, b),
+    the fewest parts that connect blocks. A block's pairs stay in its task: no more than its photos leave it."""
+    import pyarrow as pa
+
+    n, kind = _blocks(hashes.count(), LEAST_BLOCK), hashes.schema["id"].dataType.simpleString()
+
+    def inner(batches):
+        import numpy as np
+
+        sides = _sides(batches, "id", "v")
+        if sides is None:
+            return
+        t, v = sides[0]
+        root, _ = near.united(np.arange(len(v)), near.compared(v, v, most, True))
+        yield from t.select(["id", "v", "_b"]).append_column("part", t["id"].take(pa.array(root))).combine_chunks().to_batches(BATCH)
+
+    def outer(batches):
+        import numpy as np
+
+        sides = _sides(batches, "part", "v")
+        if sides is None or not all(len(v) for _, v in sides):
+            return
+        (left, v), (right, u) = sides
+        names = pa.chunked_array([*left["part"].chunks, *right["part"].chunks]).combine_chunks().dictionary_encode()
+        part = names.indices.to_numpy()
+        _, edges = near.united(part, ((i, j + len(v), d) for i, j, d in near.compared(v, u, most)))
+        for at in range(0, len(edges), BATCH):
+            some = np.array(edges[at : at + BATCH])
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(some[:, c])) for c in (0, 1)], ["a", "b"])
+
+    dealt = hashes.select("id", "v", _in_block("id", n)).repartitionById(n, "_b").withColumn("_side", F.lit(0))
+    own = written(dealt.mapInArrow(inner, f"id {kind}, v long, _b int, part {kind}"))
+    between = _met(own.select("part", "v", "_b"), n, 1).select("part", "v", "_side").mapInArrow(outer, f"a {kind}, b {kind}")
+    return own.drop("_b"), between
+
+
+def _hashes(photos: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """photos (id, v), and the smallest id of each hash with the number of its photos."""
+    p = photos.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(value).alias("v"))
+    return p, written(p.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+
+
 def links(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str = "id", value: str = "phash") -> DataFrame:
-    """(a, b) that connect what is similar: equal hashes hang on the smallest id, and only those are compared."""
-    p = photos.where(F.col(value).isNotNull()).select(F.col(key).alias("id"), F.col(value).alias("v"))
-    least = p.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    """(a, b) that connect what is similar, not all of its pairs: equal hashes hang on the smallest id, and only those are compared."""
+    p, least = _hashes(photos, key, value)
     same = p.join(least.where("n > 1").select("v", F.col("id").alias("a")), "v").where("id <> a").select("a", F.col("id").alias("b"))
-    return similar_pairs(least, most, "id", "v").select("a", "b").unionAll(same)
+    own, between = _parts(least.select("id", "v"), most)
+    return own.where("part <> id").select(F.col("part").alias("a"), F.col("id").alias("b")).unionAll(between).unionAll(same)
 
 
 def nearest(photos: DataFrame, key: str = "id", value: str = "phash", bands: int | None = None, block: int = 4096, few: int = FEW_PAIRS) -> DataFrame:
@@ -215,7 +298,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def clusters(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str = "id", value: str = "phash") -> DataFrame:
-    return components(photos.select(F.col(key).alias("id")), links(photos, most, key, value))
+    """(id, group): the smallest id that is connected by similar hashes, for every photo.
+
+    Equal hashes are one node, and what a block connects is one, too: only what connects parts of two blocks is an edge."""
+    _, least = _hashes(photos, key, value)
+    own, between = _parts(least.select("id", "v"), most)
+    group = components(own.select(F.col("part").alias("id")).distinct(), between).withColumnRenamed("id", "part")
+    of = own.join(group, "part").select(F.col("v").alias("_v"), "group")
+    return photos.join(of, F.col(value) == F.col("_v"), "left").select(F.col(key).alias("id"), F.coalesce("group", key).alias("group"))
 
 
 def bursts(frames: DataFrame, gap: int = BURST_GAP_SECONDS, key: str = "id", ts: str = "ts") -> DataFrame:
