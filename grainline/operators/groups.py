@@ -14,8 +14,6 @@ from ..functions.scalar import hamming
 from ..types import BURST_GAP_SECONDS, DUPLICATE_DISTANCE
 from . import near
 
-BANDS = 4
-
 #: Edges that are united in one task; more contract in rounds of tables.
 FEW_EDGES = 200_000
 #: Groups that are numbered in one task.
@@ -69,32 +67,47 @@ def _sides(batches, id: str, value: str):
 def similar_pairs(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str = "id", value: str = "phash", bands: bool | None = None) -> DataFrame:
     """(a, b, distance) for all pairs a < b within a Hamming distance, exactly.
 
-    64 bits are four bands; some band differs in most // 4 bits at most. One side is expanded to all
-    band values that near, the other joined on the band: an equi-join, verified by bit_count. Where there are
-    fewer photos than the expansion has values for each, a theta join over so small a table is cheaper
-    (``bands`` forces either). n equal hashes are n * (n - 1) / 2 pairs; ``links`` has them once.
-    """
-    radius = most // BANDS
-    p = photos.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
-    per_photo = BANDS * sum(comb(16, r) for r in range(radius + 1))
-    if bands is False or bands is None and p.limit(2 * per_photo + 1).count() <= 2 * per_photo:
-        a, b = p.select(F.col("k").alias("a"), F.col("v").alias("va")), p.select(F.col("k").alias("b"), F.col("v").alias("vb"))
-        d = hamming(F.col("va"), F.col("vb"))
-        return a.join(b, (F.col("a") < F.col("b")) & (d <= most)).select("a", "b", d.alias("distance"))
-    masks = [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(16), r)]
-    band = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftright("v", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("w")) for i in range(BANDS)]))
-    p = p.withColumn("band", band).select("k", "v", "band.i", "band.w")
-    near = p.withColumn("m", F.explode(F.array(*[F.lit(m) for m in masks]))).select(
-        F.col("k").alias("a"), F.col("v").alias("va"), "i", F.col("w").bitwiseXOR(F.col("m")).alias("w")
-    )
-    far = p.select(F.col("k").alias("b"), F.col("v").alias("vb"), "i", "w")
-    # a pair is kept in its first band only
-    x = F.col("va").bitwiseXOR(F.col("vb"))
-    first = F.lit(BANDS)
-    for i in range(BANDS - 1, -1, -1):
-        first = F.when(F.bit_count(F.shiftright(x, 16 * i).bitwiseAND(F.lit(0xFFFF))) <= radius, i).otherwise(first)
-    both = near.join(far, ["i", "w"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= most) & (first == F.col("i")))
-    return both.select("a", "b", F.bit_count(x).alias("distance"))
+    Photos are dealt to a fixed number of blocks, and each two blocks meet in a task, which compares all their hashes or, with
+    ``bands``, looks them up: 64 bits are four bands, some band differs in most // 4 bits at most, and all values that near are
+    looked up among the other block's. What is sent grows with the photos; pairs leave a task as they are found.
+    n equal hashes are n * (n - 1) / 2 pairs; ``links`` has them once."""
+    import pyarrow as pa
+
+    p = photos.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
+    p = written(p)
+    n, kind = _blocks(p.count(), LEAST_BLOCK), p.schema["k"].dataType.simpleString()
+    search = near.banded if bands else near.compared
+
+    def run(batches):
+        import numpy as np
+
+        sides = _sides(batches, "k", "v")
+        if sides is None:
+            return
+        (left, v), (right, u) = sides
+        if not len(u):  # a block with itself
+            right, u, same = left, v, True
+        else:
+            same = False
+        found, size = [], 0
+
+        def batch():
+            i, j, d = (np.concatenate(c) for c in zip(*found))
+            found.clear()
+            x, y = left["k"].take(pa.array(i)).combine_chunks(), right["k"].take(pa.array(j)).combine_chunks()
+            return pa.RecordBatch.from_arrays([x, y, pa.array(d.astype(np.int32))], ["x", "y", "distance"])
+
+        for rows in search(v, u, most, same):
+            found.append(rows)
+            size += len(rows[0])
+            if size >= BATCH:
+                yield batch()
+                size = 0
+        if found:
+            yield batch()
+
+    d = _met(p.select("k", "v", _in_block("k", n)), n).select("k", "v", "_side").mapInArrow(run, f"x {kind}, y {kind}, distance int")
+    return d.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 def _parts(hashes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:

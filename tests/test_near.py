@@ -54,6 +54,23 @@ def test_kernels_find_every_pair_once(monkeypatch, tile, most):
         assert len(two) == len(set(two)) and set(two) == {(i, j) for i, j, _ in brute(v, most) if i < 90 <= j}
 
 
+@pytest.mark.parametrize("most,bands", [(16, None), (14, True), (12, False)])
+def test_pairs_meet_in_blocks_and_not_in_joins(spark, small_blocks, most, bands):
+    v = hashes()
+    d = groups.similar_pairs(spark.createDataFrame([*enumerate(v), (5000, None), (None, 3)], "id long, phash long").repartition(3), most, bands=bands)
+    rows = list(map(tuple, d.collect()))
+    assert len(rows) == len(set(rows)) and set(rows) == brute(v, most)
+    assert "Join" not in d._jdf.queryExecution().executedPlan().toString()  # the expanded side of a join is reckoned small, and broadcast
+    text = spark.createDataFrame([(f"p{i:04}", x) for i, x in enumerate(v)], "path string, h long")
+    assert {(r["a"], r["b"], r["distance"]) for r in groups.similar_pairs(text, most, "path", "h", bands).collect()} == {(f"p{i:04}", f"p{j:04}", n) for i, j, n in brute(v, most)}
+
+
+def test_what_pairs_send_grows_with_the_photos(spark):
+    for n in (20_000, 80_000):
+        sent = groups._met(spark.range(n).select("id", F.pmod("id", F.lit(groups._blocks(n, groups.LEAST_BLOCK))).cast("int").alias("_b")), groups._blocks(n, groups.LEAST_BLOCK))
+        assert sent.count() == 12 * n
+
+
 def test_clusters_and_links_by_blocks(spark, small_blocks):
     v = hashes() + [1 << 61 | (1 << i) - 1 for i in range(0, 40, 3)]  # and a chain
     v += [x ^ 1 << b for x in v[:1] for b in range(60)]  # and many that are all near each other
