@@ -24,7 +24,9 @@ FEW_GROUPS = 100_000
 #: photo is sent to as many tasks whatever the number of photos, until a block would have more than ``MOST_BLOCK``.
 BLOCKS, LEAST_BLOCK, MOST_BLOCK = 12, 4096, 1 << 17
 #: Pairs that are compared at once rather than searched for by bands.
-FEW_PAIRS = 1 << 26
+FEW_PAIRS = 1 << 34
+#: Pairs that are compared in the time that one row takes to be sent and joined.
+ROW_COST = 200
 #: Rows of one batch out of a task.
 BATCH = 1 << 16
 
@@ -168,8 +170,8 @@ def nearest(photos: DataFrame, key: str = "id", value: str = "phash", bands: int
     differ in: after radius r every photo has met all others with some band that near, and what it has not met
     differs by bands * (r + 1) bits at least; a photo whose best is nearer than that is done. A radius joins the
     open photos' band values, with every choice of r bits turned, to all photos' bands. Where that is more work
-    for a photo than to compare it with all, or no more than ``few`` pairs are left, the rest is compared in blocks.
-    ``bands`` follows from the number of hashes."""
+    for a photo than to compare it with all, or no more than ``few`` pairs are left, the rest is compared in blocks, one of them
+    up to ``block`` photos. ``bands`` follows from the number of hashes."""
     p = photos.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("v"))
     per = written(p.groupBy("v").agg(F.min("k").alias("k"), F.count("*").alias("n")))
     second = p.join(per.where("n > 1").select("v", F.col("k").alias("first")), "v")
@@ -184,16 +186,18 @@ def nearest(photos: DataFrame, key: str = "id", value: str = "phash", bands: int
     every = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("v", lo).bitwiseAND(F.lit(m).cast("long")).alias("w")) for i, lo, _, m in parts]))
     far = per.select(F.col("k").alias("b"), F.col("v").alias("vb"), every.alias("s")).select("b", "vb", "s.i", "s.w")
     open_ = alone
-    rest, best, radius, out = per.where("n = 1").select(F.col("k").alias("a"), F.col("v").alias("va")), None, 0, []
+    rest, best, radius, out, crowd = per.where("n = 1").select(F.col("k").alias("a"), F.col("v").alias("va")), None, 0, [], None
     while True:
         masks = [[sum(1 << x for x in c) for c in combinations(range(width), radius)] for _, _, width, _ in parts] if sum(comb(w, radius) for _, _, w, _ in parts) <= MOST_MASKS else None
-        work = masks and sum(len(m) * (1 + total / (1 << width)) for m, (_, _, width, _) in zip(masks, parts))
-        if masks is None or work >= total or open_ * total <= few:
+        if masks is not None and open_ * total > few and crowd is None:  # what a photo's band value has in common with others, which common values raise
+            crowd = far.groupBy("i", "w").count().agg(F.sum(F.col("count").cast("double") * F.col("count"))).first()[0] / (bands * total)
+        if masks is None or open_ * total <= few or sum(map(len, masks)) * (1 + crowd) * ROW_COST >= total:
             out.append(_against_all(rest, per, block))
             break
         turned = [_turned(i, lo, m, own) for own, (i, lo, _, m) in zip(masks, parts)]
-        near = rest.select("a", "va", F.explode(F.concat(*turned)).alias("s")).select("a", "va", "s.i", "s.w")
-        met = near.join(far, ["i", "w"]).where("a <> b").groupBy("a").agg(F.min(F.struct(hamming(F.col("va"), F.col("vb")).alias("d"), "b")).alias("m"))
+        close = rest.select("a", "va", F.explode(F.concat(*turned)).alias("s")).select("a", "va", "s.i", "s.w")
+        # the turned values are many more than Spark reckons: never to be broadcast
+        met = close.hint("merge").join(far, ["i", "w"]).where("a <> b").groupBy("a").agg(F.min(F.struct(hamming(F.col("va"), F.col("vb")).alias("d"), "b")).alias("m"))
         met = met if best is None else met.unionAll(best).groupBy("a").agg(F.min("m").alias("m"))
         best = written(met)
         done = best.where(F.col("m.d") < bands * (radius + 1))
@@ -209,8 +213,8 @@ def nearest(photos: DataFrame, key: str = "id", value: str = "phash", bands: int
     return same.unionAll(found.select("a", F.col("m.b").alias("nearest"), F.col("m.d").alias("distance")))
 
 
-#: Masks of one radius up to which bands are tried.
-MOST_MASKS = 20_000
+#: Masks of one radius up to which bands are tried: rows that a photo becomes.
+MOST_MASKS = 128
 
 
 def _turned(i: int, low: int, mask: int, masks: list[int]):
@@ -221,31 +225,28 @@ def _turned(i: int, low: int, mask: int, masks: list[int]):
 
 
 def _against_all(rest: DataFrame, per: DataFrame, block: int) -> DataFrame:
-    """(a, m: d and b) of the nearest for rows (a, va) among all (k, v): every block of the one side meets every block
-    of the other in a task of its own, and gives a row for each photo."""
-    import numpy as np
-    import pandas as pd
-
-    n, every = (max(1, -(-d.count() // block)) for d in (rest, per))
-    deal = lambda id, k, own, other: [F.pmod(F.xxhash64(id), F.lit(k)).alias(own), other]
-    left = rest.select("a", "va", *deal("a", n, "i", F.explode(F.sequence(F.lit(0), F.lit(every - 1))).alias("j")))
-    right = per.select("k", "v", *deal("k", every, "j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")))
+    """(a, m: d and b) of the nearest for rows (a, va), alone with their hashes, among all (k, v): every block of the one side meets
+    every block of the other in a task of its own, and gives a row for each photo."""
+    n, every = (_blocks(d.count(), block) for d in (rest, per))
+    deal = lambda id, own, other, task: (F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("_p"), _in_block(id, own), F.lit(task).alias("_side"))
+    left = rest.select(F.col("a").alias("k"), F.col("va").alias("v"), *deal("a", n, every, 0))
+    right = per.select("k", "v", *deal("k", every, n, 1))
+    task = F.when(F.col("_side") == 0, F.col("_b") * every + F.col("_p")).otherwise(F.col("_p") * every + F.col("_b"))
+    met = left.unionAll(right).withColumn("_t", task).repartitionById(n * every, "_t").select("k", "v", "_side")
     kind = per.schema["k"].dataType.simpleString()
 
-    def run(x, y):
-        y = y.sort_values("k")
-        k, v = y.k.to_numpy(), y.v.to_numpy(np.int64).view(np.uint64)  # of signed numbers numpy counts the absolute value's bits
-        rows = []
-        for a, va in zip(x.a, x.va.to_numpy(np.int64).view(np.uint64)):
-            d = np.bitwise_count(v ^ va).astype(int)
-            d[k == a] = 65
-            i = int(d.argmin()) if len(d) else 0  # the first of the nearest has the smallest id
-            if len(d) and d[i] < 65:
-                rows.append((a, int(d[i]), k[i]))
-        return pd.DataFrame(rows, columns=["a", "d", "b"])
-
-    met = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, f"a {kind}, d int, b {kind}")
-    return met.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
+    def run(batches):
+        import pyarrow as pa
+
+        sides = _sides(batches, "k", "v")
+        if sides is None or not all(len(v) for _, v in sides):
+            return
+        (left, v), (right, u) = sides
+        d, at = near.nearest(v, u)
+        t = pa.table({"a": left["k"], "d": pa.array(d.astype("int32")), "b": right["k"].take(pa.array(at))})
+        yield from t.filter(pa.array(d <= 64)).combine_chunks().to_batches(BATCH)
+
+    return met.mapInArrow(run, f"a {kind}, d int, b {kind}").groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
 
 
 def written(df: DataFrame) -> DataFrame:

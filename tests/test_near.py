@@ -83,3 +83,22 @@ def test_clusters_and_links_by_blocks(spark, small_blocks):
     assert len(linked) < len(v) < len(pairs)  # no more than connect them
     text = spark.createDataFrame([(f"p{i:04}", x) for i, x in enumerate(v)], "path string, h long")
     assert {r["id"]: r["group"] for r in groups.clusters(text, 12, "path", "h").collect()} == {f"p{i:04}": f"p{g:04}" for i, g in want.items() if i < 5000}
+
+
+@pytest.mark.parametrize("cost", [0, 200])
+def test_nearest_by_bands_is_never_a_broadcast_of_turned_bands(spark, monkeypatch, cost):
+    monkeypatch.setattr(groups, "ROW_COST", cost)  # 0: bands as long as there are masks
+    v = hashes(400)
+    want = {i: min((bin((x ^ y) & (2**64 - 1)).count("1"), j) for j, y in enumerate(v) if j != i) for i, x in enumerate(v)}
+    for bands in (None, 3):
+        got = groups.nearest(spark.createDataFrame(list(enumerate(v)), "id long, phash long"), bands=bands, few=0, block=60)
+        assert {r["a"]: (r["distance"], r["nearest"]) for r in got.collect()} == want
+
+
+def test_nearest_of_more_photos_than_were_compared_at_once(spark):
+    v = np.random.default_rng(3).integers(0, 2**62, 8500)  # more than 1 << 26 pairs went to bands with thousands of masks
+    rows = spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)], "id long, phash long")
+    got = {r["a"]: (r["distance"], r["nearest"]) for r in groups.nearest(rows).collect()}
+    d = np.bitwise_count(v[:200, None] ^ v).astype(int)
+    d[np.arange(200), np.arange(200)] = 99
+    assert len(got) == 8500 and all(got[i] == (d[i].min(), d[i].argmin()) for i in range(200))
