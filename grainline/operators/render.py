@@ -131,15 +131,15 @@ def _params(row) -> dict:
 def render_full(images: DataFrame, edge: int | None = None, crop: bool = True) -> DataFrame:
     """images (PACKED, with params and heals) after the whole edit; null params or heals are none. ``edge`` shrinks first."""
 
+    def edited(r):
+        a = kernels.array(r)
+        if a is not None:
+            a = full(kernels.fit(a, edge) if edge else a, _params(r), r.heals if r.heals is not None else (), crop)
+        return kernels.row(r, a)
+
     def run(batches):
         for b in batches:
-            out = []
-            for r in b.itertuples():
-                a = kernels.array(r)
-                if a is not None:
-                    a = full(kernels.fit(a, edge) if edge else a, _params(r), r.heals if r.heals is not None else (), crop)
-                out.append(kernels.row(r, a))
-            yield kernels.table(out)
+            yield from kernels.tables(map(edited, b.itertuples()))
 
     return images.select("image_id", "width", "height", "data", "params", "heals").mapInPandas(run, PACKED)
 
@@ -189,6 +189,12 @@ def review(images: DataFrame) -> DataFrame:
 
 def encoded(images: DataFrame, edge: int | None = None, quality: int = 75) -> DataFrame:
     """image_id and jpeg (null without pixels) of images, shrunk to ``edge`` first: 320 for thumbnails, 1400 and quality 88 for review."""
+    return encodings(images, {"jpeg": (edge, quality)})
+
+
+def encodings(images: DataFrame, sizes: dict[str, tuple[int | None, int]], before=None) -> DataFrame:
+    """image_id and a JPEG file (null without pixels) for each name of ``sizes`` (edge, quality) of images, to which ``before``
+    (pixels to pixels) is applied first. Images are looked at once, one at a time, and only their files leave the task."""
     from ..sources import jpeg
 
     def run(batches):
@@ -197,10 +203,11 @@ def encoded(images: DataFrame, edge: int | None = None, quality: int = 75) -> Da
         for b in batches:
             for r in b.itertuples():
                 a = kernels.array(r)
-                body = None if a is None else jpeg.encode(kernels.fit(a, edge) if edge else a, quality)
-                yield pd.DataFrame({"image_id": [r.image_id], "jpeg": [body]})
+                a = a if a is None or before is None else before(a)
+                files = {n: [None if a is None else jpeg.encode(kernels.fit(a, edge) if edge else a, quality)] for n, (edge, quality) in sizes.items()}
+                yield pd.DataFrame({"image_id": [r.image_id]} | files)
 
-    return images.select("image_id", "width", "height", "data").mapInPandas(run, "image_id long, jpeg binary")
+    return images.select("image_id", "width", "height", "data").mapInPandas(run, "image_id long" + "".join(f", `{n}` binary" for n in sizes))
 
 
 def place(where: str, w: int, h: int, ew: int, eh: int, margin: int) -> tuple[int, int]:
