@@ -319,7 +319,8 @@ def clusters(photos: DataFrame, most: int = DUPLICATE_DISTANCE, key: str = "id",
     own, between = _parts(least.select("id", "v"), most)
     group = components(own.select(F.col("part").alias("id")).distinct(), between).withColumnRenamed("id", "part")
     of = own.join(group, "part").select(F.col("v").alias("_v"), "group")
-    return photos.join(of, F.col(value) == F.col("_v"), "left").select(F.col(key).alias("id"), F.coalesce("group", key).alias("group"))
+    every = photos.select(F.col(key).alias("id"), F.col(value).alias("_h"))
+    return every.join(of, F.col("_h") == F.col("_v"), "left").select("id", F.coalesce("group", "id").alias("group"))
 
 
 def bursts(frames: DataFrame, gap: int = BURST_GAP_SECONDS, key: str = "id", ts: str = "ts") -> DataFrame:
