@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scalar import eyes, file_name, hamming
 from ..types import BLUR_THRESHOLD, BURST_GAP_SECONDS, DUPLICATE_DISTANCE, EYE_THRESHOLD, THUMBNAIL
@@ -70,6 +71,24 @@ def of_folder(images: DataFrame, times: DataFrame, subjects: DataFrame | None =
     return build(d.withColumnRenamed("blur", "frame_score").withColumn("name", file_name(F.col("path"))), **options)
 
 
+def grid_scores(grids: DataFrame, width: int, height: int, box: tuple[int, int, int, int]) -> DataFrame:
+    """frame_score and face_score, that of a box (x, y, w, h), of small gray images of one size in place of their ``levels`` (whole
+    numbers by rows). An image stays one row in its task: no pixel is a row, and nothing meets."""
+    kept = [f for f in grids.schema.fields if f.name != "levels"]
+    scores = [StructField(c, DoubleType()) for c in ("frame_score", "face_score")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            levels = b.column(b.schema.get_field_index("levels")).flatten().to_numpy(zero_copy_only=False)
+            g = levels.reshape(b.num_rows, height, width).transpose(1, 2, 0)
+            made = [pa.array(kernels.grid_blur(x)) for x in (g, kernels.region(g, *box))]
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(f.name)) for f in kept], *made], [f.name for f in kept + scores])
+
+    return grids.mapInArrow(run, StructType(kept + scores))
+
+
 def single(images: DataFrame, raw: Column, threshold: float = BLUR_THRESHOLD) -> DataFrame:
     """width, height, blur_score, is_blurry, phash and is_raw of each decoded image (image_id, width, height, data)."""
 
