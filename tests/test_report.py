@@ -23,7 +23,7 @@ def odd(sf, tmp_path_factory):
     return str(to)
 
 
-@pytest.mark.parametrize("name", ["photo_labels", "library_report", "view_counts", "view_filter_all", "view_filter_blurry"])
+@pytest.mark.parametrize("name", ["photo_labels", "library_report", "view_counts", "view_filter_all", "view_filter_blurry", "view_filter_rejects"])
 def test_photos_without_values_stay(spark, odd, name):
     con = duckdb.connect()
     for t in ("events", "labels", "embeddings"):
